@@ -188,6 +188,7 @@ def _terms(clause: str) -> list[tuple[int, int, float]]:
     return out
 
 
+@lru_cache(maxsize=65536)
 def stated_amount(text: str | None) -> float | None:
     """Bytes of the size that a free text states, or None.
 
@@ -228,6 +229,7 @@ def stated_unit(text: str | None) -> str | None:
     return None
 
 
+@lru_cache(maxsize=65536)
 def quantity(value: str | None, context: str | None, default_unit: str | None) -> float | None:
     """Bytes of an entered size: its own unit, else the stated one, else the default.
 
@@ -249,21 +251,17 @@ def quantity(value: str | None, context: str | None, default_unit: str | None) -
     return total if total > 0 and math.isfinite(total) else None
 
 
-_memo_quantity = lru_cache(maxsize=65536)(quantity)
-_memo_amount = lru_cache(maxsize=65536)(stated_amount)
-
-
 @F.pandas_udf(T.DoubleType())
 def quantity_bytes(value: pd.Series, context: pd.Series, default_unit: pd.Series) -> pd.Series:
     """Vectorised ``quantity``."""
     clean = lambda s: [None if x is None or x != x else x for x in s]
-    return pd.Series([_memo_quantity(*x) for x in zip(clean(value), clean(context), clean(default_unit))], dtype="float64")
+    return pd.Series([quantity(*x) for x in zip(clean(value), clean(context), clean(default_unit))], dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())
 def amount_bytes(text: pd.Series) -> pd.Series:
     """Vectorised ``stated_amount``."""
-    return pd.Series([_memo_amount(x) if isinstance(x, str) else None for x in text], dtype="float64")
+    return pd.Series([stated_amount(x) if isinstance(x, str) else None for x in text], dtype="float64")
 
 
 def _kb(size: Column) -> Column:
