@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodeweave.llm import lookalike, mixing, splitting, tokenize
+from lodeweave.llm import canonical, lookalike, mixing, near_duplicates, splitting, tokenize, vector_graph
 from lodeweave.runtime import table
 
 QUERIES: dict = {}
@@ -17,6 +17,48 @@ def query(fn):
     return fn
 
 
+@query
+def p1_found(spark, d):
+    return canonical.mapped_found(table(spark, d, "normalized_values"), table(spark, d, "field_valid_values"))
+
+
+@query
+def p1_mapped(spark, d):
+    return canonical.mapped_rows(table(spark, d, "normalized_values"), table(spark, d, "field_valid_values"))
+
+
+@query
+def p1_misses(spark, d):
+    return canonical.misses(table(spark, d, "normalized_values"), table(spark, d, "field_valid_values"))
+
+
+@query
+def p2_found(spark, d):
+    return vector_graph.similar_pairs(table(spark, d, "chunk_vectors"))
+
+
+@query
+def p2_nearest(spark, d):
+    return vector_graph.nearest(table(spark, d, "chunk_vectors"))
+
+
+@query
+def p2_search(spark, d):
+    return vector_graph.search(table(spark, d, "chunk_vectors"))
+
+
+@query
+def p4_found(spark, d):
+    pairs = near_duplicates.asset_duplicates(table(spark, d, "assets")).pairs()
+    return pairs.select(F.col("key_a").alias("identifier_a"), F.col("key_b").alias("identifier_b"))
+
+
+@query
+def p4_groups(spark, d):
+    groups = near_duplicates.asset_duplicates(table(spark, d, "assets")).groups()
+    return groups.withColumnRenamed("key", "identifier")
+
+
 @query
 def p5_found(spark, d):
     return splitting.oversized_texts(table(spark, d, "assets"))
