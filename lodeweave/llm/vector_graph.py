@@ -469,7 +469,7 @@ def search(table: DataFrame, every: int = 50, k: int = 5, key: str = "id", vecto
 
     graph = neighbour_graph(table, key, vector, dim, degree)
     asked = graph.where(F.col("id") % every == 0).select(F.col("id").alias("query"), "vec", "home")
-    spread = Window.partitionBy("home").orderBy(F.xxhash64("id"), "id")
+    spread = Window.partitionBy("home").orderBy(F.xxhash64("entry"), "entry")
     doors = graph.select("home", F.col("id").alias("entry")).withColumn("_r", F.row_number().over(spread)).where(F.col("_r") <= entries).select("home", "entry")
     starts = asked.join(doors, "home").select("query", "vec", "entry")
     return greedy_search(graph, starts, degree, k, dim=dim, **how)
