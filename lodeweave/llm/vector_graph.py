@@ -229,8 +229,11 @@ def _grouped(batches):
         yield pa.Table.from_batches(rest)
 
 
-def _merge(rows: DataFrame, degree: int) -> DataFrame:
-    """One row per id from any number of partial lists: best neighbours, vector, home cell, blocks met."""
+def _merge(rows: DataFrame, degree: int, lists_only: bool = False) -> DataFrame:
+    """One row per id from any number of partial lists: best neighbours, vector, home cell, blocks met.
+
+    With ``lists_only`` just id and neighbours, when nothing is to follow.
+    """
     kind = _entry(degree)
 
     def merge(batches):
@@ -255,6 +258,10 @@ def _merge(rows: DataFrame, degree: int) -> DataFrame:
             out = np.zeros(len(own), kind)
             out["id"], out["sim"] = -1, -2
             out["id"][row, place], out["sim"][row, place], out["home"][row, place] = nid, sim, home
+            packed = _binary(out.view(np.uint8).reshape(len(own), -1))
+            if lists_only:
+                yield pa.RecordBatch.from_arrays([pa.array(own), packed], ["id", "near"])
+                continue
             vec = table["vec"].combine_chunks()
             has = np.flatnonzero(np.asarray(vec.is_valid()))
             _, take = np.unique(ids[has], return_index=True)
@@ -266,10 +273,11 @@ def _merge(rows: DataFrame, degree: int) -> DataFrame:
                     cells[at[k]] = sorted(set(cells[at[k]]) | set(m)) if cells[at[k]] else m
             homes = table["home"].to_numpy(zero_copy_only=False)
             firsts = has[take]
-            yield pa.RecordBatch.from_arrays([pa.array(own), _binary(out.view(np.uint8).reshape(len(own), -1)), vec.take(pa.array(firsts)), pa.array(homes[firsts].astype(np.int32)), pa.array(cells, pa.list_(pa.int64()))], ["id", "near", "vec", "home", "met"])
+            yield pa.RecordBatch.from_arrays([pa.array(own), packed, vec.take(pa.array(firsts)), pa.array(homes[firsts].astype(np.int32)), pa.array(cells, pa.list_(pa.int64()))], ["id", "near", "vec", "home", "met"])
 
-    shaped = rows.select("id", "near", "vec", "home", "met").repartition("id").sortWithinPartitions("id")
-    return shaped.mapInArrow(merge, "id long, near binary, vec binary, home int, met array<long>")
+    columns = ["id", "near"] if lists_only else ["id", "near", "vec", "home", "met"]
+    schema = "id long, near binary" if lists_only else "id long, near binary, vec binary, home int, met array<long>"
+    return rows.select(*columns).repartition("id").sortWithinPartitions("id").mapInArrow(merge, schema)
 
 
 def _visits(graph: DataFrame, shared, degree: int, visits: int) -> DataFrame:
@@ -371,18 +379,25 @@ def _local_join(degree: int, dim: int):
     return join
 
 
-def neighbour_graph(table: DataFrame, key: str = "id", vector: str = "vector", dim: int = 64, degree: int = 6, rounds: int = 1, visits: int = 2) -> DataFrame:
-    """(id, near, vec, home, met): packed neighbour lists, best first, materialised after each round."""
+def neighbour_graph(table: DataFrame, key: str = "id", vector: str = "vector", dim: int = 64, degree: int = 6, rounds: int = 1, visits: int = 2, lists_only: bool = False) -> DataFrame:
+    """(id, near, vec, home, met): packed neighbour lists, best first, materialised after each round.
+
+    With ``lists_only`` the last round gives (id, near) and is left to be computed by its one reader.
+    """
     spark = table.sparkSession
     vectors = encoded(table, key, vector, dim)
     shared = spark.sparkContext.broadcast(fit(table, key, vector, dim))
     blocks = _assign(vectors, shared, dim)
     lists = blocks.groupBy("block").applyInArrow(_block_lists(degree, dim), "id long, near binary, vec binary, home int, met array<long>")
+    if lists_only and not rounds:
+        return _merge(lists, degree, True)
     graph = cut_lineage(_merge(lists, degree))
-    for _ in range(rounds):
+    for done in range(rounds):
         sent = _visits(graph, shared, degree, visits)
         better = sent.groupBy("block").applyInArrow(_local_join(degree, dim), "id long, near binary, home int, met array<long>")
         both = graph.unionByName(better.withColumn("vec", F.lit(None).cast("binary")))
+        if lists_only and done == rounds - 1:
+            return _merge(both, degree, True)
         graph = cut_lineage(_merge(both, degree))
     return graph
 
@@ -407,14 +422,14 @@ def edges(graph: DataFrame, degree: int, k: int, at_least: float = -1.0) -> Data
 def nearest(table: DataFrame, k: int = 5, key: str = "id", vector: str = "vector", dim: int = 64, **how) -> DataFrame:
     """(id, rank, neighbour, distance) of the k most similar vectors of every usable vector; distance is 1 - cosine."""
     degree = how.pop("degree", k + 1)
-    found = edges(neighbour_graph(table, key, vector, dim, degree, **how), degree, k)
+    found = edges(neighbour_graph(table, key, vector, dim, degree, lists_only=True, **how), degree, k)
     return found.select("id", "rank", "neighbour", (1 - F.col("similarity")).alias("distance"))
 
 
 def similar_pairs(table: DataFrame, at_least: float = 0.9, k: int = 5, key: str = "id", vector: str = "vector", dim: int = 64, **how) -> DataFrame:
     """(id_a, id_b) of at least the given similarity, one among the k most similar of the other."""
     degree = how.pop("degree", k + 1)
-    found = edges(neighbour_graph(table, key, vector, dim, degree, **how), degree, k, at_least)
+    found = edges(neighbour_graph(table, key, vector, dim, degree, lists_only=True, **how), degree, k, at_least)
     return found.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).where("id_a <> id_b").distinct()
 
 
@@ -463,7 +478,7 @@ def greedy_search(graph: DataFrame, queries: DataFrame, degree: int, k: int = 5,
 def search(table: DataFrame, every: int = 50, k: int = 5, key: str = "id", vector: str = "vector", dim: int = 64, degree: int = 8, entries: int = 4, **how) -> DataFrame:
     """Greedy search for every row whose id is divisible by ``every``, against all rows.
 
-    Each query enters at ``entries`` vectors of its home cell, spread over the cell by a hash.
+    Each query enters at itself, being a vector of the graph, and at ``entries`` vectors of its home cell, spread over the cell by a hash.
     """
     from pyspark.sql import Window
 
@@ -471,5 +486,5 @@ def search(table: DataFrame, every: int = 50, k: int = 5, key: str = "id", vecto
     asked = graph.where(F.col("id") % every == 0).select(F.col("id").alias("query"), "vec", "home")
     spread = Window.partitionBy("home").orderBy(F.xxhash64("entry"), "entry")
     doors = graph.select("home", F.col("id").alias("entry")).withColumn("_r", F.row_number().over(spread)).where(F.col("_r") <= entries).select("home", "entry")
-    starts = asked.join(doors, "home").select("query", "vec", "entry")
+    starts = asked.join(doors, "home").select("query", "vec", "entry").unionByName(asked.select("query", "vec", F.col("query").alias("entry")))
     return greedy_search(graph, starts, degree, k, dim=dim, **how)
