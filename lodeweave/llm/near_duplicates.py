@@ -13,14 +13,14 @@ as much as the one before, the dynamic program over partitions has its optimum
 where the cheapest bits are probed first, and that order is the same for all
 records, so the index only needs the bits that some partner may probe.
 
-Probes meet index entries in one shuffle join; size and position bounds
-in the join condition, a 256-bit parity sketch (whose Hamming distance never
+Probes meet index entries in one shuffle by bit; size and position bounds, a 512-bit parity sketch (whose Hamming distance never
 exceeds that of the full vectors), and at last the exact similarity of the
 texts verify the candidates. No step can lose a pair.
 
 Equal texts are one class: they are worked once and joined again at the end.
 A class or group of any size is never gathered in one task, and no step
-takes pairs within a group of copies.
+takes pairs within a group of copies. A bit that very many records hold is cut into blocks, and
+pairs of blocks meet in tasks of their own.
 
 Null names count as empty; records with null, empty or too short
 descriptions have no partner.
@@ -42,9 +42,11 @@ from pyspark.sql import functions as F
 from lodeweave.llm.splitting import plain_text
 from lodeweave.runtime import cut_lineage
 
-#: Buckets of the histogram of shingle counts, and of a block in which it travels: 4 MB whatever the data.
-BUCKETS, BLOCK = 1 << 20, 1 << 14
-SKETCH_WORDS = 4
+#: Buckets of the histogram of shingle counts, and of a block in which it travels: 16 MB whatever the data.
+BUCKETS, BLOCK = 1 << 22, 1 << 15
+SKETCH_WORDS = 8
+#: Entries of one bit that meet in one block, and pairs looked at in one step.
+HOT, STEP = 4096, 1 << 22
 _WORD = re.compile(r"[^\W_]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -56,13 +58,17 @@ class Shingler:
         self.width, self.least = width, least_words
         self.known: dict[str, int] = {}
 
-    def _hash(self, word: str) -> int:
-        value = self.known.get(word)
-        if value is None:
-            value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
-            if len(self.known) < 1 << 19:
-                self.known[word] = value
-        return value
+    def _hashes(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        try:
+            return np.array([known[w] for w in words], np.uint64)
+        except KeyError:
+            if len(known) > 1 << 19:
+                known.clear()
+            for w in words:
+                if w not in known:
+                    known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"))
+            return np.array([known[w] for w in words], np.uint64)
 
     def one(self, name: str | None, text: str | None) -> np.ndarray | None:
         """Bits of a record, or None if its text has too few words."""
@@ -78,7 +84,7 @@ class Shingler:
         n = len(words) - self.width + 1
         if n < 1:
             return np.empty(0, np.uint64)
-        hashed = np.fromiter(map(self._hash, words), np.uint64, len(words))
+        hashed = self._hashes(words)
         out = np.zeros(n, np.uint64)
         for k in range(self.width):
             out = (out ^ hashed[k : k + n]) * _M1
@@ -114,7 +120,8 @@ def histogram(base: DataFrame, width: int, least: int) -> np.ndarray:
     def count(batches):
         counts = np.zeros(BUCKETS, np.uint32)
         for _, bits in _batches(batches, width, least):
-            np.add.at(counts, (bits & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+            at, often = np.unique(bits & np.uint64(BUCKETS - 1), return_counts=True)
+            counts[at] += often.astype(np.uint32)
         blocks = counts.reshape(-1, BLOCK)
         full = [k for k in range(len(blocks)) if blocks[k].any()]
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([zlib.compress(blocks[k].tobytes(), 1) for k in full], pa.binary())], ["block", "counts"])
@@ -127,7 +134,7 @@ def histogram(base: DataFrame, width: int, least: int) -> np.ndarray:
 
     rows = base.select("rid", "name", "text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary")
     out = np.zeros((BUCKETS // BLOCK, BLOCK), np.uint32)
-    for r in rows.collect():  # 64 rows, 4 MB
+    for r in rows.collect():  # 128 rows, 16 MB
         out[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
     return out.reshape(-1)
 
@@ -147,17 +154,25 @@ def allocate(bits: np.ndarray, estimate: np.ndarray, similarity: float) -> tuple
 
 
 def _emit(base: DataFrame, counts: np.ndarray, width: int, least: int, similarity: float) -> DataFrame:
-    """(bit, rid, n, pos, probes): the index entries of each distinct record."""
+    """(key, rid, n, pos, side): the index entries of each distinct record.
+
+    ``key`` is the bit; for a bit of several blocks it is the bit with a pair of
+    blocks, and ``side`` tells which of the two (-1 where both are the same).
+    """
     shared = base.sparkSession.sparkContext.broadcast(counts)
 
     def emit(batches):
         estimate, out, size = shared.value, [], 0
         for rid, bits in _batches(batches, width, least):
             e = estimate[(bits & np.uint64(BUCKETS - 1)).astype(np.int64)]
-            ordered, cost, probe, index = allocate(bits, e, similarity)
+            ordered, cost, _, index = allocate(bits, e, similarity)
             pos = np.flatnonzero(cost[:index] > 1)  # a bit that one record holds finds nobody
+            key, side = ordered[pos], np.full(len(pos), -1, np.int8)
+            hot = np.flatnonzero(cost[pos] > HOT)
+            if len(hot):
+                key, pos, side = _blocks(key, pos, side, cost[pos], hot, rid)
             if len(pos):
-                out.append((ordered[pos].view(np.int64), np.full(len(pos), rid, np.int64), np.full(len(pos), len(bits), np.int32), pos.astype(np.int32), np.full(len(pos), probe, np.int32)))
+                out.append((key.view(np.int64), np.full(len(pos), rid, np.int64), np.full(len(pos), len(bits), np.int32), pos.astype(np.int32), side))
                 size += len(pos)
             if size > 1 << 16:
                 yield _table(out)
@@ -166,9 +181,79 @@ def _emit(base: DataFrame, counts: np.ndarray, width: int, least: int, similarit
             yield _table(out)
 
     def _table(rows):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["bit", "rid", "n", "pos", "probes"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["key", "rid", "n", "pos", "side"])
+
+    return base.select("rid", "name", "text").mapInArrow(emit, "key long, rid long, n int, pos int, side byte")
+
+
+def _blocks(key, pos, side, cost, hot, rid):
+    """Entries of hot bits, one for each pair of blocks that the record's block is in."""
+    keys, places, sides = [np.delete(key, hot)], [np.delete(pos, hot)], [np.delete(side, hot)]
+    for h in hot:
+        blocks = -(-int(cost[h]) // HOT)
+        own = (rid * 0x9E3779B97F4A7C15 % (1 << 64)) >> 33
+        own %= blocks
+        others = np.arange(blocks, dtype=np.uint64)
+        low, high = np.minimum(others, np.uint64(own)), np.maximum(others, np.uint64(own))
+        keys.append((key[h] ^ (low * _M2 + np.uint64(1))) * _M1 ^ (high * _M3))
+        places.append(np.full(blocks, pos[h]))
+        sides.append(np.where(others == own, -1, (others < own).astype(np.int8)).astype(np.int8))
+    return np.concatenate(keys), np.concatenate(places), np.concatenate(sides)
+
+
+def _probe(entries: DataFrame, similarity: float) -> DataFrame:
+    """(x_rid, y_rid) of records that meet at a bit that the smaller one, x, probes and the larger one, y, indexes.
 
-    return base.select("rid", "name", "text").mapInArrow(emit, "bit long, rid long, n int, pos int, probes int")
+    One shuffle; the pairs of a sorted partition are made a bounded step at a time.
+    """
+    part = similarity / (1 + similarity)
+
+    def probe(batches):
+        for table in whole_keys(batches):
+            key, rid, n, pos, side = (table[c].to_numpy() for c in ("key", "rid", "n", "pos", "side"))
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[start, len(key)])
+            first, members = np.repeat(start, size), np.repeat(size, size)
+            n8 = n.astype(np.float64)
+            asks = np.flatnonzero((members > 1) & (pos <= n - np.ceil(2 * part * n8 - 1e-9)))
+            upto = np.cumsum(members[asks])
+            a = 0
+            while a < len(asks):
+                done = upto[a - 1] if a else 0
+                b = max(a + 1, int(np.searchsorted(upto, done + STEP, side="right")))
+                mine = asks[a:b]
+                reach = members[mine]
+                x = np.repeat(mine, reach)
+                y = np.arange(len(x)) - np.repeat(np.cumsum(reach) - reach, reach) + np.repeat(first[mine], reach)
+                a = b
+                ok = (n[x] < n[y]) | ((n[x] == n[y]) & (rid[x] < rid[y]))
+                ok &= n8[x] >= similarity * n8[y]
+                ok &= np.minimum(n[x] - pos[x], n[y] - pos[y]) >= np.ceil(part * (n8[x] + n8[y]) - 1e-9)
+                ok &= (side[x] == -1) | (side[x] != side[y])
+                p, q = rid[x[ok]], rid[y[ok]]
+                if len(p):
+                    order = np.lexsort((q, p))
+                    p, q = p[order], q[order]
+                    new = np.r_[True, (p[1:] != p[:-1]) | (q[1:] != q[:-1])]
+                    yield pa.RecordBatch.from_arrays([pa.array(p[new]), pa.array(q[new])], ["x_rid", "y_rid"])
+
+    return entries.repartition("key").sortWithinPartitions("key").mapInArrow(probe, "x_rid long, y_rid long")
+
+
+def whole_keys(batches):
+    """Tables of whole groups from batches sorted by their first column; the last group waits for the next batch."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1], side="left"))
+        if cut:
+            yield pa.Table.from_batches([*rest, batch.slice(0, cut)])
+            rest = []
+        rest.append(batch.slice(cut))
+    if rest:
+        yield pa.Table.from_batches(rest)
 
 
 def _sketches(base: DataFrame, width: int, least: int) -> DataFrame:
@@ -177,7 +262,7 @@ def _sketches(base: DataFrame, width: int, least: int) -> DataFrame:
     def sketch(batches):
         rows = []
         for rid, bits in _batches(batches, width, least):
-            at = ((bits * _M3) >> np.uint64(56)).astype(np.int64)
+            at = ((bits * _M3) >> np.uint64(55)).astype(np.int64)
             parity = np.bincount(at, minlength=64 * SKETCH_WORDS).astype(np.uint8) & 1
             rows.append((rid, len(bits), np.packbits(parity).view(np.int64)))
         if rows:
@@ -190,29 +275,25 @@ def _sketches(base: DataFrame, width: int, least: int) -> DataFrame:
 def class_pairs(base: DataFrame, sketches: DataFrame, similarity: float, width: int, least: int) -> DataFrame:
     """(rid_a, rid_b, similarity) of the classes of equal text that are at least so similar."""
     entries = _emit(base, histogram(base, width, least), width, least, similarity)
-    x, y = (entries.select("bit", *[F.col(c).alias(f"{side}_{c}") for c in ("rid", "n", "pos", "probes")]) for side in "xy")
-    part = similarity / (1 + similarity)
-    bound = F.ceil(F.lit(part) * (F.col("x_n") + F.col("y_n")) - 1e-9)
-    met = x.join(y, "bit").where(
-        # Written over both sides, so that both read one and the same shuffle.
-        (F.col("x_pos") - F.col("y_pos") < F.col("x_probes") - F.col("y_pos"))
-        & ((F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_rid") < F.col("y_rid"))))
-        & (F.col("x_n") >= F.lit(similarity) * F.col("y_n"))
-        & (F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= bound)
-    )
-    candidates = met.select("x_rid", "y_rid").distinct()
+    candidates = _probe(entries, similarity).distinct()
     a, b = (sketches.select(*[F.col(c).alias(f"{side}_{c}") for c in sketches.columns]) for side in "xy")
     differ = sum(F.bit_count(F.col(f"x_s{k}").bitwiseXOR(F.col(f"y_s{k}"))) for k in range(SKETCH_WORDS))
     near = candidates.join(a, "x_rid").join(b, "y_rid").where(differ <= F.lit((1 - similarity) / (1 + similarity) + 1e-9) * (F.col("x_n") + F.col("y_n"))).select("x_rid", "y_rid")
-    texts = base.select("rid", "name", "text").distinct()
+    texts = base.groupBy("rid").agg(F.first("name").alias("name"), F.first("text").alias("text"))
     both = near.join(texts.select(F.col("rid").alias("x_rid"), F.col("name").alias("x_name"), F.col("text").alias("x_text")), "x_rid")
     both = both.join(texts.select(F.col("rid").alias("y_rid"), F.col("name").alias("y_name"), F.col("text").alias("y_text")), "y_rid")
 
     @F.pandas_udf("double")
     def jaccard(x_name: pd.Series, x_text: pd.Series, y_name: pd.Series, y_text: pd.Series) -> pd.Series:
-        shingler, out = Shingler(width, least), []
+        shingler, out, known = Shingler(width, least), [], {}
+
+        def bits(name, text):
+            if (name, text) not in known:
+                known[name, text] = shingler.one(name, text)
+            return known[name, text]
+
         for x_n, x_t, y_n, y_t in zip(x_name, x_text, y_name, y_text):
-            p, q = shingler.one(x_n, x_t), shingler.one(y_n, y_t)
+            p, q = bits(x_n, x_t), bits(y_n, y_t)
             if p is None or q is None:
                 out.append(0.0)
                 continue

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.llm.near_duplicates import whole_keys
 from lodeweave.runtime import cut_lineage
 
 #: Vectors that the pivots are fitted on, at most.
@@ -212,23 +213,6 @@ def _block_lists(degree: int, dim: int):
     return compare
 
 
-def _grouped(batches):
-    """Tables of whole ids from batches sorted by id; the last id of a batch waits for the next."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids = batch.column(0).to_numpy()
-        cut = int(np.searchsorted(ids, ids[-1], side="left"))
-        if cut == 0:
-            rest.append(batch)
-            continue
-        yield pa.Table.from_batches([*rest, batch.slice(0, cut)])
-        rest = [batch.slice(cut)]
-    if rest:
-        yield pa.Table.from_batches(rest)
-
-
 def _merge(rows: DataFrame, degree: int, lists_only: bool = False) -> DataFrame:
     """One row per id from any number of partial lists: best neighbours, vector, home cell, blocks met.
 
@@ -237,7 +221,7 @@ def _merge(rows: DataFrame, degree: int, lists_only: bool = False) -> DataFrame:
     kind = _entry(degree)
 
     def merge(batches):
-        for table in _grouped(batches):
+        for table in whole_keys(batches):
             ids = table["id"].to_numpy()
             lists = _bytes(table["near"]).view(kind)
             own, first = np.unique(ids, return_index=True)
