@@ -43,6 +43,8 @@ SPACE = r"[\s\x1C-\x1F\x85\p{Z}\x{2800}]+"
 
 def _expand(char: str, folds: dict[str, str]) -> str:
     """Full decomposition of a character into what looks the same, look-alikes replaced."""
+    if char in folds:
+        return folds[char]
     how = unicodedata.decomposition(char)
     if how and char not in DIFFERENT:
         kind, _, rest = how.rpartition(">")
@@ -52,7 +54,7 @@ def _expand(char: str, folds: dict[str, str]) -> str:
                 return "".join(_expand(c, folds) for c in parts)
     if 0xAC00 <= ord(char) <= 0xD7A3:
         return unicodedata.normalize("NFD", char)
-    return folds.get(char, char)
+    return char
 
 
 @lru_cache(maxsize=1)
