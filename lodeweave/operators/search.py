@@ -102,8 +102,8 @@ def _blocked(q: DataFrame, c: DataFrame, k: int, grouped: bool, tagged: bool, sc
     """Every query block against every corpus block, one cogrouped task each."""
     q_blocks = max(1, -(-n // QUERY_BLOCK))
     c_blocks = max(1, -(-c.count() // CORPUS_BLOCK))
-    left = q.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).cast("long"))
-    right = c.withColumn("_c", F.pmod(F.xxhash64("id"), F.lit(c_blocks))).withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("long"))
+    left = q.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))))
+    right = c.withColumn("_c", F.pmod(F.xxhash64("id"), F.lit(c_blocks))).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:

@@ -168,6 +168,7 @@ def apply_safely(df: DataFrame, function: str, column: str, attempts: int = 3, b
                 for f in [first] * attempts + ([second] if second else []):
                     try:
                         result, error = f(text), None
+                        result = None if result is None else str(result)
                         if result is not None:
                             break
                     except Exception as e:  # a function of a user's may raise anything
