@@ -105,12 +105,15 @@ def _blocked(q: DataFrame, c: DataFrame, k: int, grouped: bool, tagged: bool, sc
     left = q.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))))
     right = c.withColumn("_c", F.pmod(F.xxhash64("id"), F.lit(c_blocks))).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
 
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+    shape = pa.schema([(f.split()[0], kinds.get(f.split()[1], pa.int64())) for f in schema.split(", ")])
+
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
-            return pa.Table.from_pandas(pd.DataFrame({f.split()[0]: pd.Series(dtype="object" if "string" in f else "float64" if "double" in f else "int64") for f in schema.split(", ")}), preserve_index=False)
+            return shape.empty_table()
         tag = lambda t: t["tag"].to_pandas().to_numpy() if tagged else None
         out = _score(a["query_id"].to_pandas().to_numpy(), _unit(_matrix(a["vector"])), tag(a), b["id"].to_numpy(), _unit(_matrix(b["vector"])), b["asset_id"].to_pandas().to_numpy(), tag(b), k, grouped)
-        return pa.Table.from_pandas(out, preserve_index=False)
+        return pa.Table.from_pandas(out, schema=shape, preserve_index=False) if len(out) else shape.empty_table()
 
     return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(meet, schema)
 
