@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.llm.pairs import group_pairs
+from lodeweave.runtime import cut_lineage
 
 #: Letters and signs of other scripts that look like the letter they are listed under.
 LOOKALIKES = {
@@ -123,4 +124,5 @@ def lookalike_pairs(documents: DataFrame, expand: int = 64) -> DataFrame:
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     forms = canonical_text(docs).where(F.length("form") > 0)
     keyed = forms.select("doc_id", F.md5(F.col("form").cast("binary")).alias("group"), F.md5(F.col("text").cast("binary")).alias("variant")).distinct()
+    keyed = cut_lineage(keyed)  # narrow, and read by each of the steps that follow
     return group_pairs(keyed, "doc_id", expand)
