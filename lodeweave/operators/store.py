@@ -104,3 +104,31 @@ def page_completeness(df: DataFrame, order: list[str], window: int) -> DataFrame
     on = pages(df, order, window)
     counted = on.groupBy("page").agg(F.count("*").alias("rows"))
     return counted.withColumn("complete", F.col("rows") == window)
+
+
+class Documents:
+    """A document table with the calls of a document store; every change gives a new table of the same shape."""
+
+    def __init__(self, rows: DataFrame, key: str = "id") -> None:
+        self.rows, self.key = rows, key
+
+    def find(self, condition: Column, order: list[Column] | None = None, limit: int | None = None) -> DataFrame:
+        out = self.rows.where(condition)
+        out = out.orderBy(*order) if order else out
+        return out if limit is None else out.limit(limit)
+
+    def get(self, value) -> DataFrame:
+        """The row of a key, or no row."""
+        return self.find(F.col(self.key) == value, limit=1)
+
+    def create(self, new: DataFrame) -> Documents:
+        """Rows whose keys are not there yet are added; the others are left as they are."""
+        fresh = new.dropDuplicates([self.key]).join(self.rows.select(self.key), self.key, "left_anti")
+        return Documents(self.rows.unionByName(fresh), self.key)
+
+    def replace(self, new: DataFrame) -> Documents:
+        return Documents(upsert(self.rows, new.dropDuplicates([self.key]), self.key), self.key)
+
+    def delete(self, condition: Column) -> Documents:
+        """Rows for which the condition holds go; where it is null they stay."""
+        return Documents(self.rows.where(~F.coalesce(condition, F.lit(False))), self.key)

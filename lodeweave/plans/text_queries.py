@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions import text as tx
 from lodeweave.functions.vector import hash_embedding
-from lodeweave.operators import evaluate
+from lodeweave.operators import embedding, evaluate, normalise
 from lodeweave.plans.registry import query
 from lodeweave.runtime import table
 
@@ -303,3 +303,19 @@ def best_attempt(spark, d):
 def topic_expansion(spark, d):
     m = table(spark, d, "dataset_metadata").select("meta_id", "license", "task_types").distinct()
     return m.select("meta_id", evaluate.expand_topic(F.coalesce("license", F.lit("any")), F.coalesce("task_types", F.array().cast("array<string>"))).alias("topic"))
+
+
+@query("""with v as (select distinct lower(trim(original_value)) as value from normalized_values where field = 'ml_tasks' and original_value is not null),
+a as (select distinct lower(value) as allowed from field_valid_values where field = 'ml_tasks' and asset_type = 'base'),
+m as (select v.value, a.allowed, levenshtein(v.value, a.allowed) as edits from v, a where levenshtein(v.value, a.allowed) <= 2),
+b as (select *, row_number() over (partition by value order by edits, allowed) as r from m)
+select v.value, b.allowed as normalised, cast(b.edits as int) as edits from v left join b on b.value = v.value and b.r = 1""")
+def value_normalisation(spark, d):
+    values = table(spark, d, "normalized_values").where("field = 'ml_tasks'")
+    allowed = table(spark, d, "field_valid_values").where("field = 'ml_tasks' and asset_type = 'base'").select(F.col("value").alias("allowed"))
+    return normalise.to_allowed(values, allowed, "original_value")
+
+
+@query()
+def embed_whole_documents(spark, d):
+    return embedding.embed_whole(_docs(spark, d), "doc_id", "text", hash_embedding(64))
