@@ -112,10 +112,11 @@ def canonical_text(documents: DataFrame, key: str = "doc_id", text: str = "text"
     split = mixed.select(key, text, F.split("_v", " ").alias("_w"))
     # Words outside ASCII with their places; the rest of a text is never exploded.
     placed = split.select(key, F.explode(F.filter(F.transform("_w", lambda w, i: F.struct(i.alias("i"), w.alias("word"))), lambda x: F.rlike(x["word"], F.lit(r"[^\x00-\x7F]")))).alias("_x")).select(key, "_x.i", "_x.word")
+    placed = cut_lineage(placed)  # read twice, and much smaller than the texts
     forms = _canonical_words(spark, placed.select("word").distinct())
     patches = placed.join(forms, "word").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "form"))).alias("_patch"))
-    # Words that came out empty or with blanks are settled by cleaning the rebuilt text again.
-    rebuilt = split.join(patches, key).select(key, text, visible(F.array_join(F.transform("_w", lambda w, i: F.coalesce(F.try_element_at("_patch", i), w)), " ")).alias("form"))
+    # No form is empty or has blanks at its ends, so the words joined are clean.
+    rebuilt = split.join(patches, key).select(key, text, F.array_join(F.transform("_w", lambda w, i: F.coalesce(F.try_element_at("_patch", i), w)), " ").alias("form"))
     return plain.unionByName(rebuilt)
 
 
