@@ -109,14 +109,15 @@ def canonical_text(documents: DataFrame, key: str = "doc_id", text: str = "text"
     foreign = F.rlike("_v", F.lit(r"[^\x00-\x7F]"))
     plain = base.where(~F.coalesce(foreign, F.lit(False))).select(key, text, F.col("_v").alias("form"))
     mixed = base.where(foreign)
-    split = mixed.select(key, text, F.split("_v", " ").alias("_w"))
+    # The form depends on the text alone: equal texts share one row below, under a hash of 96 bits.
+    split = mixed.select(key, text, F.xxhash64(text).alias("_h"), F.hash(text).alias("_g"), F.split("_v", " ").alias("_w"))
     # Words outside ASCII with their places; the rest of a text is never exploded.
-    placed = split.select(key, F.explode(F.filter(F.transform("_w", lambda w, i: F.struct(i.alias("i"), w.alias("word"))), lambda x: F.rlike(x["word"], F.lit(r"[^\x00-\x7F]")))).alias("_x")).select(key, "_x.i", "_x.word")
+    placed = split.select("_h", "_g", F.explode(F.filter(F.transform("_w", lambda w, i: F.struct(i.alias("i"), w.alias("word"))), lambda x: F.rlike(x["word"], F.lit(r"[^\x00-\x7F]")))).alias("_x")).select("_h", "_g", "_x.i", "_x.word").distinct()
     placed = cut_lineage(placed)  # read twice, and much smaller than the texts
     forms = _canonical_words(spark, placed.select("word").distinct())
-    patches = placed.join(forms, "word").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "form"))).alias("_patch"))
+    patches = placed.join(forms, "word").groupBy("_h", "_g").agg(F.map_from_entries(F.collect_list(F.struct("i", "form"))).alias("_patch"))
     # No form is empty or has blanks at its ends, so the words joined are clean.
-    rebuilt = split.join(patches, key).select(key, text, F.array_join(F.transform("_w", lambda w, i: F.coalesce(F.try_element_at("_patch", i), w)), " ").alias("form"))
+    rebuilt = split.join(patches, ["_h", "_g"]).select(key, text, F.array_join(F.transform("_w", lambda w, i: F.coalesce(F.try_element_at("_patch", i), w)), " ").alias("form"))
     return plain.unionByName(rebuilt)
 
 

@@ -27,5 +27,5 @@ def group_pairs(keyed: DataFrame, key: str, expand: int = 64) -> DataFrame:
     second = variants.join(large, "group").where("variant <> _own").groupBy("group").agg(F.min("low").alias("_second"))
     star = keyed.join(large.join(second, "group"), "group")
     star = star.withColumn("_hub", F.when(F.col("variant") == F.col("_own"), F.col("_second")).otherwise(F.col("_first")))
-    star = star.select(F.least(key, "_hub").alias(a), F.greatest(key, "_hub").alias(b)).distinct()
+    star = star.select(F.least(key, "_hub").alias(a), F.greatest(key, "_hub").alias(b)).where(F.col(a) != F.col(b)).distinct()
     return every.unionByName(star)

@@ -29,6 +29,11 @@ def test_nulls_blank_long_and_emoji(spark):
     assert forms[0] is None and forms[1] == forms[2] == "" and forms[3] == long_text and forms[4] == "👍🏽 ok 🙂"
 
 
+def test_repeated_rows_and_keys(spark):
+    df = spark.createDataFrame([(1, "café é"), (1, "café é"), (1, "thé é"), (None, "café é")], "doc_id long, text string")
+    assert sorted(r["form"] for r in lk.canonical_text(df).collect()) == ["café é"] * 3 + ["thé é"]
+
+
 def test_pairs_and_large_groups(spark):
     rows = [(1, "café"), (2, "café"), (3, "café"), (4, "tea"), (5, "tea"), (6, "​"), (7, " "), (8, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
