@@ -121,8 +121,8 @@ def canonical_text(documents: DataFrame, key: str = "doc_id", text: str = "text"
     return plain.unionByName(rebuilt)
 
 
-def lookalike_pairs(documents: DataFrame, expand: int = 64) -> DataFrame:
-    """(doc_id_a, doc_id_b): documents of one form whose texts differ in code points; see ``group_pairs`` for large groups."""
+def lookalike_pairs(documents: DataFrame, expand: int | None = None) -> DataFrame:
+    """(doc_id_a, doc_id_b): all documents of one form whose texts differ in code points; see ``group_pairs`` for ``expand``."""
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     forms = canonical_text(docs).where(F.length("form") > 0)
     keyed = forms.select("doc_id", F.md5(F.col("form").cast("binary")).alias("group"), F.md5(F.col("text").cast("binary")).alias("variant")).distinct()

@@ -1,6 +1,7 @@
 import pytest
 
 from lodeweave.llm import lookalike as lk
+from lodeweave.llm import pairs
 
 
 def _forms(spark, texts):
@@ -46,6 +47,22 @@ def test_pairs_and_large_groups(spark):
     assert lk.lookalike_pairs(df.limit(0)).count() == 0
 
 
+def test_large_groups_give_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "CHUNK", 4, raising=False)
+    monkeypatch.setattr(pairs, "BLOCK", 16, raising=False)
+    kind = lambda i: 0 if i < 50 else i % 4
+    rows = [(i, "x" + "\u200b" * kind(i)) for i in range(90)] + [(100, "y"), (101, "y\u200b")]
+    got = [tuple(r) for r in lk.lookalike_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if kind(i) != kind(j)} | {(100, 101)}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_compact_form_links_all_variants(spark):
+    rows = [(i, "x" + "\u200b" * (i % 4)) for i in range(40)]
+    got = {tuple(r) for r in lk.lookalike_pairs(spark.createDataFrame(rows, "doc_id long, text string"), expand=8).collect()}
+    assert {(1, 2), (1, 3), (2, 3)} <= got
+
+
 @pytest.mark.parametrize("base", list("AEOaeocpxy"))
 def test_tables_fold_listed_letters(base):
     expansion, _ = lk.tables()
