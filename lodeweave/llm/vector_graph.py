@@ -5,16 +5,18 @@ two nearest pivots, and vectors that share a cell are compared. Then rounds of
 NN-descent improve it by Spark joins: a vector visits the home cells of its
 neighbours, where it meets the neighbours of its neighbours in one matrix
 product, and both sides keep what is better than their farthest neighbour. A
-vector is sent only to cells it has not met yet, so the traffic falls from
-round to round. Queries walk the finished graph greedily.
+vector is sent to all of these cells that it has not met yet, so the traffic
+falls from round to round, and the rounds end when no vector has a neighbour in
+a cell that it has not met. Queries walk the finished graph greedily.
 
 Vectors travel as 16-bit integers scaled to each vector's largest component;
 the cosine similarity of two of them is within 0.00001 of the exact one.
 
-Pivots are fitted on a bounded sample (``SAMPLE`` vectors); every vector is
-indexed. Cells above ``MAX_BLOCK`` members, as the sample foretells them, are
-split into parts by id, so a cell that holds a third of all vectors is never gathered
-in one task; its parts meet in the rounds and in the second cells.
+Pivots are fitted on a bounded sample (``SAMPLE`` vectors, or eight for each cell
+where that is more); every vector is indexed. Cells above ``MAX_BLOCK`` members, as the
+sample foretells them, are split into parts by id, so a cell that holds a third of
+all vectors is never gathered in one task. In the first round each two parts of
+a cell meet in a task of their own, and who visits a cell visits all its parts.
 
 Null, zero, non-finite vectors and those of another length have no neighbours
 and are nobody's. Repeated rows count once; if one id comes with
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from lodeweave.llm.near_duplicates import whole_keys
 from lodeweave.runtime import cut_lineage
 
-#: Vectors that the pivots are fitted on, at most.
+#: Vectors that the pivots are fitted on, unless the cells need more.
 SAMPLE = 32768
 CELL, MAX_CELLS, MAX_BLOCK = 800, 16384, 6000
 SPILL = 2
@@ -112,15 +114,17 @@ class Pivots:
 def fit(table: DataFrame, key: str, vector: str, dim: int, cell: int = CELL, seed: int = 11) -> Pivots:
     """Spherical k-means on a bounded sample; the number of cells follows the number of vectors."""
     n = table.count()
-    share = min(1.0, 1.2 * SAMPLE / max(1, n))
+    wanted = min(MAX_CELLS, round(n / cell))
+    most = max(SAMPLE, 8 * wanted)
+    share = min(1.0, 1.2 * most / max(1, n))
     chosen = table.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20))))
-    picked = encoded(chosen, key, vector, dim).limit(SAMPLE).toArrow() if n else None
+    picked = encoded(chosen, key, vector, dim).limit(most).toArrow() if n else None
     if picked is None or not picked.num_rows:
         return Pivots(np.zeros((1, dim), np.float32), np.ones(1, np.int64))
     sample = np.unique(_codes(picked["vec"], dim), axis=0)
     weight_rows = _unit(_codes(picked["vec"], dim))
     sample = _unit(sample)
-    count = int(max(1, min(MAX_CELLS, len(sample) // 8 or 1, round(n / cell))))
+    count = int(max(1, min(len(sample) // 8 or 1, wanted)))
     rng = np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), count, replace=False)].copy()
     few = sample[rng.permutation(len(sample))[: max(32 * count, 4096)]]
@@ -152,7 +156,10 @@ def _block(cells: np.ndarray, ids: np.ndarray, pivots: Pivots) -> np.ndarray:
 
 
 def _assign(vectors: DataFrame, shared, dim: int) -> DataFrame:
-    """(block, home, id, vec): each vector in its two cells; block is cell and part; home is the nearest cell."""
+    """(block, home, id, vec, own, whole): each vector in its two cells; block is cell and part; home is the nearest cell.
+
+    A vector is to meet the whole of its home cell, and of its second cell where that is not split.
+    """
 
     def assign(batches):
         pivots = shared.value
@@ -163,9 +170,9 @@ def _assign(vectors: DataFrame, shared, dim: int) -> DataFrame:
             cells = pivots.nearest(_unit(_codes(batch.column(1), dim)), SPILL)
             for k in range(cells.shape[1]):
                 block = _block(cells[:, k], ids, pivots)
-                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(cells[:, 0].astype(np.int32)), batch.column(0), batch.column(1), pa.array(np.full(len(ids), k == 0))], ["block", "home", "id", "vec", "own"])
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(cells[:, 0].astype(np.int32)), batch.column(0), batch.column(1), pa.array(np.full(len(ids), k == 0)), pa.array((pivots.parts[cells[:, k]] == 1) | (k == 0))], ["block", "home", "id", "vec", "own", "whole"])
 
-    return vectors.mapInArrow(assign, "block long, home int, id long, vec binary, own boolean")
+    return vectors.mapInArrow(assign, "block long, home int, id long, vec binary, own boolean, whole boolean")
 
 
 def _best(sims: np.ndarray, ids: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,11 +192,11 @@ def _block_lists(degree: int, dim: int):
         ids = table["id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         ids, codes = ids[order], _codes(table["vec"], dim)[order]
-        homes, own = (table[c].to_numpy(zero_copy_only=False)[order] for c in ("home", "own"))
-        block = table["block"][0].as_py()
+        homes, own, whole = (table[c].to_numpy(zero_copy_only=False)[order] for c in ("home", "own", "whole"))
+        cell = table["block"][0].as_py() >> 20
         fresh = np.ones(len(ids), bool)
         fresh[1:] = (ids[1:] != ids[:-1]) | (codes[1:] != codes[:-1]).any(axis=1)
-        ids, codes, homes, own = ids[fresh], codes[fresh], homes[fresh], own[fresh]
+        ids, codes, homes, own, whole = ids[fresh], codes[fresh], homes[fresh], own[fresh], whole[fresh].astype(bool)
         unit, m = _unit(codes), len(ids)
         out = np.zeros(m, kind)
         out["id"], out["sim"] = -1, -2
@@ -207,17 +214,14 @@ def _block_lists(degree: int, dim: int):
             part["sim"][:, :k] = s
             part["home"][:, :k] = homes[p]
         vec = pa.array([c.tobytes() if o else None for c, o in zip(codes, own)], pa.binary())
-        met = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32)), pa.array(np.full(m, block, np.int64)))
+        met = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(whole)]).astype(np.int32)), pa.array(np.full(whole.sum(), cell, np.int64)))
         return pa.table([pa.array(ids), _binary(out.view(np.uint8).reshape(m, -1)), vec, pa.array(homes), met], ["id", "near", "vec", "home", "met"])
 
     return compare
 
 
-def _merge(rows: DataFrame, degree: int, lists_only: bool = False) -> DataFrame:
-    """One row per id from any number of partial lists: best neighbours, vector, home cell, blocks met.
-
-    With ``lists_only`` just id and neighbours, when nothing is to follow.
-    """
+def _merge(rows: DataFrame, degree: int) -> DataFrame:
+    """One row per id from any number of partial lists: best neighbours, vector, home cell, cells met."""
     kind = _entry(degree)
 
     def merge(batches):
@@ -243,9 +247,6 @@ def _merge(rows: DataFrame, degree: int, lists_only: bool = False) -> DataFrame:
             out["id"], out["sim"] = -1, -2
             out["id"][row, place], out["sim"][row, place], out["home"][row, place] = nid, sim, home
             packed = _binary(out.view(np.uint8).reshape(len(own), -1))
-            if lists_only:
-                yield pa.RecordBatch.from_arrays([pa.array(own), packed], ["id", "near"])
-                continue
             vec = table["vec"].combine_chunks()
             has = np.flatnonzero(np.asarray(vec.is_valid()))
             _, take = np.unique(ids[has], return_index=True)
@@ -259,47 +260,77 @@ def _merge(rows: DataFrame, degree: int, lists_only: bool = False) -> DataFrame:
             firsts = has[take]
             yield pa.RecordBatch.from_arrays([pa.array(own), packed, vec.take(pa.array(firsts)), pa.array(homes[firsts].astype(np.int32)), pa.array(cells, pa.list_(pa.int64()))], ["id", "near", "vec", "home", "met"])
 
-    columns = ["id", "near"] if lists_only else ["id", "near", "vec", "home", "met"]
-    schema = "id long, near binary" if lists_only else "id long, near binary, vec binary, home int, met array<long>"
-    return rows.select(*columns).repartition("id").sortWithinPartitions("id").mapInArrow(merge, schema)
+    columns = ["id", "near", "vec", "home", "met"]
+    return rows.select(*columns).repartition("id").sortWithinPartitions("id").mapInArrow(merge, "id long, near binary, vec binary, home int, met array<long>")
+
+
+def _spread(rows: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row ``counts`` times, with the numbers from ``first`` on."""
+    total = int(counts.sum())
+    return np.repeat(rows, counts), np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(total)
+
 
+def _unmet(batch: pa.RecordBatch, pivots: Pivots, degree: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, block) of all parts of the cells in which neighbours live and that a vector has not met."""
+    lists = _bytes(batch.column(1)).view(_entry(degree))
+    # Where the neighbours live is where the neighbours of neighbours are met.
+    lives, met = np.where(lists["id"] >= 0, lists["home"].astype(np.int64), -1).tolist(), batch.column(4).to_pylist()
+    new = [sorted(set(cells).difference(known, (-1,))) for cells, known in zip(lives, met)]
+    rows, cells = np.repeat(np.arange(len(new)), [len(x) for x in new]), np.array([c for x in new for c in x], np.int64)
+    return _spread(rows, cells << 20, pivots.parts[cells])
 
-def _visits(graph: DataFrame, shared, degree: int, visits: int) -> DataFrame:
-    """(block, visitor, id, home, vec, far): every vector at home, and as a visitor in up to ``visits`` new cells of its neighbours.
 
-    ``far`` is the similarity of the farthest neighbour kept so far.
+def _loads(graph: DataFrame, shared, degree: int) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks that are to be visited, in order, and the number of visitors of each."""
+
+    def count(batches):
+        for batch in batches:
+            if batch.num_rows:
+                block, n = np.unique(_unmet(batch, shared.value, degree)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(n)], ["block", "n"])
+
+    found = graph.select("id", "near", "vec", "home", "met").mapInArrow(count, "block long, n long").groupBy("block").agg(F.sum("n").alias("n")).toArrow()
+    block, n = found["block"].to_numpy(), found["n"].to_numpy()
+    order = np.argsort(block)
+    return block[order].astype(np.int64), n[order].astype(np.int64)
+
+
+def _visits(graph: DataFrame, shared, loads, degree: int, first: bool) -> DataFrame:
+    """(block, turn, visitor, id, home, vec, far): every vector as a visitor in the unmet cells of its neighbours, and at home for each turn of visitors there.
+
+    ``far`` is the similarity of the farthest neighbour kept so far. In the
+    first round each part of a split cell also visits the later parts, each
+    two under a turn below zero.
     """
     kind = _entry(degree)
 
     def send(batches):
-        pivots = shared.value
+        pivots, (visited, turns) = shared.value, loads.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, near, homes = batch.column(0).to_numpy(), batch.column(1), batch.column(3).to_numpy()
-            lists = _bytes(near).view(kind)
-            far = lists["sim"][:, degree - 1]
-            goal_row, goals = [], []
-            met = batch.column(4).to_pylist()
-            # Where the neighbours live is where the neighbours of neighbours are met.
-            lives = np.where(lists["id"] >= 0, _block(lists["home"].ravel(), lists["id"].ravel(), pivots).reshape(lists["id"].shape), -1).tolist()
-            for r, blocks in enumerate(lives):
-                known, new = {-1, *met[r]}, []
-                for b in blocks:
-                    if b not in known:
-                        known.add(b)
-                        new.append(b)
-                        if len(new) == visits:
-                            break
-                goal_row += [r] * len(new)
-                goals += new
-            rows = np.concatenate([np.arange(len(ids)), np.array(goal_row, np.int64)])
-            visitor = np.arange(len(rows)) >= len(ids)
-            block = np.concatenate([_block(homes, ids, pivots), np.array(goals, np.int64)])
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(visitor), pa.array(ids[rows]), pa.array(homes[rows]), batch.column(2).take(take), pa.array(far[rows])], ["block", "visitor", "id", "home", "vec", "far"])
-
-    return graph.select("id", "near", "vec", "home", "met").mapInArrow(send, "block long, visitor boolean, id long, home int, vec binary, far float")
+            ids, homes = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+            far = _bytes(batch.column(1)).view(kind)["sim"][:, degree - 1]
+            every, own = np.arange(len(ids)), _block(homes, ids, pivots)
+            row, block = _unmet(batch, pivots, degree)
+            mixed = (ids[row].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)
+            turn = (mixed % turns[np.searchsorted(visited, block)].astype(np.uint64)).astype(np.int64)
+            at = np.minimum(np.searchsorted(visited, own), max(0, len(visited) - 1))
+            times = np.where(visited[at] == own, turns[at], 0) if len(visited) else np.zeros(len(ids), np.int64)
+            home_row, home_turn = _spread(every, np.zeros(len(ids), np.int64), times)
+            sent = [(row, block, turn, True), (home_row, own[home_row], home_turn, False)]
+            if first:
+                part = own & ((1 << 20) - 1)
+                to, later = _spread(every, own + 1, pivots.parts[homes] - part - 1)
+                stay, earlier = _spread(every, np.zeros(len(ids), np.int64), part)
+                sent += [(to, later, -1 - part[to], True), (stay, own[stay], -1 - earlier, False)]
+            for rows, blocks, turn, visitor in sent:
+                for a in range(0, len(rows), 1 << 16):
+                    r = rows[a : a + (1 << 16)]
+                    take = pa.array(r)
+                    yield pa.RecordBatch.from_arrays([pa.array(blocks[a : a + (1 << 16)]), pa.array(turn[a : a + (1 << 16)].astype(np.int32)), pa.array(np.full(len(r), visitor)), pa.array(ids[r]), pa.array(homes[r]), batch.column(2).take(take), pa.array(far[r])], ["block", "turn", "visitor", "id", "home", "vec", "far"])
+
+    return graph.select("id", "near", "vec", "home", "met").mapInArrow(send, "block long, turn int, visitor boolean, id long, home int, vec binary, far float")
 
 
 def _local_join(degree: int, dim: int):
@@ -316,7 +347,7 @@ def _local_join(degree: int, dim: int):
             return schema.empty_table()
         ids, homes, far = table["id"].to_numpy(), table["home"].to_numpy(), table["far"].to_numpy()
         unit = _unit(_codes(table["vec"], dim))
-        block = table["block"][0].as_py()
+        cell = table["block"][0].as_py() >> 20
         out_id, out_list, out_home, out_met = [], [], [], []
 
         def put(owner, columns, sims):
@@ -342,7 +373,7 @@ def _local_join(degree: int, dim: int):
                 back.append((r[j], mine[i], sims[i, j]))
         else:
             put(v, np.zeros((len(v), 1), np.int64), np.full((len(v), 1), -2, np.float32))
-        out_met += [[block]] * len(v)
+        out_met += [[cell]] * len(v)
         if back:
             owner, column, sim = (np.concatenate(x) for x in zip(*back))
             order = np.lexsort((ids[column], -sim, owner))
@@ -363,27 +394,29 @@ def _local_join(degree: int, dim: int):
     return join
 
 
-def neighbour_graph(table: DataFrame, key: str = "id", vector: str = "vector", dim: int = 64, degree: int = 6, rounds: int = 1, visits: int = 2, lists_only: bool = False) -> DataFrame:
+def neighbour_graph(table: DataFrame, key: str = "id", vector: str = "vector", dim: int = 64, degree: int = 6) -> DataFrame:
     """(id, near, vec, home, met): packed neighbour lists, best first, materialised after each round.
 
-    With ``lists_only`` the last round gives (id, near) and is left to be computed by its one reader.
+    Every round a vector meets whole cells, so the rounds end by themselves.
     """
     spark = table.sparkSession
     vectors = encoded(table, key, vector, dim)
-    shared = spark.sparkContext.broadcast(fit(table, key, vector, dim))
+    pivots = fit(table, key, vector, dim)
+    shared = spark.sparkContext.broadcast(pivots)
     blocks = _assign(vectors, shared, dim)
     lists = blocks.groupBy("block").applyInArrow(_block_lists(degree, dim), "id long, near binary, vec binary, home int, met array<long>")
-    if lists_only and not rounds:
-        return _merge(lists, degree, True)
     graph = cut_lineage(_merge(lists, degree))
-    for done in range(rounds):
-        sent = _visits(graph, shared, degree, visits)
-        better = sent.groupBy("block").applyInArrow(_local_join(degree, dim), "id long, near binary, home int, met array<long>")
-        both = graph.unionByName(better.withColumn("vec", F.lit(None).cast("binary")))
-        if lists_only and done == rounds - 1:
-            return _merge(both, degree, True)
-        graph = cut_lineage(_merge(both, degree))
-    return graph
+    first = bool((pivots.parts > 1).any())
+    while True:
+        visited, load = _loads(graph, shared, degree)
+        if not len(visited) and not first:
+            return graph
+        # Visitors of one turn, with the residents, are gathered in one task.
+        loads = spark.sparkContext.broadcast((visited, -(-load // MAX_BLOCK)))
+        sent = _visits(graph, shared, loads, degree, first)
+        better = sent.groupBy("block", "turn").applyInArrow(_local_join(degree, dim), "id long, near binary, home int, met array<long>")
+        graph = cut_lineage(_merge(graph.unionByName(better.withColumn("vec", F.lit(None).cast("binary"))), degree))
+        first = False
 
 
 def edges(graph: DataFrame, degree: int, k: int, at_least: float = -1.0) -> DataFrame:
@@ -406,14 +439,14 @@ def edges(graph: DataFrame, degree: int, k: int, at_least: float = -1.0) -> Data
 def nearest(table: DataFrame, k: int = 5, key: str = "id", vector: str = "vector", dim: int = 64, **how) -> DataFrame:
     """(id, rank, neighbour, distance) of the k most similar vectors of every usable vector; distance is 1 - cosine."""
     degree = how.pop("degree", k + 1)
-    found = edges(neighbour_graph(table, key, vector, dim, degree, lists_only=True, **how), degree, k)
+    found = edges(neighbour_graph(table, key, vector, dim, degree, **how), degree, k)
     return found.select("id", "rank", "neighbour", (1 - F.col("similarity")).alias("distance"))
 
 
 def similar_pairs(table: DataFrame, at_least: float = 0.9, k: int = 5, key: str = "id", vector: str = "vector", dim: int = 64, **how) -> DataFrame:
     """(id_a, id_b) of at least the given similarity, one among the k most similar of the other."""
     degree = how.pop("degree", k + 1)
-    found = edges(neighbour_graph(table, key, vector, dim, degree, lists_only=True, **how), degree, k, at_least)
+    found = edges(neighbour_graph(table, key, vector, dim, degree, **how), degree, k, at_least)
     return found.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).where("id_a <> id_b").distinct()
 
 

@@ -52,6 +52,18 @@ def test_hot_copies_and_split_cells(spark, monkeypatch):
     assert len(copies) == 1000 and (copies["distance"] < 1e-4).all()
 
 
+def test_recall_on_skewed_input_with_split_cells(spark, monkeypatch):
+    monkeypatch.setattr(vg, "MAX_BLOCK", 64)
+    rng = np.random.default_rng(4)
+    # One cluster holds two thirds of all vectors, so that its cells are split into many parts.
+    x = np.concatenate([1 + 0.05 * rng.normal(size=(2000, DIM)), rng.normal(size=(1000, DIM))]).astype(np.float32)
+    true, _ = _brute(list(range(3000)), x.astype(float), 5)
+    got = vg.nearest(_frame(spark, [(i, v.tolist(), "x") for i, v in enumerate(x)]), 5, dim=DIM).toPandas()
+    found = got.groupby("id")["neighbour"].agg(set)
+    assert set(found.index) == set(range(3000))
+    assert np.mean([len(found[i] & true[i]) / 5 for i in range(3000)]) >= 0.97
+
+
 def test_pairs_and_empty(spark):
     rows = [(1, [1.0] + [0.0] * 7, "x"), (2, [1.0, 0.1] + [0.0] * 6, "x"), (3, [0.0, 1.0] + [0.0] * 6, "x")]
     assert {tuple(r) for r in vg.similar_pairs(_frame(spark, rows), 0.9, dim=DIM).collect()} == {(1, 2)}
