@@ -18,8 +18,8 @@ def embed_whole(documents: DataFrame, key: str, text: str, embed: Callable[[Colu
     return kept.select(key, embed(F.array_join("_t", " ")).alias("vector"))
 
 
-def embed_chunks(documents: DataFrame, key: str, text: str, embed: Callable[[Column], Column], size: int = 512, overlap: float = 0.25, cap: int = 11) -> DataFrame:
-    """(key, chunk_no, vector) of each document's chunks, at most ``cap``; null and blank texts give no row."""
+def embed_chunks(documents: DataFrame, key: str, text: str, embed: Callable[[Column], Column], size: int = 512, overlap: float = 0.25, cap: int | None = 11) -> DataFrame:
+    """(key, chunk_no, vector) of each document's chunks, at most ``cap`` unless that is None; null and blank texts give no row."""
     kept = documents.select(key, tokens(F.col(text)).alias("_t")).where(F.size("_t") > 0)
     chunks = kept.select(key, F.posexplode(windows(F.col("_t"), size, overlap, cap)).alias("chunk_no", "_c"))
     return chunks.select(key, "chunk_no", embed(F.array_join("_c", " ")).alias("vector"))

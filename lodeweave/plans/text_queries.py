@@ -273,9 +273,7 @@ def drop_empty_fields(spark, d):
 
 @query()
 def embed_documents(spark, d):
-    docs = _docs(spark, d).select("doc_id", tx.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
-    chunks = docs.select("doc_id", F.posexplode(tx.windows(F.col("t"), SIZE, OVERLAP, CAP)).alias("chunk_no", "c"))
-    return chunks.select("doc_id", "chunk_no", hash_embedding(64)(F.array_join("c", " ")).alias("vector"))
+    return embedding.embed_chunks(_docs(spark, d), "doc_id", "text", hash_embedding(64), SIZE, OVERLAP, cap=None)
 
 
 @query()

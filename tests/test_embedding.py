@@ -5,6 +5,7 @@ from lodeweave.functions.vector import hash_embedding
 from lodeweave.operators import embedding as em
 from lodeweave.operators import normalise as no
 from lodeweave.operators import store as st
+from lodeweave.plans import text_queries
 
 
 def test_embedding(spark):
@@ -21,6 +22,17 @@ def test_embedding(spark):
     assert {r["k"]: r["vector"] for r in em.weighted_pool(c, "k", F.col("w")).collect()} == {"a": [0.25, 0.75], "b": [2.0, 2.0]}
 
 
+def test_long_documents_are_embedded_whole(spark, tmp_path):
+    words = [f"w{i}" for i in range(1400)]
+    spark.createDataFrame([(1, " ".join(words)), (2, "short"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    chunks = {(r["doc_id"], r["chunk_no"]): r["vector"] for r in text_queries.embed_documents(spark, str(tmp_path)).collect()}
+    assert set(chunks) == {(1, i) for i in range(19)} | {(2, 0)}
+    last = spark.createDataFrame([(" ".join(words[1350:]),)], "t string").select(hash_embedding(64)("t").alias("v")).first()["v"]
+    assert chunks[1, 18] == last
+    pooled = {r["doc_id"]: r["vector"] for r in text_queries.pooled_document_vectors(spark, str(tmp_path)).collect()}
+    assert set(pooled) == {1, 2} and np.allclose(pooled[1], np.mean([chunks[1, i] for i in range(19)], axis=0), atol=1e-6)
+
+
 def test_normalise(spark):
     values = spark.createDataFrame([("Engish",), ("ENGLISH ",), ("deutsch",), ("zzz",), (None,), ("",)], "value string")
     allowed = spark.createDataFrame([("english",), ("german",)], "allowed string")
