@@ -1,17 +1,13 @@
-"""Near-duplicate records by generalised pigeonhole.
-
-A record is a vector of bits, one per word shingle of the whole collection
-(64-bit hashes; nothing is cut off). Two records of similarity J or more
-differ in few bits: of the smaller one at most (1 - J) / (1 + J) of its bits
-are missing in the larger. Bits are put into partitions by how many records
-hold them, so that the bits of boilerplate, which occur together, share the
-costly partitions. Each record gives every partition its own threshold; the
-thresholds plus one must add up to the allowed difference plus one, and their
-cost is the estimated number of candidates, taken from a histogram of all
-shingles of all records. Since each further bit of a partition costs at least
-as much as the one before, the dynamic program over partitions has its optimum
-where the cheapest bits are probed first, and that order is the same for all
-records, so the index only needs the bits that some partner may probe.
+"""Near-duplicate records by a prefix filter with positions.
+
+This stands in place of generalised pigeonhole over partitions of a bit vector,
+which is not built; the README says why. A record is a set of bits, one per word
+shingle of the whole collection (64-bit hashes; nothing is cut off). Two records
+of similarity J or more differ in few bits: of the smaller one at most
+(1 - J) / (1 + J) of its bits are missing in the larger. All records order their
+bits alike, by how many records hold them as a histogram of all shingles of all
+records estimates. Each probes, and is indexed under, one bit more of the rarest
+than may be missing in its partner.
 
 Probes meet index entries in one shuffle by bit; size and position bounds, a 512-bit parity sketch (whose Hamming distance never
 exceeds that of the full vectors), and at last the exact similarity of the
