@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import pandas as pd
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_ENTRIES = 200_000
-#: Longest typed value that is looked up letter by letter; longer ones are no spelling of a listed entry, whose length is bounded by the list.
-SLACK = 60
+#: Typed words above this length are compared with the listed words of about their length; making their deletions would cost more.
+LONG = 24
 #: Words around a value that do not belong to it.
 LABELS = r"(?:licen[cs]es?|lizenz|licence type|spdx|tasks?|task[_ ]ids?|task[_ ]categor(?:y|ies)|aufgabe|tarea|t[aâ]che|ml|category|released under|available under|published under|under|see|type)"
 TAILS = r"(?:full text|only|unmodified|international|unported|supervised|unsupervised|licen[cs]e|problem|task|tasks|model|models|or later|deed|legalcode|text)"
@@ -107,20 +107,35 @@ class Lexicon:
         for word in self.vocabulary:
             for form in deletions(word, 2 if len(word) >= 6 else 1 if len(word) >= 4 else 0):
                 self.index[form].append(word)
+        self.by_length: dict[int, list[tuple[str, Counter]]] = defaultdict(list)
+        for word in self.vocabulary:
+            self.by_length[len(word)].append((word, Counter(word)))
         self.memo: dict[str, list[tuple[str, float]]] = {}
 
+    def _candidates(self, word: str):
+        """Listed words that may lie within their bound of a typed word."""
+        if len(word) <= LONG:
+            for form in deletions(word, 2 if len(word) >= 5 else 1 if len(word) >= 3 else 0):
+                yield from self.index.get(form, ())
+            return
+        letters = Counter(word)
+        # The cheapest edit costs 0.6, so three are the most within a bound of 2; each adds or takes one letter at most.
+        for n in range(len(word) - 3, len(word) + 4):
+            for candidate, own in self.by_length.get(n, ()):
+                if (letters - own).total() <= 3 and (own - letters).total() <= 3:
+                    yield candidate
+
     def near(self, word: str) -> list[tuple[str, float]]:
         """(word of the list, distance) of every word within its bound."""
         known = self.memo.get(word)
         if known is None:
             found = {}
-            for form in deletions(word, 2 if 5 <= len(word) <= 24 else 1 if 3 <= len(word) <= 24 else 0):
-                for candidate in self.index.get(form, ()):
-                    if candidate not in found:
-                        limit = _allowed(candidate)
-                        d = distance(word, candidate, limit)
-                        if d <= limit:
-                            found[candidate] = d
+            for candidate in self._candidates(word):
+                if candidate not in found:
+                    limit = _allowed(candidate)
+                    d = distance(word, candidate, limit)
+                    if d <= limit:
+                        found[candidate] = d
             known = list(found.items())
             if len(self.memo) < 200_000:
                 self.memo[word] = known
@@ -168,7 +183,7 @@ class Matcher:
         for form in self.names:
             self.joined.setdefault("".join(form), form)
         self.joined_lexicon = Lexicon(self.joined)
-        self.longest = max((len(value) + len(title or "") for _, value, title, _ in entries), default=0) + SLACK
+        self.beginnings = {form[:n] for form in self.names for n in range(len(form) + 1)}
 
     @classmethod
     def _split(cls, text: str, licence: bool) -> tuple[set[tuple[str, ...]], str]:
@@ -229,7 +244,7 @@ class Matcher:
                 continue
             readings = self._readings(spelling)
             if readings is not None:
-                for name, d in _products(readings):
+                for name, d in _products(readings, self.beginnings):
                     if name in self.names and d <= 3.0:
                         put(name, d)
             glued = "".join(spelling)
@@ -240,7 +255,7 @@ class Matcher:
             head, last = spelling[:-1], spelling[-1]
             if len(last) >= 3 and head:
                 heads = self._readings(head)
-                for name, d in _products(heads) if heads is not None else ():
+                for name, d in _products(heads, self.beginnings) if heads is not None else ():
                     goes_on = [f for f in self.by_first.get(name, ()) if any(v.startswith(last) for v in _variants(f[-1])) and f[-1] != last]
                     if len(goes_on) == 1 and d == 0:
                         put(goes_on[0], 0.5 + d)
@@ -248,7 +263,7 @@ class Matcher:
 
     def match(self, typed: str | None) -> int | None:
         """valid_id of the one entry that a typed value means, else None."""
-        if typed is None or len(typed) > self.longest:
+        if typed is None:
             return None
         best: dict[int, float] = {}
         for text in _readings_of(fold(typed)):
@@ -266,12 +281,17 @@ class Matcher:
         return ranked[0][0]
 
 
-def _products(readings: list[list[tuple[str, float]]], most: int = 64):
-    """Combinations of word readings with the sum of distances, nearest words first."""
-    paths: list[tuple[tuple[str, ...], float]] = [((), 0.0)]
+def _products(readings: list[list[tuple[str, float]]], beginnings: set[tuple[str, ...]]) -> list[tuple[tuple[str, ...], float]]:
+    """Combinations of word readings that begin a listed name, each with its least sum of distances."""
+    paths: dict[tuple[str, ...], float] = {(): 0.0}
     for options in readings:
-        paths = sorted(((p + (w,), d + e) for p, d in paths for w, e in options), key=lambda x: x[1])[:most]
-    return paths
+        longer: dict[tuple[str, ...], float] = {}
+        for p, d in paths.items():
+            for w, e in options:
+                if (q := (*p, w)) in beginnings and d + e < longer.get(q, 99.0):
+                    longer[q] = d + e
+        paths = longer
+    return list(paths.items())
 
 
 _URL = re.compile(r"^\W*(?:https?://)?(?:www\.)?[\w-]+(?:\.[a-z]+)+/(?P<path>\S+?)\W*$", re.I)
@@ -291,7 +311,7 @@ def _readings_of(text: str):
         yield re.sub(r"/", " ", path)
         return
     seen = set()
-    for _ in range(4):
+    while True:  # each layer taken away makes the text shorter
         if text and text not in seen:
             seen.add(text)
             yield text
@@ -313,8 +333,8 @@ def _readings_of(text: str):
 def _editions(text: str):
     """(name words, edition) of a cleaned value; an edition stands at the end, perhaps behind a word for it."""
     text = text.strip(" \t\"'.,;:*!?()[]{}")
-    m = re.search(r"(?P<name>.*?)(?P<cue>[^\W\d_]*)[\s.,_\-]*(?<![\d.])(?P<edition>\d+(?:\.\d+)*)$", text)
-    if m is None:
+    m = text[-1:].isdigit() and re.search(r"(?P<name>.*?)(?P<cue>[^\W\d_]*)[\s.,_\-]*(?<![\d.])(?P<edition>\d+(?:\.\d+)*)$", text)
+    if not m:
         yield from ((w, "") for w in _cuts(text))
         return
     name, cue = m["name"], m["cue"].lower()

@@ -53,3 +53,17 @@ def test_size_of_the_list_is_checked(spark, monkeypatch):
     monkeypatch.setattr(cn, "MAX_ENTRIES", 3)
     with pytest.raises(ValueError):
         cn.reference(spark.createDataFrame(LIST, "valid_id long, asset_type string, field string, value string, title string"))
+
+
+def test_long_words_many_layers_and_many_readings():
+    m = cn.Matcher([(1, "court-ruling-classification", None, 0), (2, "mit", None, 0), (3, "image-segmentation", None, 0)])
+    assert m.match("courtrulingclassificaiton") == 1 and m.match("courtrulingclassifacation") == 1 and m.match("courtrulingclassifiication") == 1
+    assert m.match("courtrulingsegmentationxyz") is None
+    assert m.match("license: licence: license: licence: license: licence: mit") == 2
+    assert m.match("license: " * 20 + "image segmentation") == 3
+    # 2 to the power of 7 readings of the words, of which only the farthest is listed
+    pairs = [(f"{c * 5}xx", f"{c * 5}yz") for c in "abcdefg"]
+    every = [(10 + i, x, None, 0) for i, p in enumerate(pairs) for x in p]
+    many = cn.Matcher([*every, (99, " ".join(y for _, y in pairs), None, 0)])
+    readings = [[(x, 0.1), (y, 0.2)] for x, y in pairs]
+    assert dict(cn._products(readings, many.beginnings))[tuple(y for _, y in pairs)] == pytest.approx(1.4)
