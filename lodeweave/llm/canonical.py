@@ -3,9 +3,9 @@
 A symmetric-delete dictionary of the list is broadcast: every spelling of an
 entry (value, title, turned forms) is stored under itself and under all forms
 with up to two letters of its words deleted. A typed value looks up itself and its own deletions,
-candidates are ranked by weighted Damerau-Levenshtein distance, then by how often
-the literal entry occurs in the data, and a value whose best candidates are
-different entries, or too far, is reported as unmatched.
+candidates are ranked by weighted Damerau-Levenshtein distance, and a value whose
+best candidates are different entries, or too far, is reported as unmatched. How
+often the literal entry occurs orders equal candidates, but decides none.
 
 Only the reference list is broadcast, and its size is checked; the typed
 values are reduced to distinct (field, value) rows first, so a spelling that a
