@@ -450,12 +450,13 @@ def similar_pairs(table: DataFrame, at_least: float = 0.9, k: int = 5, key: str
     return found.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).where("id_a <> id_b").distinct()
 
 
-def greedy_search(graph: DataFrame, queries: DataFrame, degree: int, k: int = 5, beam: int = 12, hops: int = 4, dim: int = 64) -> DataFrame:
+def greedy_search(graph: DataFrame, queries: DataFrame, degree: int, k: int = 5, beam: int = 12, dim: int = 64) -> DataFrame:
     """(query, rank, neighbour, distance): walk the graph from each query, best first.
 
     ``queries`` is (query, vec, entry): entry is a vector of the graph to start
     from. Each hop expands the not yet expanded of the ``beam`` best vectors
-    found so far; a query whose best all have been expanded is done. A query is
+    found so far; a query whose best all have been expanded is done, and the
+    walk goes on until every query is. A query is
     never its own neighbour. The queries are a stated set, so every hop is a
     join of that set's frontier with the graph, on the vector's id.
     """
@@ -479,7 +480,7 @@ def greedy_search(graph: DataFrame, queries: DataFrame, degree: int, k: int = 5,
     state = asked.join(queries.select("query", F.col("entry").alias("neighbour")), "query").join(points, "neighbour").select("query", "neighbour", cosine("vec", "v").alias("sim"), F.lit(False).alias("done"))
     state = cut_lineage(state.distinct())
     best = Window.partitionBy("query").orderBy(F.col("sim").desc(), "neighbour")
-    for _ in range(hops):
+    while True:  # the beam only improves, so what has left it never comes back
         open_ = state.where("not done")
         if open_.isEmpty():
             break
@@ -492,10 +493,11 @@ def greedy_search(graph: DataFrame, queries: DataFrame, degree: int, k: int = 5,
     return ranked.select("query", "rank", "neighbour", (1 - F.col("sim").cast("double")).alias("distance"))
 
 
-def search(table: DataFrame, every: int = 50, k: int = 5, key: str = "id", vector: str = "vector", dim: int = 64, degree: int = 8, entries: int = 4, **how) -> DataFrame:
+def search(table: DataFrame, every: int = 50, k: int = 5, key: str = "id", vector: str = "vector", dim: int = 64, degree: int = 8, entries: int = 4, at_itself: bool = True, **how) -> DataFrame:
     """Greedy search for every row whose id is divisible by ``every``, against all rows.
 
     Each query enters at itself, being a vector of the graph, and at ``entries`` vectors of its home cell, spread over the cell by a hash.
+    Without ``at_itself`` it enters only at the latter, which shows what the walk alone finds.
     """
     from pyspark.sql import Window
 
@@ -503,5 +505,7 @@ def search(table: DataFrame, every: int = 50, k: int = 5, key: str = "id", vecto
     asked = graph.where(F.col("id") % every == 0).select(F.col("id").alias("query"), "vec", "home")
     spread = Window.partitionBy("home").orderBy(F.xxhash64("entry"), "entry")
     doors = graph.select("home", F.col("id").alias("entry")).withColumn("_r", F.row_number().over(spread)).where(F.col("_r") <= entries).select("home", "entry")
-    starts = asked.join(doors, "home").select("query", "vec", "entry").unionByName(asked.select("query", "vec", F.col("query").alias("entry")))
+    starts = asked.join(doors, "home").select("query", "vec", "entry").where("query <> entry")
+    if at_itself:
+        starts = starts.unionByName(asked.select("query", "vec", F.col("query").alias("entry")))
     return greedy_search(graph, starts, degree, k, dim=dim, **how)

@@ -42,6 +42,19 @@ def test_search_walks_to_neighbours(spark):
     assert np.mean([len(found[i] & true[i]) / 5 for i in found.index]) >= 0.9
 
 
+def test_walk_goes_on_to_the_end(spark):
+    # A chain of vectors, each linked to the next: the answer lies twelve steps from the entry.
+    angles = np.arange(13) / 10
+    x = np.stack([np.cos(angles), np.sin(angles)], axis=1)
+    codes = [np.rint(v / np.abs(v).max() * 32767).astype(np.int16).tobytes() for v in x]
+    lists = np.zeros(13, vg._entry(1))
+    lists["id"][:, 0], lists["sim"] = [*range(1, 13), 11], 1.0
+    graph = spark.createDataFrame([(i, bytearray(lists[i].tobytes()), bytearray(codes[i])) for i in range(13)], "id long, near binary, vec binary")
+    asked = spark.createDataFrame([(100, bytearray(codes[12]), 0)], "query long, vec binary, entry long")
+    got = {r["rank"]: r["neighbour"] for r in vg.greedy_search(graph, asked, 1, k=2, beam=2, dim=2).collect()}
+    assert got == {1: 12, 2: 11}
+
+
 def test_hot_copies_and_split_cells(spark, monkeypatch):
     monkeypatch.setattr(vg, "MAX_BLOCK", 64)
     rng = np.random.default_rng(3)
