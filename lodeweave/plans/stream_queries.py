@@ -34,5 +34,5 @@ def stream_versions(spark, d):
 
 @query()
 def paged_scan(spark, d):
-    ids = table(spark, d, "region").count()
-    return paged(spark, "lodeweave.sources.catalogue:numbers", "id long, name string", total=200 * ids, limit=100, overlap=0.1)
+    total = table(spark, d, "assets").count()
+    return paged(spark, f"lodeweave.sources.catalogue:asset_rows?{d}/assets.parquet", "id string, platform string, name string", total=total, limit=1000, overlap=0.1)

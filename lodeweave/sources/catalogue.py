@@ -3,7 +3,7 @@
 The paged catalogue is a Python data source with one input partition per page,
 so pages are fetched in parallel by executors. What fetches a page is a
 function named ``module:function``; it takes offset, limit, from_time and to_time
-and returns a list of dictionaries. A page that fails is halved until the single bad
+and returns a list of dictionaries; ``module:function?text`` gives it the text as ``source``, too. A page that fails is halved until the single bad
 row is left out; timeouts are tried again.
 """
 
@@ -12,9 +12,12 @@ from __future__ import annotations
 import importlib
 import json
 from dataclasses import dataclass, replace
+from functools import partial
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -53,9 +56,11 @@ def page_step(window: int, overlap: float) -> int:
 
 
 def resolve(path: str):
-    """The function named ``module:function``."""
-    module, _, name = path.partition(":")
-    return getattr(importlib.import_module(module), name)
+    """The function named ``module:function``; what follows a ``?`` is passed as ``source``."""
+    named, asked, source = path.partition("?")
+    module, _, name = named.partition(":")
+    function = getattr(importlib.import_module(module), name)
+    return partial(function, source=source) if asked else function
 
 
 def fetch_whole(fetch, page: PageRequest, attempts: int = 3) -> list[dict]:
@@ -122,6 +127,21 @@ def numbers(offset: int, limit: int, from_time=None, to_time=None) -> list[dict]
     return [{"id": i, "name": f"asset {i}"} for i in range(offset, offset + limit)]
 
 
+def asset_rows(offset: int, limit: int, from_time=None, to_time=None, source: str = "") -> list[dict]:
+    """A page of a Parquet table of assets by position, over its files in the order of their names."""
+    path, rows, start = Path(source), [], 0
+    for file in sorted(path.rglob("*.parquet")) if path.is_dir() else [path]:
+        with pq.ParquetFile(file) as table:
+            for group in range(table.num_row_groups):
+                end = start + table.metadata.row_group(group).num_rows
+                if start < offset + limit and offset < end:
+                    part = table.read_row_group(group, ["identifier", "platform", "name"])
+                    part = part.slice(max(0, offset - start), min(end, offset + limit) - max(start, offset))
+                    rows += [r | {"id": r["identifier"]} for r in part.to_pylist()]
+                start = end
+    return rows
+
+
 def json_table(spark: SparkSession, paths: str | list[str], schema: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, rejected texts) of JSON files; a record that does not fit the schema is rejected, not fatal."""
     rows = spark.read.schema(schema + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(paths, multiLine=multi_line).cache()

@@ -9,6 +9,7 @@ from lodeweave.operators import evaluate as ev
 from lodeweave.operators import ingest as ig
 from lodeweave.operators import lifecycle as lc
 from lodeweave.operators import store as st
+from lodeweave.plans import stream_queries
 from lodeweave.schema import FieldSpec, Registry
 from lodeweave.sources import catalogue as ct
 from lodeweave.streaming import ingest as si
@@ -177,3 +178,11 @@ def test_sessions(spark):
     at = lambda m: dt.datetime(2024, 1, 1, 0, m)
     df = spark.createDataFrame([("u", at(0)), ("u", at(3)), ("u", at(30)), ("w", at(1))], "user string, ts timestamp_ntz")
     assert sorted((r["user"], r["n"]) for r in si.session_windows(df, "ts", "5 minutes", ["user"]).collect()) == [("u", 1), ("u", 2), ("w", 1)]
+
+
+def test_paged_scan_pages_all_assets(spark, tmp_path):
+    rows = [(f"a{i:04d}", "p", f"asset {i}") for i in range(2500)] + [("a0000", "p", "asset 0")]
+    spark.createDataFrame(rows, "identifier string, platform string, name string").repartition(3).write.parquet(str(tmp_path / "assets.parquet"))
+    spark.createDataFrame([(1,)], "r int").write.parquet(str(tmp_path / "region.parquet"))
+    got = stream_queries.paged_scan(spark, str(tmp_path)).select("id", "platform", "name").collect()
+    assert sorted(tuple(r) for r in got) == rows[:2500]
