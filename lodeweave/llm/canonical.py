@@ -249,7 +249,8 @@ class Matcher:
                         put(name, d)
             glued = "".join(spelling)
             for joined, d in self.joined_lexicon.near(glued):
-                if len(glued) >= 6:
+                # A digit is never a slip: it may be of an edition that is not listed.
+                if len(glued) >= 6 and re.sub(r"\D", "", glued) == re.sub(r"\D", "", joined):
                     put(self.joined[joined], d)
             # A cut last word: at least three of its letters, and only one listed name goes on so.
             head, last = spelling[:-1], spelling[-1]

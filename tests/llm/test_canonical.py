@@ -67,3 +67,9 @@ def test_long_words_many_layers_and_many_readings():
     many = cn.Matcher([*every, (99, " ".join(y for _, y in pairs), None, 0)])
     readings = [[(x, 0.1), (y, 0.2)] for x, y in pairs]
     assert dict(cn._products(readings, many.beginnings))[tuple(y for _, y in pairs)] == pytest.approx(1.4)
+
+
+def test_digits_of_an_unlisted_edition_are_no_slips():
+    m = cn.Matcher([(1, "thornbury-artistic-2.0", "Thornbury Artistic Licence 2.0", 0)])
+    assert m.match("thornbury-artistic-0.9 licence") is None
+    assert m.match("thornbury-artistic-2.0 licence") == 1 and m.match("thornburyartisticlicense 2.0") == 1
