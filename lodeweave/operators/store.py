@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeweave.runtime import cut_lineage
 from lodeweave.schema import Registry
 
 
@@ -89,14 +90,22 @@ def pages(df: DataFrame, order: list[str], window: int, overlap: float = 0.0) ->
 
 
 def number_rows(df: DataFrame, order: list[str]) -> DataFrame:
-    """Rows with ``row_no`` from 0 in the given order, without a one-task window."""
-    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = df.repartitionByRange(int(parts), *order).withColumn("_part", F.spark_partition_id())
-    placed = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_rows"))
-    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per partition
+    """Rows with ``row_no`` from 0 in the given order, without a one-task window.
+
+    The range-sorted rows are written out once: the bounds of the ranges come
+    from a sample, so counting and numbering must read the very same ranges.
+    Rows equal in all order columns are numbered in any order.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # Range in the upper bits, place within it in the lower 33.
+    placed = cut_lineage(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per range
     starts = sizes.select("_part", before.alias("_start"))
-    return placed.join(F.broadcast(starts), "_part").withColumn("row_no", F.col("_start") + F.col("_place")).drop("_part", "_place", "_start")
+    numbered = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return numbered.withColumn("row_no", F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "_start")
 
 
 def page_completeness(df: DataFrame, order: list[str], window: int) -> DataFrame:

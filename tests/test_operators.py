@@ -186,3 +186,15 @@ def test_paged_scan_pages_all_assets(spark, tmp_path):
     spark.createDataFrame([(1,)], "r int").write.parquet(str(tmp_path / "region.parquet"))
     got = stream_queries.paged_scan(spark, str(tmp_path)).select("id", "platform", "name").collect()
     assert sorted(tuple(r) for r in got) == rows[:2500]
+
+
+def test_row_numbers_of_many_rows_with_a_payload(spark):
+    # More rows than the sample of the ranges holds, and columns beyond the order.
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        rows = spark.range(6_000_000).select((F.xxhash64("id") % 1_000_000).alias("k"), "id", F.lit("payload").alias("p"))
+        got = store.number_rows(rows, ["k", "id"]).agg(F.countDistinct("row_no"), F.min("row_no"), F.max("row_no")).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert tuple(got) == (6_000_000, 0, 5_999_999)
