@@ -194,7 +194,7 @@ def test_row_numbers_of_many_rows_with_a_payload(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "64")
     try:
         rows = spark.range(6_000_000).select((F.xxhash64("id") % 1_000_000).alias("k"), "id", F.lit("payload").alias("p"))
-        got = store.number_rows(rows, ["k", "id"]).agg(F.countDistinct("row_no"), F.min("row_no"), F.max("row_no")).first()
+        got = st.number_rows(rows, ["k", "id"]).agg(F.countDistinct("row_no"), F.min("row_no"), F.max("row_no")).first()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert tuple(got) == (6_000_000, 0, 5_999_999)
