@@ -1,22 +1,27 @@
 """The most similar vectors of every vector, by NN-descent.
 
-A neighbour graph starts from coarse cells: each vector joins the cells of its
-two nearest pivots, and vectors that share a cell are compared. Then rounds of
-NN-descent improve it by Spark joins: a vector visits the home cells of its
-neighbours, where it meets the neighbours of its neighbours in one matrix
-product, and both sides keep what is better than their farthest neighbour. A
-vector is sent to all of these cells that it has not met yet, so the traffic
-falls from round to round, and the rounds end when no vector has a neighbour in
-a cell that it has not met. Queries walk the finished graph greedily.
+The neighbour graph starts from coarse cells: each vector joins the cells of its
+two nearest pivots, and vectors that share a cell are compared. From there on
+NN-descent improves it. In a round, the join of neighbours of neighbours, every
+vector u meets what it lists and what lists it (at most ``2 x degree``, new ones
+first); each two of these of which one is new are compared, and both keep what is
+better than their farthest neighbour. Entries are flagged new until they have
+taken part. The rounds end when fewer than ``SETTLED`` of all entries change.
+
+The join is one shuffle a round. Its key is the cell in which u lives: a vector
+is sent once to each other cell in which new neighbours of it live, not once for
+each of them, and meets all of them there. What a vector gains away from home
+is sent to its home cell with the next round's messages. A cell that very many
+visit is dealt to several tasks.
 
 Vectors travel as 16-bit integers scaled to each vector's largest component;
 the cosine similarity of two of them is within 0.00001 of the exact one.
 
-Pivots are fitted on a bounded sample (``SAMPLE`` vectors, or eight for each cell
-where that is more); every vector is indexed. Cells above ``MAX_BLOCK`` members, as the
-sample foretells them, are split into parts by id, so a cell that holds a third of
-all vectors is never gathered in one task. In the first round each two parts of
-a cell meet in a task of their own, and who visits a cell visits all its parts.
+Pivots are fitted on a bounded sample of ``SAMPLE`` vectors; every vector is
+indexed. Where the pivots are too few for the number of vectors, a cell is cut by
+random hyperplanes at the medians of its part of the sample, so that near vectors
+mostly stay together. Of many copies of one vector within a task a few stand for
+all, and the others take over the list of the first.
 
 Null, zero, non-finite vectors and those of another length have no neighbours
 and are nobody's. Repeated rows count once; if one id comes with
@@ -29,17 +34,23 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.llm.near_duplicates import whole_keys
-from lodeweave.runtime import cut_lineage
-
-#: Vectors that the pivots are fitted on, unless the cells need more.
-SAMPLE = 32768
-CELL, MAX_CELLS, MAX_BLOCK = 800, 16384, 6000
+from lodeweave.runtime import cut_lineage, forget, written
+
+#: Vectors that the pivots are fitted on, members of a cell aimed at, and those above which a cell is cut.
+SAMPLE, CELL, MAX_BLOCK = 32768, 800, 4000
+#: Part of all entries of the lists that may still change in the last round.
+SETTLED = 0.01
+#: Visitors of a cell that one task takes.
+MAX_VISITORS = 20000
 SPILL = 2
-_SHAPE = "id long, vec binary"
+#: What a message to a cell is: a vector at home, a visitor, better neighbours for a vector at home, a second row of one at home;
+#: and a copy of a vector that follows another.
+HOME, VISIT, GAIN, COPY, FOLLOW = range(5)
+_NONE = -2.0
 
 
 def _unit(codes: np.ndarray) -> np.ndarray:
@@ -71,112 +82,165 @@ def _binary(matrix: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(matrix), [None, offsets, pa.py_buffer(matrix.tobytes())])
 
 
-def encoded(table: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
-    """(id, vec) of the usable vectors."""
+def _usable(table: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
+    return table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim))
 
-    def encode(batches):
-        for batch in batches:
-            ids, vectors = batch.column(0), batch.column(1)
-            flat = vectors.flatten()
-            values = np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
-            top = np.abs(values).max(axis=1) if len(values) else np.empty(0)
-            with np.errstate(invalid="ignore"):
-                ok = np.isfinite(values).all(axis=1) & (top > 0)
-            values, top = values[ok], top[ok]
-            codes = np.rint(values / top[:, None] * 32767).astype(np.int16)
-            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(ok)), _binary(codes)], ["id", "vec"])
 
-    rows = table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim))
-    return rows.mapInArrow(encode, _SHAPE)
+def _encode(batches, dim: int):
+    """(ids, codes) of the usable vectors of each batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, vectors = batch.column(0).to_numpy(), batch.column(1)
+        values = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), dtype=np.float32).reshape(-1, dim)
+        top = np.abs(values).max(axis=1)
+        ok = np.isfinite(top) & (top > 0)
+        ids, values, top = ids[ok], values[ok].astype(np.float64), top[ok]
+        if len(ids):
+            yield ids, np.rint(values / top[:, None] * 32767).astype(np.int16)
 
 
 class Pivots:
-    """Cell centres fitted on a sample, and how many parts each cell is split into."""
+    """Cell centres fitted on a sample, and the hyperplanes that cut large cells."""
 
-    def __init__(self, centres: np.ndarray, parts: np.ndarray) -> None:
-        self.centres, self.parts = centres, parts
+    def __init__(self, centres: np.ndarray, planes: np.ndarray, bits: np.ndarray, medians: np.ndarray) -> None:
+        self.centres, self.planes, self.bits, self.medians = centres, planes, bits, medians
+        self.first = np.cumsum(1 << bits) - (1 << bits)
 
     def nearest(self, vectors: np.ndarray, most: int) -> np.ndarray:
-        """Cell numbers of the nearest pivots, nearest first."""
-        most = min(most, len(self.centres))
-        out = np.empty((len(vectors), most), np.int64)
-        step = max(1, (1 << 22) // max(1, len(self.centres)))
-        for a in range(0, len(vectors), step):
-            s = vectors[a : a + step] @ self.centres.T
-            if most == 1:
-                out[a : a + step, 0] = s.argmax(axis=1)
-                continue
-            p = np.argpartition(-s, most - 1, axis=1)[:, :most]
-            out[a : a + step] = np.take_along_axis(p, np.argsort(-np.take_along_axis(s, p, 1), axis=1, kind="stable"), 1)
-        return out
-
-
-def fit(table: DataFrame, key: str, vector: str, dim: int, cell: int = CELL, seed: int = 11) -> Pivots:
-    """Spherical k-means on a bounded sample; the number of cells follows the number of vectors."""
+        """Numbers of the nearest pivots, nearest first."""
+        return _nearest(self.centres, vectors, most)
+
+    def blocks(self, vectors: np.ndarray) -> np.ndarray:
+        """The blocks (cells, or parts of cut cells) of the two nearest pivots; in a cut home cell also the part beyond each of the two nearest planes. -1 for none."""
+        cells = self.nearest(vectors, SPILL)
+        out = self.first[cells]
+        if not self.bits.any():
+            return out
+        side = vectors @ self.planes.T
+        place = np.arange(len(self.planes))
+        for k in range(cells.shape[1]):
+            c = cells[:, k]
+            margin, cut = side - self.medians[c], place < self.bits[c][:, None]
+            out[:, k] += (((margin > 0) & cut) << place).sum(axis=1)
+            if k == 0:
+                near = np.argsort(np.where(cut, np.abs(margin), np.inf), axis=1, kind="stable")[:, :2]
+                code = out[:, :1] - self.first[c][:, None]
+                beyond = np.where(np.take_along_axis(cut, near, 1), self.first[c][:, None] + (code ^ (1 << near)), -1)
+        return np.concatenate([out, beyond], axis=1)
+
+
+def _nearest(centres: np.ndarray, vectors: np.ndarray, most: int) -> np.ndarray:
+    most = min(most, len(centres))
+    out = np.empty((len(vectors), most), np.int64)
+    step = max(1, (1 << 22) // max(1, len(centres)))
+    for a in range(0, len(vectors), step):
+        s = vectors[a : a + step] @ centres.T
+        if most == 1:
+            out[a : a + step, 0] = s.argmax(axis=1)
+            continue
+        p = np.argpartition(-s, most - 1, axis=1)[:, :most]
+        out[a : a + step] = np.take_along_axis(p, np.argsort(-np.take_along_axis(s, p, 1), axis=1, kind="stable"), 1)
+    return out
+
+
+def fit(table: DataFrame, key: str, vector: str, dim: int, seed: int = 11) -> Pivots:
+    """Spherical k-means on the sample; the number of cells follows the number of vectors, at most one for eight of the sample."""
     n = table.count()
-    wanted = min(MAX_CELLS, round(n / cell))
-    most = max(SAMPLE, 8 * wanted)
-    share = min(1.0, 1.2 * most / max(1, n))
-    chosen = table.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20))))
-    picked = encoded(chosen, key, vector, dim).limit(most).toArrow() if n else None
-    if picked is None or not picked.num_rows:
-        return Pivots(np.zeros((1, dim), np.float32), np.ones(1, np.int64))
-    sample = np.unique(_codes(picked["vec"], dim), axis=0)
-    weight_rows = _unit(_codes(picked["vec"], dim))
-    sample = _unit(sample)
-    count = int(max(1, min(len(sample) // 8 or 1, wanted)))
+    share = min(1.0, 1.2 * SAMPLE / max(1, n))
+    chosen = _usable(table.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))), key, vector, dim).limit(SAMPLE)
+    picked = [codes for _, codes in _encode(chosen.toArrow().to_batches(), dim)] if n else []
+    if not picked:
+        return Pivots(np.zeros((1, dim), np.float32), np.zeros((0, dim), np.float32), np.zeros(1, np.int64), np.zeros((1, 0), np.float32))
+    every = np.concatenate(picked)
+    sample = _unit(np.unique(every, axis=0))
+    every = _unit(every)
+    count = int(max(1, min(len(sample) // 8, round(n / CELL))))
     rng = np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), count, replace=False)].copy()
     few = sample[rng.permutation(len(sample))[: max(32 * count, 4096)]]
     for _ in range(4):
-        home = Pivots(centres, None).nearest(few, 1)[:, 0]
+        home = _nearest(centres, few, 1)[:, 0]
         total = np.zeros_like(centres)
         np.add.at(total, home, few)
         size = np.linalg.norm(total, axis=1)
         centres[size > 0] = total[size > 0] / size[size > 0][:, None]
-    cells = Pivots(centres, None).nearest(weight_rows, SPILL)
-    members = np.bincount(cells.ravel(), minlength=count) * (n / len(weight_rows))
-    return Pivots(centres, np.maximum(1, np.ceil(members / MAX_BLOCK)).astype(np.int64))
+    members = np.bincount(_nearest(centres, every, SPILL).ravel(), minlength=count) * (n / len(every))
+    bits = np.where(members > MAX_BLOCK, np.ceil(np.log2(np.maximum(1, members / min(MAX_BLOCK, SPILL * CELL)))), 0).astype(np.int64)
+    planes = rng.normal(size=(int(bits.max()), dim)).astype(np.float32)
+    medians = np.zeros((count, len(planes)), np.float32)
+    home = _nearest(centres, sample, 1)[:, 0]
+    for c in np.flatnonzero(bits):
+        own = sample[home == c]
+        medians[c] = np.median(own @ planes.T, axis=0) if len(own) else 0
+    return Pivots(centres, planes, bits, medians)
 
 
 def _entry(degree: int) -> np.dtype:
-    return np.dtype([("id", "<i8", degree), ("sim", "<f4", degree), ("home", "<u2", degree)])
+    """A list of neighbours; ``new``: 2 until the vector has been sent to the neighbour, 1 until they have met others there."""
+    return np.dtype([("id", "<i8", degree), ("sim", "<f4", degree), ("home", "<i4", degree), ("new", "u1", degree)])
 
 
-def _part(ids: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """Part of its cell that an id falls into."""
-    mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-    return (mixed % parts.astype(np.uint64)).astype(np.int64)
+def _blank(n: int, degree: int) -> np.ndarray:
+    out = np.zeros(n, _entry(degree))
+    out["id"], out["sim"] = -1, _NONE
+    return out
 
 
-def _block(cells: np.ndarray, ids: np.ndarray, pivots: Pivots) -> np.ndarray:
-    """Number of the part of a cell in which an id lives."""
-    cells = cells.astype(np.int64)
-    return cells << 20 | _part(ids, pivots.parts[cells])
+_MESSAGE = "block int, kind byte, id long, home int, vec binary, near binary, fresh int"
+_SHAPE = pa.schema([("block", pa.int32()), ("kind", pa.int8()), ("id", pa.int64()), ("home", pa.int32()), ("vec", pa.binary()), ("near", pa.binary()), ("fresh", pa.int32())])
 
 
-def _assign(vectors: DataFrame, shared, dim: int) -> DataFrame:
-    """(block, home, id, vec, own, whole): each vector in its two cells; block is cell and part; home is the nearest cell.
+def _messages(block, kind: int, ids, home, vec, near, fresh=None) -> pa.Table:
+    n = len(ids)
+    return pa.table([
+        pa.array(np.broadcast_to(np.asarray(block, np.int32), n)), pa.array(np.full(n, kind, np.int8)), pa.array(ids), pa.array(np.broadcast_to(np.asarray(home, np.int32), n)),
+        pa.nulls(n, pa.binary()) if vec is None else _binary(vec), _binary(near.view(np.uint8).reshape(n, -1)) if n else pa.array([], pa.binary()),
+        pa.array(np.zeros(n, np.int32) if fresh is None else fresh.astype(np.int32)),
+    ], schema=_SHAPE)
 
-    A vector is to meet the whole of its home cell, and of its second cell where that is not split.
-    """
+
+def _assigned(table: DataFrame, key: str, vector: str, dim: int, degree: int, shared) -> DataFrame:
+    """(block, home, id, vec, own, leader): each vector in its two blocks; of a copy only the id that stands for it, in blocks below zero."""
 
     def assign(batches):
         pivots = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy()
-            cells = pivots.nearest(_unit(_codes(batch.column(1), dim)), SPILL)
-            for k in range(cells.shape[1]):
-                block = _block(cells[:, k], ids, pivots)
-                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(cells[:, 0].astype(np.int32)), batch.column(0), batch.column(1), pa.array(np.full(len(ids), k == 0)), pa.array((pivots.parts[cells[:, k]] == 1) | (k == 0))], ["block", "home", "id", "vec", "own", "whole"])
-
-    return vectors.mapInArrow(assign, "block long, home int, id long, vec binary, own boolean, whole boolean")
-
-
-def _best(sims: np.ndarray, ids: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and similarities of the largest of each row, ties to the smaller id; columns are in the order of id."""
+        leaders: dict[bytes, int] = {}
+        odd = (np.random.default_rng(5).integers(1, 1 << 62, size=-(-dim // 4)) * 2 + 1).astype(np.uint64)
+        for ids, codes in _encode(batches, dim):
+            # Copies: all but a few of each vector that is frequent in this task follow the first.
+            wide = np.zeros((len(codes), -(-dim // 4) * 4), np.int16)
+            wide[:, :dim] = codes
+            mixed = wide.view(np.uint64) * odd
+            hashed = (mixed ^ (mixed >> np.uint64(29))).sum(axis=1, dtype=np.uint64)
+            order = np.lexsort((ids, hashed))
+            group = np.cumsum(np.r_[True, hashed[order][1:] != hashed[order][:-1]]) - 1
+            start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            place = np.arange(len(order)) - start[group]
+            follow = np.full(len(ids), -1, np.int64)
+            for g in np.unique(group[place > degree]):
+                rows = order[start[g] : start[g] + np.count_nonzero(group == g)]
+                rows = rows[(codes[rows] == codes[rows[0]]).all(axis=1)]
+                name = codes[rows[0]].tobytes()
+                if name not in leaders:
+                    leaders[name] = int(ids[rows[0]])
+                    rows = rows[degree + 1 :]
+                follow[rows] = np.where(ids[rows] == leaders[name], -1, leaders[name])
+            kept = np.flatnonzero(follow < 0)
+            copies = np.flatnonzero(follow >= 0)
+            blocks = pivots.blocks(_unit(codes[kept])) if len(kept) else np.empty((0, 1), np.int64)
+            for k in range(blocks.shape[1]):
+                r = np.flatnonzero(blocks[:, k] >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(blocks[r, k].astype(np.int32)), pa.array(blocks[r, 0].astype(np.int32)), pa.array(ids[kept][r]), _binary(codes[kept][r]), pa.array(np.full(len(r), k == 0)), pa.nulls(len(r), pa.int64())], ["block", "home", "id", "vec", "own", "leader"])
+            if len(copies):
+                none = pa.array((-1 - ((ids[copies].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)).astype(np.int64)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(ids[copies]), pa.nulls(len(copies), pa.binary()), pa.nulls(len(copies), pa.bool_()), pa.array(follow[copies])], ["block", "home", "id", "vec", "own", "leader"])
+
+    return _usable(table, key, vector, dim).mapInArrow(assign, "block int, home int, id long, vec binary, own boolean, leader long")
+
+
+def _best(sims: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and similarities of the largest of each row, ties to the smaller column."""
     degree = min(degree, sims.shape[1])
     p = np.argpartition(-sims, degree - 1, axis=1)[:, :degree]
     s = np.take_along_axis(sims, p, 1)
@@ -184,291 +248,309 @@ def _best(sims: np.ndarray, ids: np.ndarray, degree: int) -> tuple[np.ndarray, n
     return np.take_along_axis(p, o, 1), np.take_along_axis(s, o, 1)
 
 
-def _block_lists(degree: int, dim: int):
-    """Compare all vectors of a block; lists of neighbours as packed entries."""
-    kind = _entry(degree)
+def _start(degree: int, dim: int):
+    """Compare all vectors of a block: the first lists, kept by those at home and sent to the homes of the others."""
 
     def compare(table: pa.Table) -> pa.Table:
-        ids = table["id"].to_numpy()
+        ids, block = table["id"].to_numpy(), table["block"][0].as_py()
+        if block < 0:
+            follow = _blank(len(ids), degree)
+            follow["id"][:, 0] = table["leader"].to_numpy()
+            return _messages(block, FOLLOW, ids, block, None, follow)
         order = np.argsort(ids, kind="stable")
         ids, codes = ids[order], _codes(table["vec"], dim)[order]
-        homes, own, whole = (table[c].to_numpy(zero_copy_only=False)[order] for c in ("home", "own", "whole"))
-        cell = table["block"][0].as_py() >> 20
-        fresh = np.ones(len(ids), bool)
-        fresh[1:] = (ids[1:] != ids[:-1]) | (codes[1:] != codes[:-1]).any(axis=1)
-        ids, codes, homes, own, whole = ids[fresh], codes[fresh], homes[fresh], own[fresh], whole[fresh].astype(bool)
+        homes, own = table["home"].to_numpy()[order], table["own"].to_numpy(zero_copy_only=False)[order].astype(bool)
+        same = np.r_[False, (ids[1:] == ids[:-1]) & (codes[1:] == codes[:-1]).all(axis=1)]
+        ids, codes, homes, own = ids[~same], codes[~same], homes[~same], own[~same]
         unit, m = _unit(codes), len(ids)
-        out = np.zeros(m, kind)
-        out["id"], out["sim"] = -1, -2
+        out = _blank(m, degree)
         repeated = bool((ids[1:] == ids[:-1]).any())
-        for a in range(0, m, 2048):
-            sims = unit[a : a + 2048] @ unit.T
+        for a in range(0, m, 1024):
+            sims = unit[a : a + 1024] @ unit.T
             rows = np.arange(len(sims))
-            sims[rows, a + rows] = -2
+            sims[rows, a + rows] = _NONE
             if repeated:
-                sims[ids[a : a + 2048, None] == ids[None, :]] = -2
-            p, s = _best(sims, ids, degree)
-            k = p.shape[1]
-            part = out[a : a + 2048]
-            part["id"][:, :k] = np.where(s > -2, ids[p], -1)
-            part["sim"][:, :k] = s
-            part["home"][:, :k] = homes[p]
-        vec = pa.array([c.tobytes() if o else None for c, o in zip(codes, own)], pa.binary())
-        met = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(whole)]).astype(np.int32)), pa.array(np.full(whole.sum(), cell, np.int64)))
-        return pa.table([pa.array(ids), _binary(out.view(np.uint8).reshape(m, -1)), vec, pa.array(homes), met], ["id", "near", "vec", "home", "met"])
+                sims[ids[a : a + 1024, None] == ids[None, :]] = _NONE
+            p, s = _best(sims, degree)
+            k, part = p.shape[1], out[a : a + 1024]
+            part["id"][:, :k], part["sim"][:, :k], part["home"][:, :k] = np.where(s > _NONE, ids[p], -1), s, homes[p]
+        out["new"] = np.where(out["id"] >= 0, 2, 0)
+        at_home = _messages(block, HOME, ids[own], block, codes[own], out[own], (out["new"][own] == 2).sum(axis=1))
+        return pa.concat_tables([at_home, _messages(homes[~own], GAIN, ids[~own], homes[~own], None, out[~own])])
 
     return compare
 
 
-def _merge(rows: DataFrame, degree: int) -> DataFrame:
-    """One row per id from any number of partial lists: best neighbours, vector, home cell, cells met."""
-    kind = _entry(degree)
-
-    def merge(batches):
-        for table in whole_keys(batches):
-            ids = table["id"].to_numpy()
-            lists = _bytes(table["near"]).view(kind)
-            own, first = np.unique(ids, return_index=True)
-            row = np.repeat(np.searchsorted(own, ids), degree)
-            nid, sim, home = lists["id"].ravel(), lists["sim"].ravel(), lists["home"].ravel()
-            ok = sim > -2
-            row, nid, sim, home = row[ok], nid[ok], sim[ok], home[ok]
-            order = np.lexsort((-sim, nid, row))  # the best of each (row, neighbour)
-            row, nid, sim, home = row[order], nid[order], sim[order], home[order]
-            keep = np.ones(len(row), bool)
-            keep[1:] = (row[1:] != row[:-1]) | (nid[1:] != nid[:-1])
-            row, nid, sim, home = row[keep], nid[keep], sim[keep], home[keep]
-            order = np.lexsort((nid, -sim, row))
-            row, nid, sim, home = row[order], nid[order], sim[order], home[order]
-            place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(own)))[row] if len(row) else np.empty(0, np.int64)
-            keep = place < degree
-            row, nid, sim, home, place = row[keep], nid[keep], sim[keep], home[keep], place[keep]
-            out = np.zeros(len(own), kind)
-            out["id"], out["sim"] = -1, -2
-            out["id"][row, place], out["sim"][row, place], out["home"][row, place] = nid, sim, home
-            packed = _binary(out.view(np.uint8).reshape(len(own), -1))
-            vec = table["vec"].combine_chunks()
-            has = np.flatnonzero(np.asarray(vec.is_valid()))
-            _, take = np.unique(ids[has], return_index=True)
-            met = table["met"].to_pylist()
-            cells: list[list[int]] = [[] for _ in own]
-            at = np.searchsorted(own, ids)
-            for k, m in enumerate(met):
-                if m:
-                    cells[at[k]] = sorted(set(cells[at[k]]) | set(m)) if cells[at[k]] else m
-            homes = table["home"].to_numpy(zero_copy_only=False)
-            firsts = has[take]
-            yield pa.RecordBatch.from_arrays([pa.array(own), packed, vec.take(pa.array(firsts)), pa.array(homes[firsts].astype(np.int32)), pa.array(cells, pa.list_(pa.int64()))], ["id", "near", "vec", "home", "met"])
-
-    columns = ["id", "near", "vec", "home", "met"]
-    return rows.select(*columns).repartition("id").sortWithinPartitions("id").mapInArrow(merge, "id long, near binary, vec binary, home int, met array<long>")
-
-
-def _spread(rows: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row ``counts`` times, with the numbers from ``first`` on."""
-    total = int(counts.sum())
-    return np.repeat(rows, counts), np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(total)
-
-
-def _unmet(batch: pa.RecordBatch, pivots: Pivots, degree: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, block) of all parts of the cells in which neighbours live and that a vector has not met."""
-    lists = _bytes(batch.column(1)).view(_entry(degree))
-    # Where the neighbours live is where the neighbours of neighbours are met.
-    lives, met = np.where(lists["id"] >= 0, lists["home"].astype(np.int64), -1).tolist(), batch.column(4).to_pylist()
-    new = [sorted(set(cells).difference(known, (-1,))) for cells, known in zip(lives, met)]
-    rows, cells = np.repeat(np.arange(len(new)), [len(x) for x in new]), np.array([c for x in new for c in x], np.int64)
-    return _spread(rows, cells << 20, pivots.parts[cells])
-
-
-def _loads(graph: DataFrame, shared, degree: int) -> tuple[np.ndarray, np.ndarray]:
-    """The blocks that are to be visited, in order, and the number of visitors of each."""
-
-    def count(batches):
-        for batch in batches:
-            if batch.num_rows:
-                block, n = np.unique(_unmet(batch, shared.value, degree)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(n)], ["block", "n"])
-
-    found = graph.select("id", "near", "vec", "home", "met").mapInArrow(count, "block long, n long").groupBy("block").agg(F.sum("n").alias("n")).toArrow()
-    block, n = found["block"].to_numpy(), found["n"].to_numpy()
-    order = np.argsort(block)
-    return block[order].astype(np.int64), n[order].astype(np.int64)
-
-
-def _visits(graph: DataFrame, shared, loads, degree: int, first: bool) -> DataFrame:
-    """(block, turn, visitor, id, home, vec, far): every vector as a visitor in the unmet cells of its neighbours, and at home for each turn of visitors there.
-
-    ``far`` is the similarity of the farthest neighbour kept so far. In the
-    first round each part of a split cell also visits the later parts, each
-    two under a turn below zero.
+def _merged(lists: np.ndarray, row, nid, sim, home, new, degree: int) -> np.ndarray:
+    """Lists with further entries: each neighbour once (an entry that is there keeps its flag), the best kept."""
+    n = len(lists)
+    have = np.flatnonzero(lists["id"].ravel() >= 0)
+    row = np.concatenate([have // degree, row])
+    old = np.arange(len(row)) >= len(have)
+    nid, sim, home, new = (np.concatenate([lists[c].ravel()[have], x]) for c, x in (("id", nid), ("sim", sim), ("home", home), ("new", new)))
+    order = np.lexsort((old, nid, row))
+    row, nid, sim, home, new = row[order], nid[order], sim[order], home[order], new[order]
+    keep = np.r_[True, (row[1:] != row[:-1]) | (nid[1:] != nid[:-1])] if len(row) else np.zeros(0, bool)
+    row, nid, sim, home, new = row[keep], nid[keep], sim[keep], home[keep], new[keep]
+    order = np.lexsort((nid, -sim, row))
+    row, nid, sim, home, new = row[order], nid[order], sim[order], home[order], new[order]
+    place = np.arange(len(row)) - np.searchsorted(row, np.arange(n))[row] if len(row) else row
+    keep = place < degree
+    at = row[keep], place[keep]
+    out = _blank(n, degree)
+    out["id"][at], out["sim"][at], out["home"][at], out["new"][at] = nid[keep], sim[keep], home[keep], new[keep]
+    return out
+
+
+def _meetings(ids, lists, at_home, unit, far, here, block: int, degree: int, width: int):
+    """(owner, other, similarity) of what the join of neighbours of neighbours finds in a block, rows of ``ids`` (sorted).
+
+    ``at_home`` marks the vectors u whose neighbours meet; ``here`` those that were compared with one another at the start.
     """
-    kind = _entry(degree)
-
-    def send(batches):
-        pivots, (visited, turns) = shared.value, loads.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, homes = batch.column(0).to_numpy(), batch.column(3).to_numpy()
-            far = _bytes(batch.column(1)).view(kind)["sim"][:, degree - 1]
-            every, own = np.arange(len(ids)), _block(homes, ids, pivots)
-            row, block = _unmet(batch, pivots, degree)
-            mixed = (ids[row].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)
-            turn = (mixed % turns[np.searchsorted(visited, block)].astype(np.uint64)).astype(np.int64)
-            at = np.minimum(np.searchsorted(visited, own), max(0, len(visited) - 1))
-            times = np.where(visited[at] == own, turns[at], 0) if len(visited) else np.zeros(len(ids), np.int64)
-            home_row, home_turn = _spread(every, np.zeros(len(ids), np.int64), times)
-            sent = [(row, block, turn, True), (home_row, own[home_row], home_turn, False)]
-            if first:
-                part = own & ((1 << 20) - 1)
-                to, later = _spread(every, own + 1, pivots.parts[homes] - part - 1)
-                stay, earlier = _spread(every, np.zeros(len(ids), np.int64), part)
-                sent += [(to, later, -1 - part[to], True), (stay, own[stay], -1 - earlier, False)]
-            for rows, blocks, turn, visitor in sent:
-                for a in range(0, len(rows), 1 << 16):
-                    r = rows[a : a + (1 << 16)]
-                    take = pa.array(r)
-                    yield pa.RecordBatch.from_arrays([pa.array(blocks[a : a + (1 << 16)]), pa.array(turn[a : a + (1 << 16)].astype(np.int32)), pa.array(np.full(len(r), visitor)), pa.array(ids[r]), pa.array(homes[r]), batch.column(2).take(take), pa.array(far[r])], ["block", "turn", "visitor", "id", "home", "vec", "far"])
-
-    return graph.select("id", "near", "vec", "home", "met").mapInArrow(send, "block long, turn int, visitor boolean, id long, home int, vec binary, far float")
-
-
-def _local_join(degree: int, dim: int):
-    """Compare the visitors of a block with its residents; improvements of both sides."""
-    kind = _entry(degree)
-
-    def join(table: pa.Table) -> pa.Table:
-        schema = pa.schema([("id", pa.int64()), ("near", pa.binary()), ("home", pa.int32()), ("met", pa.list_(pa.int64()))])
-        order = np.argsort(table["id"].to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        visitor = table["visitor"].to_numpy(zero_copy_only=False).astype(bool)
-        v, r = np.flatnonzero(visitor), np.flatnonzero(~visitor)
-        if not len(v):
-            return schema.empty_table()
-        ids, homes, far = table["id"].to_numpy(), table["home"].to_numpy(), table["far"].to_numpy()
-        unit = _unit(_codes(table["vec"], dim))
-        cell = table["block"][0].as_py() >> 20
-        out_id, out_list, out_home, out_met = [], [], [], []
-
-        def put(owner, columns, sims):
-            out = np.zeros(len(owner), kind)
-            out["id"], out["sim"] = -1, -2
-            k = columns.shape[1]
-            out["id"][:, :k] = np.where(sims > -2, ids[columns], -1)
-            out["sim"][:, :k], out["home"][:, :k] = sims, homes[columns]
-            out_id.append(ids[owner])
-            out_list.append(out)
-            out_home.append(homes[owner])
-
-        back: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(r):
-            for a in range(0, len(v), 1024):
-                mine = v[a : a + 1024]
-                sims = unit[mine] @ unit[r].T
-                sims[ids[mine][:, None] == ids[r][None, :]] = -2
-                p, s = _best(sims, ids[r], degree)
-                s = np.where(s > far[mine][:, None], s, -2)
-                put(mine, r[p], s)
-                i, j = np.nonzero(sims > far[r][None, :])
-                back.append((r[j], mine[i], sims[i, j]))
-        else:
-            put(v, np.zeros((len(v), 1), np.int64), np.full((len(v), 1), -2, np.float32))
-        out_met += [[cell]] * len(v)
-        if back:
-            owner, column, sim = (np.concatenate(x) for x in zip(*back))
-            order = np.lexsort((ids[column], -sim, owner))
-            owner, column, sim = owner[order], column[order], sim[order]
-            who, first = np.unique(owner, return_index=True)
-            place = np.arange(len(owner)) - first[np.searchsorted(who, owner)]
-            keep = place < degree
-            columns = np.zeros((len(who), degree), np.int64)
-            sims = np.full((len(who), degree), -2, np.float32)
-            at = np.searchsorted(who, owner[keep])
-            columns[at, place[keep]], sims[at, place[keep]] = column[keep], sim[keep]
-            if len(who):
-                put(who, columns, sims)
-                out_met += [[]] * len(who)
-        lists = np.concatenate(out_list)
-        return pa.table([pa.array(np.concatenate(out_id)), _binary(lists.view(np.uint8).reshape(len(lists), -1)), pa.array(np.concatenate(out_home).astype(np.int32)), pa.array(out_met, pa.list_(pa.int64()))], schema=schema)
-
-    return join
-
-
-def neighbour_graph(table: DataFrame, key: str = "id", vector: str = "vector", dim: int = 64, degree: int = 6) -> DataFrame:
-    """(id, near, vec, home, met): packed neighbour lists, best first, materialised after each round.
-
-    Every round a vector meets whole cells, so the rounds end by themselves.
-    """
-    spark = table.sparkSession
-    vectors = encoded(table, key, vector, dim)
-    pivots = fit(table, key, vector, dim)
-    shared = spark.sparkContext.broadcast(pivots)
-    blocks = _assign(vectors, shared, dim)
-    lists = blocks.groupBy("block").applyInArrow(_block_lists(degree, dim), "id long, near binary, vec binary, home int, met array<long>")
-    graph = cut_lineage(_merge(lists, degree))
-    first = bool((pivots.parts > 1).any())
-    while True:
-        visited, load = _loads(graph, shared, degree)
-        if not len(visited) and not first:
-            return graph
-        # Visitors of one turn, with the residents, are gathered in one task.
-        loads = spark.sparkContext.broadcast((visited, -(-load // MAX_BLOCK)))
-        sent = _visits(graph, shared, loads, degree, first)
-        better = sent.groupBy("block", "turn").applyInArrow(_local_join(degree, dim), "id long, near binary, home int, met array<long>")
-        graph = cut_lineage(_merge(graph.unionByName(better.withColumn("vec", F.lit(None).cast("binary"))), degree))
-        first = False
-
-
-def edges(graph: DataFrame, degree: int, k: int, at_least: float = -1.0) -> DataFrame:
-    """(id, rank, neighbour, similarity) of the k nearest in the lists, rank from 1."""
-    kind = _entry(degree)
+    n = len(ids)
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
+    entry = np.flatnonzero(lists["id"].ravel() >= 0)
+    who, to = entry // degree, lists["id"].ravel()[entry]
+    new = lists["new"].ravel()[entry] > 0
+    guests, hosts = np.flatnonzero(~at_home), np.flatnonzero(at_home)
+    seen = np.zeros(n, bool)
+    seen[who[~new & (lists["home"].ravel()[entry] == block)]] = True
+    guests = guests[~seen[guests]]
+    at = np.minimum(np.searchsorted(ids, to), n - 1)
+    present = ids[at] == to
+    who, to, new = who[present], at[present], new[present]
+    known = np.sort(who * n + to)
+    u, v, new = np.concatenate([who, to]), np.concatenate([to, who]), np.concatenate([new, new])
+    keep = at_home[u]
+    u, v, new = u[keep], v[keep], new[keep]
+    lively = np.zeros(n, bool)
+    lively[u[new]] = True
+    keep = lively[u]
+    u, v, new = u[keep], v[keep], new[keep]
+    found = []
+    for a in range(0, len(guests) if len(hosts) else 0, 1024):
+        g = guests[a : a + 1024]
+        sims = unit[g] @ unit[hosts].T
+        i, j = np.nonzero(sims > np.minimum(far[g][:, None], far[hosts][None, :]))
+        found.append((g[i], hosts[j], sims[i, j]))
+    if len(u):
+        found += _common(ids, u, v, new, unit, far, here, width)
+    if not found:
+        return none
+    a, b, s = (np.concatenate(x) for x in zip(*found))
+    owner, other, s = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([s, s])
+    keep = (s > far[owner]) & (ids[owner] != ids[other])
+    owner, other, s = owner[keep], other[keep], s[keep]
+    if not len(owner):
+        return none
+    code, first = np.unique(owner * n + other, return_index=True)
+    known = known[np.minimum(np.searchsorted(known, code), max(0, len(known) - 1))] == code if len(known) else np.zeros(len(code), bool)
+    first = first[~known]
+    owner, other, s = owner[first], other[first], s[first]
+    order = np.lexsort((other, -s, owner))
+    owner, other, s = owner[order], other[order], s[order]
+    place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    keep = place < degree
+    return owner[keep], other[keep], s[keep]
+
+
+def _common(ids, u, v, new, unit, far, here, width: int) -> list:
+    """Pairs of vectors that have a neighbour u in common, one of them new to it, and that are better than what one of them has."""
+    order = np.lexsort((~new, v, u))
+    u, v, new = u[order], v[order], new[order]
+    keep = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])]
+    u, v, new = u[keep], v[keep], new[keep]
+    # What lists a hub is sampled by a hash, new entries first.
+    order = np.lexsort(((ids[v].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20), ~new, u))
+    u, v, new = u[order], v[order], new[order]
+    who, first = np.unique(u, return_index=True)
+    row = np.searchsorted(who, u)
+    place = np.arange(len(u)) - first[row]
+    keep = place < width
+    row, place, v, new = row[keep], place[keep], v[keep], new[keep]
+    width = int(place.max()) + 1
+    members, fresh = np.full((len(who), width), -1, np.int64), np.zeros((len(who), width), bool)
+    members[row, place], fresh[row, place] = v, new
+    upper = np.triu(np.ones((width, width), bool), 1)
+    found = []
+    for a in range(0, len(who), 512):
+        m, f = members[a : a + 512], fresh[a : a + 512]
+        ok, local, reach = m >= 0, here[m], np.where(m >= 0, far[m], 9.0)
+        some = unit[m]
+        sims = np.matmul(some, some.transpose(0, 2, 1))
+        hit = sims > np.minimum(reach[:, :, None], reach[:, None, :])
+        hit &= upper & (f[:, :, None] | f[:, None, :]) & ~(local[:, :, None] & local[:, None, :]) & (ok[:, :, None] & ok[:, None, :])
+        r, i, j = np.nonzero(hit)
+        found.append((m[r, i], m[r, j], sims[r, i, j]))
+    return found
+
+
+def _round(degree: int, dim: int, meet: bool):
+    """One block's round: take in what was gained elsewhere, let neighbours of neighbours meet, send on."""
+
+    def turn(table: pa.Table) -> pa.Table:
+        kind, ids, homes = (table[c].to_numpy() for c in ("kind", "id", "home"))
+        block = table["block"][0].as_py()
+        lists = _bytes(table["near"]).view(_entry(degree))
+        there = np.flatnonzero(kind != GAIN)
+        there = there[np.lexsort((kind[there], ids[there]))]
+        there = there[np.r_[True, ids[there][1:] != ids[there][:-1]]] if len(there) else there
+        if not len(there):
+            return _SHAPE.empty_table()
+        gain = np.flatnonzero(kind == GAIN)
+        codes = _codes(table["vec"].take(pa.array(there)), dim)
+        own_ids, own_kind, own_homes, own = ids[there], kind[there], homes[there], lists[there]
+        if len(gain):
+            at = np.minimum(np.searchsorted(own_ids, ids[gain]), len(own_ids) - 1)
+            e = np.flatnonzero((lists["id"][gain].ravel() >= 0) & np.repeat((own_ids[at] == ids[gain]) & (own_kind[at] == HOME), degree))
+            g = lists[gain]
+            own = _merged(own, np.repeat(at, degree)[e], g["id"].ravel()[e], g["sim"].ravel()[e], g["home"].ravel()[e], np.full(len(e), 2, np.uint8), degree)
+        out = []
+        at_home = own_kind != VISIT
+        if meet:
+            far = own["sim"][:, degree - 1]
+            owner, other, s = _meetings(own_ids, own, at_home, _unit(codes), far, own_homes == block, block, degree, 2 * degree)
+            own["new"] = np.where(own["new"] == 2, 2, 0)
+            mine = own_kind[owner] == HOME
+            if mine.any():
+                own = _merged(own, owner[mine], own_ids[other[mine]], s[mine], own_homes[other[mine]], np.full(mine.sum(), 2, np.uint8), degree)
+            owner, other, s = owner[~mine], other[~mine], s[~mine]
+            if len(owner):
+                who = np.unique(owner)
+                row = np.searchsorted(who, owner)
+                place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+                sent = _blank(len(who), degree)
+                sent["id"][row, place], sent["sim"][row, place], sent["home"][row, place], sent["new"][row, place] = own_ids[other], s, own_homes[other], 2
+                out.append(_messages(own_homes[who], GAIN, own_ids[who], own_homes[who], None, sent))
+        stay = np.flatnonzero(own_kind == HOME)
+        near = own[stay]
+        r, c = np.nonzero((near["new"] == 2) & (near["home"] != block))
+        to = np.unique(np.stack([r, near["home"][r, c].astype(np.int64)]), axis=1)
+        fresh = (near["new"] == 2).sum(axis=1)
+        near["new"] = np.minimum(near["new"], 1)
+        out.append(_messages(block, HOME, own_ids[stay], block, codes[stay], near, fresh))
+        out.append(_messages(to[1], VISIT, own_ids[stay][to[0]], block, codes[stay][to[0]], near[to[0]]))
+        return pa.concat_tables(out)
+
+    return turn
+
+
+def _dealt(messages: DataFrame) -> DataFrame:
+    """Messages with ``turn``: cells with very many visitors are dealt to several tasks, each with a copy of those at home."""
+    crowds = messages.where(F.col("kind") == VISIT).groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > MAX_VISITORS)
+    parts = [(r["block"], -(-r["n"] // MAX_VISITORS)) for r in crowds.collect()]  # at most one cell for MAX_VISITORS messages
+    if not parts:
+        return messages.withColumn("turn", F.lit(0))
+    many = F.broadcast(messages.sparkSession.createDataFrame(parts, "block int, _parts int"))
+    rows = messages.join(many, "block", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    every = F.when(F.col("kind") == HOME, F.sequence(F.lit(0), F.col("_parts") - 1)).when(F.col("kind") == VISIT, F.array(F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumn("turn", F.explode(every)).drop("_parts")
+    return rows.withColumn("kind", F.when((F.col("turn") > 0) & (F.col("kind") == HOME), F.lit(COPY)).otherwise(F.col("kind")).cast("byte"))
+
+
+class Graph:
+    """The settled graph: the lists at home and what is still on its way, and (id, leader) of the copies that follow others, if any."""
+
+    def __init__(self, messages: DataFrame, copies: DataFrame | None, degree: int, rounds: int, pivots) -> None:
+        self.messages, self.copies, self.degree, self.rounds, self.pivots = messages, copies, degree, rounds, pivots
+
+    def lists(self) -> DataFrame:
+        """(id, near): one merged list for each id but the copies."""
+        degree = self.degree
+
+        def merge(batches):
+            for table in whole_keys(batches):
+                ids = table["id"].to_numpy()
+                lists = _bytes(table["near"]).view(_entry(degree))
+                who, first = np.unique(ids, return_index=True)
+                if len(who) < len(ids):
+                    e = np.flatnonzero(lists["id"].ravel() >= 0)
+                    row = np.repeat(np.searchsorted(who, ids), degree)[e]
+                    lists = _merged(_blank(len(who), degree), row, *(lists[c].ravel()[e] for c in ("id", "sim", "home", "new")), degree)
+                yield pa.RecordBatch.from_arrays([pa.array(who), _binary(lists.view(np.uint8).reshape(len(who), -1))], ["id", "near"])
+
+        rows = self.messages.where(F.col("kind").isin(HOME, GAIN)).select("id", "near")
+        return rows.repartition("id").sortWithinPartitions("id").mapInArrow(merge, "id long, near binary")
+
+    def vectors(self) -> DataFrame:
+        """(id, vec, home) of each vector but the copies."""
+        return self.messages.where(F.col("kind") == HOME).select("id", "vec", "home")
+
+
+def _unpacked(degree: int, k: int, at_least: float = -1.0):
+    """Lists to (id, rank, neighbour, similarity) of their k first."""
 
     def unpack(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, near = batch.column(0).to_numpy(), batch.column(1)
-            lists = _bytes(near).view(kind)
+            ids, lists = batch.column(0).to_numpy(), _bytes(batch.column(1)).view(_entry(degree))
             nid, sim = lists["id"][:, :k], lists["sim"][:, :k]
-            r, c = np.nonzero((sim > -2) & (sim >= at_least))
+            r, c = np.nonzero((nid >= 0) & (sim >= at_least))
             yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array((c + 1).astype(np.int32)), pa.array(nid[r, c]), pa.array(sim[r, c].astype(np.float64))], ["id", "rank", "neighbour", "similarity"])
 
-    return graph.select("id", "near").mapInArrow(unpack, "id long, rank int, neighbour long, similarity double")
+    return unpack
+
+
+_LINKS = "id long, rank int, neighbour long, similarity double"
 
 
-def nearest(table: DataFrame, k: int = 5, key: str = "id", vector: str = "vector", dim: int = 64, **how) -> DataFrame:
+def neighbour_graph(table: DataFrame, key: str = "id", vector: str = "vector", dim: int = 64, degree: int = 8, most_rounds: int = 30) -> Graph:
+    """The neighbour graph, materialised after each round in the shared folder; rounds go on until it has settled."""
+    pivots = table.sparkSession.sparkContext.broadcast(fit(table, key, vector, dim))
+    assigned = _assigned(table, key, vector, dim, degree, pivots)
+    messages = written(assigned.groupBy("block").applyInArrow(_start(degree, dim), _MESSAGE))
+    copies, rounds = None, 0
+    while True:
+        of = lambda kind: F.coalesce(F.sum((F.col("kind") == kind).cast("long")), F.lit(0))
+        state = messages.agg(of(HOME).alias("n"), of(FOLLOW).alias("copies"), F.coalesce(F.sum("fresh"), F.lit(0)).alias("fresh")).first()
+        if state["copies"]:
+            follow = messages.where(F.col("kind") == FOLLOW).select("id", "near").mapInArrow(_unpacked(degree, 1, _NONE), _LINKS)
+            copies = written(follow.select("id", F.col("neighbour").alias("leader")).distinct())
+        if rounds and state["fresh"] <= SETTLED * degree * state["n"] or rounds >= most_rounds:
+            return Graph(messages, copies, degree, rounds, pivots)
+        turns = _dealt(messages.where(F.col("kind") != FOLLOW))
+        after = written(turns.groupBy("block", "turn").applyInArrow(_round(degree, dim, rounds > 0), _MESSAGE))
+        forget(messages)
+        messages, rounds = after, rounds + 1
+
+
+def edges(graph: Graph, k: int, at_least: float = -1.0) -> DataFrame:
+    """(id, rank, neighbour, similarity) of the k nearest in the lists, rank from 1; copies take over the list of the one they follow."""
+    if graph.copies is None:
+        return graph.lists().mapInArrow(_unpacked(graph.degree, k, at_least), _LINKS)
+    own = cut_lineage(graph.lists().mapInArrow(_unpacked(graph.degree, k, at_least), _LINKS))
+    # The one that is followed is as near as can be; then its list, without the copy itself.
+    leader = graph.copies.select("id", F.col("leader").alias("neighbour"), F.lit(1.0).alias("similarity"))
+    taken = graph.copies.join(own.withColumnRenamed("id", "leader"), "leader").where("id <> neighbour").select("id", "neighbour", "similarity")
+    w = Window.partitionBy("id").orderBy(F.round(-F.col("similarity"), 5), "neighbour")
+    followed = leader.unionByName(taken).dropDuplicates(["id", "neighbour"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return own.unionByName(followed.select("id", "rank", "neighbour", "similarity"))
+
+
+def nearest(table: DataFrame, k: int = 5, key: str = "id", vector: str = "vector", dim: int = 64, degree: int | None = None) -> DataFrame:
     """(id, rank, neighbour, distance) of the k most similar vectors of every usable vector; distance is 1 - cosine."""
-    degree = how.pop("degree", k + 1)
-    found = edges(neighbour_graph(table, key, vector, dim, degree, **how), degree, k)
+    found = edges(neighbour_graph(table, key, vector, dim, degree or k + 3), k)
     return found.select("id", "rank", "neighbour", (1 - F.col("similarity")).alias("distance"))
 
 
-def similar_pairs(table: DataFrame, at_least: float = 0.9, k: int = 5, key: str = "id", vector: str = "vector", dim: int = 64, **how) -> DataFrame:
+def similar_pairs(table: DataFrame, at_least: float = 0.9, k: int = 5, key: str = "id", vector: str = "vector", dim: int = 64, degree: int | None = None) -> DataFrame:
     """(id_a, id_b) of at least the given similarity, one among the k most similar of the other."""
-    degree = how.pop("degree", k + 1)
-    found = edges(neighbour_graph(table, key, vector, dim, degree, **how), degree, k, at_least)
+    found = edges(neighbour_graph(table, key, vector, dim, degree or k + 3), k, at_least)
     return found.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).where("id_a <> id_b").distinct()
 
 
-def greedy_search(graph: DataFrame, queries: DataFrame, degree: int, k: int = 5, beam: int = 12, dim: int = 64) -> DataFrame:
-    """(query, rank, neighbour, distance): walk the graph from each query, best first.
+def greedy_search(links: DataFrame, points: DataFrame, queries: DataFrame, k: int = 5, beam: int = 24, dim: int = 64) -> DataFrame:
+    """(query, rank, neighbour, distance): walk the graph from each query's entries, best first.
 
-    ``queries`` is (query, vec, entry): entry is a vector of the graph to start
-    from. Each hop expands the not yet expanded of the ``beam`` best vectors
-    found so far; a query whose best all have been expanded is done, and the
-    walk goes on until every query is. A query is
-    never its own neighbour. The queries are a stated set, so every hop is a
-    join of that set's frontier with the graph, on the vector's id.
+    ``links`` is (id, neighbour), ``points`` (id, vec) and ``queries`` (query, vec,
+    entry). Each hop expands the not yet expanded of the ``beam`` best vectors
+    found so far, and the walk goes on until every vector of every beam has been
+    expanded. A query is never its own neighbour. The queries are a stated set, so
+    every hop is a join of that set's frontier with the graph, on the vector's id.
     """
-    from pyspark.sql import Window
-
-    links = edges(graph, degree, degree).select("id", "neighbour")
-    turned = Window.partitionBy("id").orderBy(F.xxhash64("neighbour"), "neighbour")
-    back = links.select(F.col("neighbour").alias("id"), F.col("id").alias("neighbour"))
-    # A hub's incoming links are sampled, as in NN-descent: the walk leaves it by its own list and these.
-    back = back.withColumn("_r", F.row_number().over(turned)).where(F.col("_r") <= degree).drop("_r")
-    around = cut_lineage(links.unionByName(back).groupBy("id").agg(F.collect_set("neighbour").alias("out")))
-    points = graph.select(F.col("id").alias("neighbour"), F.col("vec").alias("v"))
+    around = links.groupBy("id").agg(F.collect_list("neighbour").alias("out"))  # bounded: twice the lists' length
+    points = points.select(F.col("id").alias("neighbour"), F.col("vec").alias("v"))
 
     @F.arrow_udf("float")
     def cosine(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -476,10 +558,12 @@ def greedy_search(graph: DataFrame, queries: DataFrame, degree: int, k: int = 5,
             return pa.array([], pa.float32())
         return pa.array((_unit(_codes(a, dim)) * _unit(_codes(b, dim))).sum(axis=1).astype(np.float32))
 
-    asked = cut_lineage(queries.select("query", "vec").dropDuplicates(["query"]))
-    state = asked.join(queries.select("query", F.col("entry").alias("neighbour")), "query").join(points, "neighbour").select("query", "neighbour", cosine("vec", "v").alias("sim"), F.lit(False).alias("done"))
-    state = cut_lineage(state.distinct())
+    asked = written(queries.select("query", "vec").dropDuplicates(["query"]))
+    starts = queries.select("query", F.col("entry").alias("neighbour")).distinct().join(points, "neighbour").join(asked, "query")
     best = Window.partitionBy("query").orderBy(F.col("sim").desc(), "neighbour")
+    top = lambda rows: rows.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= beam).drop("_r")
+    state = written(top(starts.select("query", "neighbour", cosine("vec", "v").alias("sim"), F.lit(False).alias("done"))))
+    around = written(around)
     while True:  # the beam only improves, so what has left it never comes back
         open_ = state.where("not done")
         if open_.isEmpty():
@@ -487,25 +571,56 @@ def greedy_search(graph: DataFrame, queries: DataFrame, degree: int, k: int = 5,
         steps = open_.select("query", F.col("neighbour").alias("id")).join(around, "id").select("query", F.explode("out").alias("neighbour")).distinct()
         new = steps.join(state, ["query", "neighbour"], "left_anti").where("query <> neighbour")
         scored = new.join(points, "neighbour").join(asked, "query").select("query", "neighbour", cosine("vec", "v").alias("sim"), F.lit(False).alias("done"))
-        both = state.withColumn("done", F.lit(True)).unionByName(scored)
-        state = cut_lineage(both.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= beam).drop("_r"))
+        after = written(top(state.withColumn("done", F.lit(True)).unionByName(scored)))
+        forget(state)
+        state = after
     ranked = state.where("query <> neighbour").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query", "rank", "neighbour", (1 - F.col("sim").cast("double")).alias("distance"))
 
 
-def search(table: DataFrame, every: int = 50, k: int = 5, key: str = "id", vector: str = "vector", dim: int = 64, degree: int = 8, entries: int = 4, at_itself: bool = True, **how) -> DataFrame:
+def walkable(graph: Graph) -> DataFrame:
+    """(id, neighbour) of the lists both ways; a hub's incoming links are sampled to the lists' length by a hash."""
+    links = edges(graph, graph.degree).select("id", "neighbour")
+    turned = Window.partitionBy("id").orderBy(F.xxhash64("neighbour"), "neighbour")
+    back = links.select(F.col("neighbour").alias("id"), F.col("id").alias("neighbour"))
+    back = back.withColumn("_r", F.row_number().over(turned)).where(F.col("_r") <= graph.degree).drop("_r")
+    return links.unionByName(back).distinct()
+
+
+def entered(graph: Graph, queries: DataFrame, dim: int = 64, doors: int = 16) -> DataFrame:
+    """(query, vec, entry) of (query, vec): each query enters at ``doors`` vectors of each of its two nearest cells, spread over the cell by a hash."""
+    pivots = graph.pivots
+
+    def find(batches):
+        for batch in batches:
+            if batch.num_rows:
+                blocks = pivots.value.blocks(_unit(_codes(batch.column(1), dim)))
+                for k in range(blocks.shape[1]):
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks[:, k].astype(np.int32))], ["query", "vec", "home"])
+
+    spread = Window.partitionBy("home").orderBy(F.xxhash64("entry"), "entry")
+    open_ = graph.vectors().select("home", F.col("id").alias("entry")).withColumn("_r", F.row_number().over(spread)).where(F.col("_r") <= doors).select("home", "entry")
+    return queries.select("query", "vec").mapInArrow(find, "query long, vec binary, home int").join(open_, "home").where("query <> entry").select("query", "vec", "entry")
+
+
+def search(table: DataFrame, every: int = 50, k: int = 5, key: str = "id", vector: str = "vector", dim: int = 64, degree: int = 10, held_out: bool = True, **how) -> DataFrame:
     """Greedy search for every row whose id is divisible by ``every``, against all rows.
 
-    Each query enters at itself, being a vector of the graph, and at ``entries`` vectors of its home cell, spread over the cell by a hash.
-    Without ``at_itself`` it enters only at the latter, which shows what the walk alone finds.
+    With ``held_out`` the graph is built without the queries, which are then met among
+    themselves apart, so that what comes out is what the walk finds and not what the lists held.
     """
-    from pyspark.sql import Window
+    asks = F.coalesce(F.col(key) % every == 0, F.lit(False))
 
-    graph = neighbour_graph(table, key, vector, dim, degree)
-    asked = graph.where(F.col("id") % every == 0).select(F.col("id").alias("query"), "vec", "home")
-    spread = Window.partitionBy("home").orderBy(F.xxhash64("entry"), "entry")
-    doors = graph.select("home", F.col("id").alias("entry")).withColumn("_r", F.row_number().over(spread)).where(F.col("_r") <= entries).select("home", "entry")
-    starts = asked.join(doors, "home").select("query", "vec", "entry").where("query <> entry")
-    if at_itself:
-        starts = starts.unionByName(asked.select("query", "vec", F.col("query").alias("entry")))
-    return greedy_search(graph, starts, degree, k, dim=dim, **how)
+    def encode(batches):
+        for ids, codes in _encode(batches, dim):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), _binary(codes)], ["query", "vec"])
+
+    queries = _usable(table.where(asks), key, vector, dim).mapInArrow(encode, "query long, vec binary").dropDuplicates(["query"])
+    graph = neighbour_graph(table.where(~asks) if held_out else table, key, vector, dim, degree)
+    found = greedy_search(walkable(graph), graph.vectors(), entered(graph, queries, dim), k, dim=dim, **how)
+    if not held_out:
+        return found
+    among = edges(neighbour_graph(table.where(asks), key, vector, dim, degree), k).select(F.col("id").alias("query"), "neighbour", (1 - F.col("similarity")).alias("distance"))
+    best = Window.partitionBy("query").orderBy("distance", "neighbour")
+    both = found.select("query", "neighbour", "distance").unionByName(among)
+    return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "rank", "neighbour", "distance")

@@ -46,27 +46,55 @@ def test_walk_goes_on_to_the_end(spark):
     # A chain of vectors, each linked to the next: the answer lies twelve steps from the entry.
     angles = np.arange(13) / 10
     x = np.stack([np.cos(angles), np.sin(angles)], axis=1)
-    codes = [np.rint(v / np.abs(v).max() * 32767).astype(np.int16).tobytes() for v in x]
-    lists = np.zeros(13, vg._entry(1))
-    lists["id"][:, 0], lists["sim"] = [*range(1, 13), 11], 1.0
-    graph = spark.createDataFrame([(i, bytearray(lists[i].tobytes()), bytearray(codes[i])) for i in range(13)], "id long, near binary, vec binary")
-    asked = spark.createDataFrame([(100, bytearray(codes[12]), 0)], "query long, vec binary, entry long")
-    got = {r["rank"]: r["neighbour"] for r in vg.greedy_search(graph, asked, 1, k=2, beam=2, dim=2).collect()}
+    codes = [bytearray(np.rint(v / np.abs(v).max() * 32767).astype(np.int16).tobytes()) for v in x]
+    links = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(12, 11)], "id long, neighbour long")
+    points = spark.createDataFrame(list(enumerate(codes)), "id long, vec binary")
+    asked = spark.createDataFrame([(100, codes[12], 0)], "query long, vec binary, entry long")
+    got = {r["rank"]: r["neighbour"] for r in vg.greedy_search(links, points, asked, k=2, beam=2, dim=2).collect()}
     assert got == {1: 12, 2: 11}
 
 
-def test_hot_copies_and_split_cells(spark, monkeypatch):
-    monkeypatch.setattr(vg, "MAX_BLOCK", 64)
+def test_copies_follow_one_of_them(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, DIM))
     rows = [(i, [1.0] * DIM, "x") for i in range(200)] + [(1000 + i, v.tolist(), "x") for i, v in enumerate(x)]
     got = vg.nearest(_frame(spark, rows), 5, dim=DIM).toPandas()
     copies = got[got["id"] < 200]
-    assert len(copies) == 1000 and (copies["distance"] < 1e-4).all()
+    assert len(copies) == 1000 and (copies["distance"] < 1e-4).all() and (copies["neighbour"] < 200).all()
+    assert not got.duplicated(["id", "neighbour"]).any() and (got["id"] != got["neighbour"]).all() and got["id"].nunique() == 500
+
+
+def test_neighbours_of_neighbours_meet_in_a_block():
+    # Two strangers a and b are listed by u alone; one of them is new.
+    lists = vg._blank(3, 2)
+    lists["id"][0], lists["sim"][0], lists["home"][0], lists["new"][0] = [20, 30], [0.9, 0.9], [7, 8], [1, 0]
+    lists["sim"][1:], lists["id"][1:] = 0.1, [[98, 99], [98, 99]]
+    unit = np.array([[1, 0], [0.9, 0.4359], [0.9, 0.4359]], np.float32)
+    ids, home = np.array([10, 20, 30]), np.array([True, False, False])
+    how = ids, lists, home, unit, lists["sim"][:, 1], home, 5, 2, 4
+    owner, other, sim = vg._meetings(*how)
+    assert set(zip(owner.tolist(), other.tolist())) >= {(1, 2), (2, 1)} and (sim > 0.85).all()
+    lists["new"][0] = 0
+    lists["home"][1:], lists["id"][1:] = 5, [[10, 99], [10, 99]]  # and now both have been here before
+    assert not len(vg._meetings(*how)[0])
+
+
+def test_crowded_cells_are_dealt_to_several_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1200, DIM)).astype(np.float32)
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(x)]
+    monkeypatch.setattr(vg, "CELL", 100)
+    plain = vg.nearest(_frame(spark, rows), 5, dim=DIM).toPandas()
+    monkeypatch.setattr(vg, "MAX_VISITORS", 20)
+    dealt = vg.nearest(_frame(spark, rows), 5, dim=DIM).toPandas()
+    true, _ = _brute(list(range(1200)), x.astype(float), 5)
+    for got in (plain, dealt):
+        found = got.groupby("id")["neighbour"].agg(set)
+        assert len(got) == 6000 and np.mean([len(found[i] & true[i]) / 5 for i in range(1200)]) >= 0.9
 
 
 def test_recall_on_skewed_input_with_split_cells(spark, monkeypatch):
-    monkeypatch.setattr(vg, "MAX_BLOCK", 64)
+    monkeypatch.setattr(vg, "MAX_BLOCK", 128)
     rng = np.random.default_rng(4)
     # One cluster holds two thirds of all vectors, so that its cells are split into many parts.
     x = np.concatenate([1 + 0.05 * rng.normal(size=(2000, DIM)), rng.normal(size=(1000, DIM))]).astype(np.float32)
