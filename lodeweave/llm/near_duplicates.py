@@ -1,22 +1,31 @@
-"""Near-duplicate records by a prefix filter with positions.
-
-This stands in place of generalised pigeonhole over partitions of a bit vector,
-which is not built; the README says why. A record is a set of bits, one per word
-shingle of the whole collection (64-bit hashes; nothing is cut off). Two records
-of similarity J or more differ in few bits: of the smaller one at most
-(1 - J) / (1 + J) of its bits are missing in the larger. All records order their
-bits alike, by how many records hold them as a histogram of all shingles of all
-records estimates. Each probes, and is indexed under, one bit more of the rarest
-than may be missing in its partner.
-
-Probes meet index entries in one shuffle by bit; size and position bounds, a 512-bit parity sketch (whose Hamming distance never
-exceeds that of the full vectors), and at last the exact similarity of the
-texts verify the candidates. No step can lose a pair.
+"""Near-duplicate records by generalised pigeonhole.
+
+A record is a bit vector: one bit per word shingle of the whole collection
+(64-bit hashes; nothing is cut off). If the larger of two records y is similar to
+the smaller one x by J or more, at most t = n - ceil(2J / (1 + J) n) of the n bits
+of x are missing in y. The dimensions are grouped into partitions of correlated
+bits. For each x a dynamic program gives every partition its own threshold, -1 or
+more, so that the thresholds and their number sum to t + 1; then y misses in at
+least one partition no more of x's bits than its threshold allows.
+
+Correlation is estimated on a bounded sample of records (``SAMPLE``): bits that
+several of them hold go to one partition if the same two records are the first of
+the sample to hold them, up to 16 bits a partition. Bits that the sample does not
+show twice are rare, and each is a partition of its own. How many candidates a
+threshold gives is estimated from a histogram of all bits of all records: bits of
+one partition mostly occur together, so a threshold that asks for c of x's bits in
+it finds about as many records as hold the c-th most frequent of these bits.
+
+Each record is indexed under its partitions with its bits there as a mask and its
+threshold. What meets in a partition is compared by mask, size and threshold;
+candidates are verified by a 512-bit parity sketch (whose Hamming distance never
+exceeds that of the full vectors) and at last by the similarity of all their
+bits. No step can lose a pair, whatever partitions and thresholds are chosen.
 
 Equal texts are one class: they are worked once and joined again at the end.
 A class or group of any size is never gathered in one task, and no step
-takes pairs within a group of copies. A bit that very many records hold is cut into blocks, and
-pairs of blocks meet in tasks of their own.
+takes pairs within a group of copies. A partition that very many records share is cut
+into blocks, and pairs of blocks meet in tasks of their own.
 
 Null names count as empty; records with null, empty or too short
 descriptions have no partner.
@@ -36,19 +45,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.llm.splitting import plain_text
-from lodeweave.runtime import cut_lineage
+from lodeweave.runtime import cut_lineage, written
 
-#: Buckets of the histogram of shingle counts, and of a block in which it travels: 16 MB whatever the data.
+#: Buckets of the histogram of bit counts, and of a block in which it travels: 16 MB whatever the data.
 BUCKETS, BLOCK = 1 << 22, 1 << 15
+#: Records that the partitions are fitted on and the bits of them that are looked at; bits of a partition.
+SAMPLE, SAMPLE_BITS, WIDEST = 4096, 1 << 21, 16
 SKETCH_WORDS = 8
-#: Entries of one bit that meet in one block, and pairs looked at in one step.
-HOT, STEP = 4096, 1 << 22
+#: Entries of a partition that meet in one block, and pairs looked at in one step.
+HOT, STEP = 16384, 1 << 22
+#: Credits above which thresholds are given by their price instead of by the dynamic program.
+LONGEST = 1024
 _WORD = re.compile(r"[^\W_]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
 class Shingler:
-    """Sorted distinct shingle hashes of texts, a batch at a time."""
+    """Sorted distinct shingle hashes of texts."""
 
     def __init__(self, width: int, least_words: int) -> None:
         self.width, self.least = width, least_words
@@ -66,42 +79,33 @@ class Shingler:
                     known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"))
             return np.array([known[w] for w in words], np.uint64)
 
-    def one(self, name: str | None, text: str | None) -> np.ndarray | None:
-        """Bits of a record, or None if its text has too few words."""
-        if text is None:
-            return None
-        body = _WORD.findall(text.lower())
-        if len(body) < self.least:
-            return None
-        head = _WORD.findall(name.lower()) if name else []
-        return self.of_words(head + body)
-
-    def of_words(self, words: list[str]) -> np.ndarray:
-        n = len(words) - self.width + 1
-        if n < 1:
-            return np.empty(0, np.uint64)
-        hashed = self._hashes(words)
+    def words(self, name: str | None, text: str | None) -> list[str] | None:
+        """Words of a record, or None if its text has too few."""
+        body = _WORD.findall(text.lower()) if text else []
+        return (_WORD.findall(name.lower()) if name else []) + body if len(body) >= self.least else None
+
+    def many(self, words: list[list[str]]) -> list[np.ndarray]:
+        """Bits of each list of words."""
+        sizes = np.array([len(w) for w in words])
+        hashed = self._hashes([w for x in words for w in x])
+        n = max(0, len(hashed) - self.width + 1)
         out = np.zeros(n, np.uint64)
         for k in range(self.width):
             out = (out ^ hashed[k : k + n]) * _M1
             out ^= out >> np.uint64(29)
         out *= _M2
         out ^= out >> np.uint64(32)
-        return np.unique(out)
-
+        bits, at = [], 0
+        for size in sizes:  # what reaches over the end of a record is left out
+            own = np.sort(out[at : at + max(0, size - self.width + 1)])
+            bits.append(own[np.r_[True, own[1:] != own[:-1]]] if len(own) else own)
+            at += size
+        return bits
 
-def _batches(batches, width, least):
-    """(rid, bits) of the records of a task, each rid once."""
-    shingler, seen = Shingler(width, least), set()
-    for batch in batches:
-        rids, names, texts = (batch.column(k) for k in range(3))
-        for rid, name, text in zip(rids.to_pylist(), names.to_pylist(), texts.to_pylist()):
-            if rid in seen:
-                continue
-            seen.add(rid)
-            bits = shingler.one(name, text)
-            if bits is not None and len(bits):
-                yield rid, bits
+    def one(self, name: str | None, text: str | None) -> np.ndarray | None:
+        """Bits of a record, or None if its text has too few words."""
+        words = self.words(name, text)
+        return None if words is None else self.many([words])[0]
 
 
 def records(table: DataFrame, key: str, name: str, text) -> DataFrame:
@@ -110,14 +114,91 @@ def records(table: DataFrame, key: str, name: str, text) -> DataFrame:
     return out.withColumn("rid", F.xxhash64("name", "text"))
 
 
-def histogram(base: DataFrame, width: int, least: int) -> np.ndarray:
-    """Records per bucket of shingles, over all records (an upper estimate of each bit's count)."""
+def _rows(parts: list[np.ndarray]) -> pa.Array:
+    """Arrays as the values of a binary column."""
+    width = parts[0].dtype.itemsize if parts else 1
+    ends = np.cumsum([0] + [len(p) * width for p in parts]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(parts).tobytes() if parts else b"")])
+
+
+def _flat(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a binary column, and how many each row has."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    values = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].copy().view(kind) if ends[-1] > ends[0] else np.empty(0, kind)
+    return values, np.diff(ends) // np.dtype(kind).itemsize
+
+
+_SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
+_VECTORS = "rid long, n int, high binary, low binary, " + ", ".join(f"{c} long" for c in _SKETCH)
+
+
+def vectors(base: DataFrame, width: int, least: int) -> DataFrame:
+    """(rid, n, high, low, s0..): size, bits (upper and lower halves) and parity sketch of each distinct record; written out once.
+
+    The lower halves alone verify pairs: two different shingles of a pair agree there once in 4 billion.
+    """
+
+    def shingle(batches):
+        shingler, seen = Shingler(width, least), set()
+
+        def made(rids, words):
+            every = [(r, b) for r, b in zip(rids, shingler.many(words)) if len(b)]
+            if not every:
+                return
+            bits = [b for _, b in every]
+            flat, sizes = np.concatenate(bits), np.array([len(b) for b in bits])
+            at = ((flat * _M3) >> np.uint64(55)).astype(np.int64) + np.repeat(np.arange(len(bits)) * 64 * SKETCH_WORDS, sizes)
+            parity = (np.bincount(at, minlength=len(bits) * 64 * SKETCH_WORDS) & 1).astype(np.uint8)
+            sketch = np.packbits(parity.reshape(len(bits), -1), axis=1).view(np.int64)
+            halves = [_rows([(b >> np.uint64(32)).astype(np.uint32) for b in bits]), _rows([b.astype(np.uint32) for b in bits])]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in every], pa.int64()), pa.array(sizes, pa.int32()), *halves, *[pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(SKETCH_WORDS)]], ["rid", "n", "high", "low", *_SKETCH])
+
+        for batch in batches:
+            rids, words, size = [], [], 0
+            for rid, name, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if rid in seen:
+                    continue
+                seen.add(rid)
+                own = shingler.words(name, text)
+                if own is not None:
+                    rids.append(rid)
+                    words.append(own)
+                    size += len(own)
+                if size > 1 << 18:
+                    yield from made(rids, words)
+                    rids, words, size = [], [], 0
+            yield from made(rids, words)
+
+    def once(batches):
+        seen = set()
+        for batch in batches:
+            take = []
+            for k, rid in enumerate(batch.column(0).to_pylist()):
+                if rid not in seen:
+                    seen.add(rid)
+                    take.append(k)
+            yield batch if len(take) == batch.num_rows else batch.take(pa.array(take, pa.int64()))
+
+    return written(base.select("rid", "name", "text").mapInArrow(shingle, _VECTORS).repartition("rid").mapInArrow(once, _VECTORS))
+
+
+def _bits(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All bits of a batch (columns high, low last), and how many each record has."""
+    high, sizes = _flat(batch.column("high"), np.uint32)
+    low, _ = _flat(batch.column("low"), np.uint32)
+    return high.astype(np.uint64) << np.uint64(32) | low, sizes
+
+
+def histogram(table: DataFrame) -> np.ndarray:
+    """Records per bucket of bits, over all records (an upper estimate of each bit's count)."""
 
     def count(batches):
         counts = np.zeros(BUCKETS, np.uint32)
-        for _, bits in _batches(batches, width, least):
-            at, often = np.unique(bits & np.uint64(BUCKETS - 1), return_counts=True)
-            counts[at] += often.astype(np.uint32)
+        for batch in batches:
+            if batch.num_rows:
+                at, often = np.unique(_flat(batch.column(0), np.uint32)[0] & np.uint32(BUCKETS - 1), return_counts=True)
+                counts[at] += often.astype(np.uint32)
         blocks = counts.reshape(-1, BLOCK)
         full = [k for k in range(len(blocks)) if blocks[k].any()]
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([zlib.compress(blocks[k].tobytes(), 1) for k in full], pa.binary())], ["block", "counts"])
@@ -126,92 +207,219 @@ def histogram(base: DataFrame, width: int, least: int) -> np.ndarray:
         total = np.zeros(BLOCK, np.uint64)
         for blob in pdf["counts"]:
             total += np.frombuffer(zlib.decompress(blob), np.uint32)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "counts": [zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
-    rows = base.select("rid", "name", "text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary")
+    rows = table.select("low").mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary")
     out = np.zeros((BUCKETS // BLOCK, BLOCK), np.uint32)
-    for r in rows.collect():  # 128 rows, 16 MB
-        out[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
+    for r in rows.collect():  # at most 128 rows, 16 MB
+        out[r["block"]] = np.frombuffer(r["counts"], np.uint32)
     return out.reshape(-1)
 
 
-def allocate(bits: np.ndarray, estimate: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Bits in the order of estimated candidates, those estimates, and how many are probed and indexed.
-
-    The probing (smaller) record of n bits may lack n - ceil(2J / (1 + J) n)
-    of them in its partner, the indexed (larger) one n - ceil(J n); one bit more
-    than that must be probed or indexed.
-    """
-    n = len(bits)
-    order = np.lexsort((bits, estimate))
-    probe = n - math.ceil(2 * similarity / (1 + similarity) * n - 1e-9) + 1
-    index = n - math.ceil(similarity * n - 1e-9) + 1
-    return bits[order], estimate[order], min(probe, n), min(index, n)
-
-
-def _emit(base: DataFrame, counts: np.ndarray, width: int, least: int, similarity: float) -> DataFrame:
-    """(key, rid, n, pos, side): the index entries of each distinct record.
-
-    ``key`` is the bit; for a bit of several blocks it is the bit with a pair of
-    blocks, and ``side`` tells which of the two (-1 where both are the same).
+class Partitions:
+    """The partitions of correlated bits, as the sample shows them: sorted ``bits`` with their partition and place in its mask."""
+
+    def __init__(self, bits: np.ndarray, part: np.ndarray, place: np.ndarray) -> None:
+        self.bits, self.part, self.place = bits, part, place
+
+    @classmethod
+    def fit(cls, sample: list[np.ndarray]) -> Partitions:
+        if not sample:
+            return cls(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+        row = np.repeat(np.arange(len(sample)), [len(b) for b in sample])
+        flat = np.concatenate(sample)
+        order = np.lexsort((row, flat))
+        flat, row = flat[order], row[order]
+        start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        often = np.diff(np.r_[start, len(flat)])
+        start = start[often > 1]
+        bits, first, second = flat[start], row[start], row[np.minimum(start + 1, len(row) - 1)]
+        order = np.lexsort((bits, second, first))
+        bits, first, second = bits[order], first[order], second[order]
+        new = np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])] if len(bits) else np.empty(0, bool)
+        group = np.cumsum(new) - 1
+        place = np.arange(len(bits)) - np.flatnonzero(new)[group] if len(bits) else np.empty(0, np.int64)
+        part = np.cumsum(new | (place % WIDEST == 0)) - 1
+        order = np.argsort(bits)
+        return cls(bits[order], part[order], (place % WIDEST)[order])
+
+    def find(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Partition (-1: the bit is one of its own) and place of each bit."""
+        if not len(self.bits):
+            return np.full(len(bits), -1), np.zeros(len(bits), np.int64)
+        at = np.minimum(np.searchsorted(self.bits, bits), len(self.bits) - 1)
+        known = self.bits[at] == bits
+        return np.where(known, self.part[at], -1), np.where(known, self.place[at], 0)
+
+
+def credits(n: np.ndarray, similarity: float) -> np.ndarray:
+    """One more than the number of its bits that a record may miss in a partner of at least its size."""
+    return n - np.ceil(2 * similarity / (1 + similarity) * n - 1e-9).astype(np.int64) + 1
+
+
+def _options(row, freq):
+    """Of each partition of a record, the thresholds that the program chooses from: (credits, candidates) of the cheapest a credit, of half and of all."""
+    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    size = np.diff(np.r_[start, len(row)])
+    order = np.lexsort((freq, row))
+    table = np.full((len(start), WIDEST), np.inf)
+    table[np.repeat(np.arange(len(start)), size), np.arange(len(row)) - np.repeat(start, size)] = freq[order]
+    ratio = table / np.arange(1, WIDEST + 1)
+    best = WIDEST - np.argmin(ratio[:, ::-1], axis=1)
+    credit = np.stack([best, (size + 1) // 2, size], axis=1)
+    return start, credit, np.take_along_axis(table, credit - 1, 1), np.min(ratio, axis=1)
+
+
+def allocate(need: np.ndarray, single_row: np.ndarray, single_cost: np.ndarray, group_row: np.ndarray, credit: np.ndarray, cost: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Credits of each group, and how many of each record's single bits are probed (cheapest first), at the least sum of estimated candidates.
+
+    ``single_*`` are sorted by record and cost; ``group_*`` by record. The credits of
+    a record sum to what it needs at least. Records whose single bits suffice, at a price
+    that no group beats, need no program; very long records are given their groups by price.
     """
-    shared = base.sparkSession.sparkContext.broadcast(counts)
+    n = len(need)
+    have = np.bincount(single_row, minlength=n)
+    first = np.cumsum(have) - have
+    total = np.concatenate([[0.0], np.cumsum(single_cost)])
+    got, singles = np.zeros(len(group_row), np.int64), np.minimum(need, have)
+    cheapest = np.full(n, np.inf)
+    np.minimum.at(cheapest, group_row, ratio)
+    last = single_cost[np.minimum(first + need - 1, max(0, len(single_cost) - 1))] if len(single_cost) else np.zeros(n)
+    hard = ~((have >= need) & (last <= cheapest))
+    for r in np.flatnonzero(hard & (need > LONGEST)):
+        own = np.flatnonzero(group_row == r)
+        got[own] = credit[own, 2]  # all bits of every group, dearest given back while there are enough
+        for g in own[np.argsort(-cost[own, 2] / credit[own, 2])]:
+            if have[r] + got[own].sum() - got[g] >= need[r]:
+                got[g] = 0
+        singles[r] = max(0, need[r] - got[own].sum())
+    todo = np.flatnonzero(hard & (need <= LONGEST))
+    todo = todo[np.argsort(need[todo], kind="stable")]
+    begin = np.searchsorted(group_row, np.arange(n))
+    groups = np.bincount(group_row, minlength=n)
+    a = 0
+    while a < len(todo):
+        b = a + max(1, int((1 << 18) // (need[todo[min(a + 255, len(todo) - 1)]] + 1)))
+        rows = todo[a:b]
+        a = b
+        top, many = int(need[rows].max()), int(groups[rows].max())
+        reach = np.arange(top + 1)
+        least = np.where(reach == 0, 0.0, np.inf) * np.ones((len(rows), 1))
+        chosen = np.zeros((many, len(rows), top + 1), np.uint8)
+        for g in range(many):
+            live = np.flatnonzero(groups[rows] > g)
+            at = begin[rows[live]] + g
+            before = least[live]
+            now, pick = before.copy(), np.zeros(before.shape, np.uint8)
+            for o in range(credit.shape[1]):
+                c = credit[at, o][:, None]
+                price = np.take_along_axis(before, np.maximum(reach - c, 0), 1) + cost[at, o][:, None]
+                better = price < now
+                now, pick = np.where(better, price, now), np.where(better, c, pick).astype(np.uint8)
+            least[live], chosen[g][live] = now, pick
+        rest = need[rows][:, None] - reach
+        fits = (rest >= 0) & (rest <= have[rows][:, None])
+        index = first[rows][:, None] + np.clip(rest, 0, None)
+        price = np.where(fits, least + total[np.minimum(index, len(total) - 1)] - total[first[rows]][:, None], np.inf)
+        k = np.argmin(price, axis=1)
+        singles[rows] = need[rows] - k
+        for g in range(many - 1, -1, -1):
+            live = np.flatnonzero(groups[rows] > g)
+            c = chosen[g, live, k[live]].astype(np.int64)
+            got[begin[rows[live]] + g] = c
+            k[live] = np.maximum(0, k[live] - c)
+    return got, singles
+
+
+def _entries(bits: np.ndarray, sizes: np.ndarray, rids: np.ndarray, counts: np.ndarray, partitions: Partitions, similarity: float):
+    """(key, rid, n, mask, threshold, estimate) of the partitions of a batch of records; threshold -1: not probed."""
+    n = len(sizes)
+    row = np.repeat(np.arange(n), sizes)
+    freq = counts[(bits & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.float64)
+    part, place = partitions.find(bits)
+    alone = np.flatnonzero(part < 0)
+    alone = alone[np.lexsort((bits[alone], freq[alone], row[alone]))]
+    grouped = np.flatnonzero(part >= 0)
+    grouped = grouped[np.lexsort((part[grouped], row[grouped]))]
+    code = row[grouped] * (int(partitions.part.max()) + 1 if len(partitions.part) else 1) + part[grouped]
+    if len(grouped):
+        start, credit, cost, ratio = _options(code, freq[grouped])
+        group_row, group_part = row[grouped][start], part[grouped][start]
+        mask = np.bitwise_or.reduceat(1 << place[grouped], start)
+        often = np.maximum.reduceat(freq[grouped], start)
+    else:
+        credit, cost, ratio = np.empty((0, 3), np.int64), np.empty((0, 3)), np.empty(0)
+        group_row = group_part = mask = np.empty(0, np.int64)
+        often = np.empty(0)
+    need = credits(sizes.astype(np.int64), similarity)
+    got, singles = allocate(need, row[alone], freq[alone] - 1, group_row, credit, cost, ratio)
+    have = np.bincount(row[alone], minlength=n)
+    rank = np.arange(len(alone)) - np.repeat(np.cumsum(have) - have, have)
+    probed = rank < singles[row[alone]]
+    shared = freq[alone] > 1  # a bit that one record holds finds nobody
+    alone, probed = alone[shared], probed[shared]
+    key = np.concatenate([bits[alone], (group_part.astype(np.uint64) + np.uint64(1)) * _M2 ^ _M3])
+    at = np.concatenate([row[alone], group_row])
+    mask = np.concatenate([np.ones(len(alone), np.int64), mask])
+    threshold = np.concatenate([probed.astype(np.int64) - 1, got - 1])
+    return key, rids[at], sizes[at].astype(np.int32), mask.astype(np.int32), threshold.astype(np.int8), np.concatenate([freq[alone], often])
+
+
+#: Roles of an entry: it asks and is asked, it only asks, it is only asked.
+_BOTH, _ASKS, _ASKED = 0, 1, 2
+
+
+def _blocked(key, rid, n, mask, threshold, often):
+    """Entries with their role; those of a partition of several blocks under each pair of blocks that theirs is in."""
+    role = np.zeros(len(key), np.int8)
+    hot = np.flatnonzero(often > HOT)
+    if not len(hot):
+        return [key, rid, n, mask, threshold, role]
+    blocks = np.ceil(often[hot] / HOT).astype(np.int64)
+    own = ((rid[hot].view(np.uint64) * _M1) >> np.uint64(33)) % blocks.astype(np.uint64)
+    out = [[np.delete(x, hot) for x in (key, rid, n, mask, threshold, role)]]
+    every = np.repeat(np.arange(len(hot)), blocks)
+    other = (np.arange(len(every)) - np.repeat(np.cumsum(blocks) - blocks, blocks)).astype(np.uint64)
+    for kind in (_ASKS, _ASKED):
+        take = np.flatnonzero(threshold[hot][every] >= 0) if kind == _ASKS else np.arange(len(every))
+        e, o = every[take], other[take]
+        asking, asked = (own[e], o) if kind == _ASKS else (o, own[e])
+        h = hot[e]
+        salted = (key[h] ^ ((asking + np.uint64(1)) * _M2)) * _M1 ^ ((asked + np.uint64(1)) * _M3)
+        out.append([salted, rid[h], n[h], mask[h], threshold[h], np.full(len(h), kind, np.int8)])
+    return [np.concatenate(c) for c in zip(*out)]
+
+
+def _index(table: DataFrame, counts: np.ndarray, partitions: Partitions, similarity: float) -> DataFrame:
+    """(key, rid, n, mask, threshold, role): each record under its partitions."""
+    shared = table.sparkSession.sparkContext.broadcast((counts, partitions))
 
     def emit(batches):
-        estimate, out, size = shared.value, [], 0
-        for rid, bits in _batches(batches, width, least):
-            e = estimate[(bits & np.uint64(BUCKETS - 1)).astype(np.int64)]
-            ordered, cost, _, index = allocate(bits, e, similarity)
-            pos = np.flatnonzero(cost[:index] > 1)  # a bit that one record holds finds nobody
-            key, side = ordered[pos], np.full(len(pos), -1, np.int8)
-            hot = np.flatnonzero(cost[pos] > HOT)
-            if len(hot):
-                key, pos, side = _blocks(key, pos, side, cost[pos], hot, rid)
-            if len(pos):
-                out.append((key.view(np.int64), np.full(len(pos), rid, np.int64), np.full(len(pos), len(bits), np.int32), pos.astype(np.int32), side))
-                size += len(pos)
-            if size > 1 << 16:
-                yield _table(out)
-                out, size = [], 0
-        if out:
-            yield _table(out)
-
-    def _table(rows):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["key", "rid", "n", "pos", "side"])
-
-    return base.select("rid", "name", "text").mapInArrow(emit, "key long, rid long, n int, pos int, side byte")
-
-
-def _blocks(key, pos, side, cost, hot, rid):
-    """Entries of hot bits, one for each pair of blocks that the record's block is in."""
-    keys, places, sides = [np.delete(key, hot)], [np.delete(pos, hot)], [np.delete(side, hot)]
-    for h in hot:
-        blocks = -(-int(cost[h]) // HOT)
-        own = (rid * 0x9E3779B97F4A7C15 % (1 << 64)) >> 33
-        own %= blocks
-        others = np.arange(blocks, dtype=np.uint64)
-        low, high = np.minimum(others, np.uint64(own)), np.maximum(others, np.uint64(own))
-        keys.append((key[h] ^ (low * _M2 + np.uint64(1))) * _M1 ^ (high * _M3))
-        places.append(np.full(blocks, pos[h]))
-        sides.append(np.where(others == own, -1, (others < own).astype(np.int8)).astype(np.int8))
-    return np.concatenate(keys), np.concatenate(places), np.concatenate(sides)
+        counts, partitions = shared.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                bits, sizes = _bits(part)
+                made = _blocked(*_entries(bits, sizes, part.column(0).to_numpy(), counts, partitions, similarity))
+                for b in range(0, len(made[0]), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array((c.view(np.int64) if c.dtype == np.uint64 else c)[b : b + (1 << 16)]) for c in made], ["key", "rid", "n", "mask", "threshold", "role"])
+
+    return table.select("rid", "high", "low").mapInArrow(emit, "key long, rid long, n int, mask int, threshold byte, role byte")
 
 
 def _probe(entries: DataFrame, similarity: float) -> DataFrame:
-    """(x_rid, y_rid) of records that meet at a bit that the smaller one, x, probes and the larger one, y, indexes.
+    """(x_rid, y_rid): records y of at least the size of x that miss in a partition no more of its bits than x's threshold allows.
 
     One shuffle; the pairs of a sorted partition are made a bounded step at a time.
     """
-    part = similarity / (1 + similarity)
 
     def probe(batches):
         for table in whole_keys(batches):
-            key, rid, n, pos, side = (table[c].to_numpy() for c in ("key", "rid", "n", "pos", "side"))
+            key, rid, n, mask, threshold, role = (table[c].to_numpy() for c in ("key", "rid", "n", "mask", "threshold", "role"))
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[start, len(key)])
             first, members = np.repeat(start, size), np.repeat(size, size)
-            n8 = n.astype(np.float64)
-            asks = np.flatnonzero((members > 1) & (pos <= n - np.ceil(2 * part * n8 - 1e-9)))
+            asks = np.flatnonzero((members > 1) & (threshold >= 0) & (role != _ASKED))
             upto = np.cumsum(members[asks])
             a = 0
             while a < len(asks):
@@ -222,10 +430,11 @@ def _probe(entries: DataFrame, similarity: float) -> DataFrame:
                 x = np.repeat(mine, reach)
                 y = np.arange(len(x)) - np.repeat(np.cumsum(reach) - reach, reach) + np.repeat(first[mine], reach)
                 a = b
-                ok = (n[x] < n[y]) | ((n[x] == n[y]) & (rid[x] < rid[y]))
-                ok &= n8[x] >= similarity * n8[y]
-                ok &= np.minimum(n[x] - pos[x], n[y] - pos[y]) >= np.ceil(part * (n8[x] + n8[y]) - 1e-9)
-                ok &= (side[x] == -1) | (side[x] != side[y])
+                nx, ny = n[x], n[y]
+                ok = (nx < ny) | ((nx == ny) & (rid[x] < rid[y]))
+                ok &= (nx >= similarity * ny) & (role[y] != _ASKS)
+                x, y = x[ok], y[ok]
+                ok = np.bitwise_count(mask[x] & ~mask[y]) <= threshold[x]
                 p, q = rid[x[ok]], rid[y[ok]]
                 if len(p):
                     order = np.lexsort((q, p))
@@ -252,53 +461,43 @@ def whole_keys(batches):
         yield pa.Table.from_batches(rest)
 
 
-def _sketches(base: DataFrame, width: int, least: int) -> DataFrame:
-    """(rid, n, s0..s3): size and parity sketch of each distinct record."""
-
-    def sketch(batches):
-        rows = []
-        for rid, bits in _batches(batches, width, least):
-            at = ((bits * _M3) >> np.uint64(55)).astype(np.int64)
-            parity = np.bincount(at, minlength=64 * SKETCH_WORDS).astype(np.uint8) & 1
-            rows.append((rid, len(bits), np.packbits(parity).view(np.int64)))
-        if rows:
-            words = np.stack([r[2] for r in rows])
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), *[pa.array(np.ascontiguousarray(words[:, k])) for k in range(SKETCH_WORDS)]], ["rid", "n", *[f"s{k}" for k in range(SKETCH_WORDS)]])
-
-    return base.select("rid", "name", "text").mapInArrow(sketch, "rid long, n int, " + ", ".join(f"s{k} long" for k in range(SKETCH_WORDS))).dropDuplicates(["rid"])
-
-
-def class_pairs(base: DataFrame, sketches: DataFrame, similarity: float, width: int, least: int) -> DataFrame:
-    """(rid_a, rid_b, similarity) of the classes of equal text that are at least so similar."""
-    entries = _emit(base, histogram(base, width, least), width, least, similarity)
-    candidates = _probe(entries, similarity).distinct()
-    a, b = (sketches.select(*[F.col(c).alias(f"{side}_{c}") for c in sketches.columns]) for side in "xy")
-    differ = sum(F.bit_count(F.col(f"x_s{k}").bitwiseXOR(F.col(f"y_s{k}"))) for k in range(SKETCH_WORDS))
+def sampled(table: DataFrame, seed: int = 3) -> list[np.ndarray]:
+    """Bits of the records that the partitions are fitted on: at most ``SAMPLE`` records and ``SAMPLE_BITS`` bits."""
+    n = table.count()
+    share = min(1.0, 1.2 * SAMPLE / max(1, n))
+    chosen = table.where(F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))).select("rid", "n", "high", "low")
+    out, size = [], 0
+    for batch in chosen.where(F.col("n") <= SAMPLE_BITS // 64).limit(SAMPLE).toArrow().to_batches():
+        bits, sizes = _bits(batch)
+        for own in np.split(bits, np.cumsum(sizes)[:-1]):
+            if size + len(own) <= SAMPLE_BITS:
+                out.append(own)
+                size += len(own)
+    return out
+
+
+def class_pairs(table: DataFrame, similarity: float) -> DataFrame:
+    """(rid_a, rid_b, similarity) of the classes of equal text that are at least so similar; ``table`` is the result of ``vectors``."""
+    entries = _index(table, histogram(table), Partitions.fit(sampled(table)), similarity)
+    candidates = written(_probe(entries, similarity).distinct())
+    a, b = (table.select(*[F.col(c).alias(f"{side}_{c}") for c in ("rid", "n", *_SKETCH)]) for side in "xy")
+    differ = sum(F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in _SKETCH)
     near = candidates.join(a, "x_rid").join(b, "y_rid").where(differ <= F.lit((1 - similarity) / (1 + similarity) + 1e-9) * (F.col("x_n") + F.col("y_n"))).select("x_rid", "y_rid")
-    texts = base.groupBy("rid").agg(F.first("name").alias("name"), F.first("text").alias("text"))
-    both = near.join(texts.select(F.col("rid").alias("x_rid"), F.col("name").alias("x_name"), F.col("text").alias("x_text")), "x_rid")
-    both = both.join(texts.select(F.col("rid").alias("y_rid"), F.col("name").alias("y_name"), F.col("text").alias("y_text")), "y_rid")
-
-    @F.pandas_udf("double")
-    def jaccard(x_name: pd.Series, x_text: pd.Series, y_name: pd.Series, y_text: pd.Series) -> pd.Series:
-        shingler, out, known = Shingler(width, least), [], {}
-
-        def bits(name, text):
-            if (name, text) not in known:
-                known[name, text] = shingler.one(name, text)
-            return known[name, text]
+    near = written(near)
+    both = near.join(table.select(F.col("rid").alias("x_rid"), F.col("low").alias("x_low")), "x_rid")
+    both = both.join(table.select(F.col("rid").alias("y_rid"), F.col("low").alias("y_low")), "y_rid")
 
-        for x_n, x_t, y_n, y_t in zip(x_name, x_text, y_name, y_text):
-            p, q = bits(x_n, x_t), bits(y_n, y_t)
-            if p is None or q is None:
-                out.append(0.0)
-                continue
-            common = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(common / max(1, len(p) + len(q) - common))
-        return pd.Series(out, dtype="float64")
+    @F.arrow_udf("double")
+    def jaccard(x: pa.Array, y: pa.Array) -> pa.Array:
+        (p, p_sizes), (q, q_sizes) = _flat(x, np.uint32), _flat(y, np.uint32)
+        # Number of the pair and bit in one number: what both sides hold stands next to its like.
+        code = lambda v, sizes: np.unique(np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) << np.uint64(32) | v)
+        p, q = code(p, p_sizes), code(q, q_sizes)
+        common = np.bincount((np.intersect1d(p, q, assume_unique=True) >> np.uint64(32)).astype(np.int64), minlength=len(p_sizes))
+        return pa.array(common / np.maximum(1, p_sizes + q_sizes - common))
 
-    scored = both.withColumn("similarity", jaccard("x_name", "x_text", "y_name", "y_text")).where(F.col("similarity") >= similarity)
-    return scored.groupBy(F.least("x_rid", "y_rid").alias("rid_a"), F.greatest("x_rid", "y_rid").alias("rid_b")).agg(F.max("similarity").alias("similarity"))
+    scored = both.select("x_rid", "y_rid", jaccard("x_low", "y_low").alias("similarity")).where(F.col("similarity") >= similarity)
+    return scored.select(F.least("x_rid", "y_rid").alias("rid_a"), F.greatest("x_rid", "y_rid").alias("rid_b"), "similarity")
 
 
 class NearDuplicates:
@@ -310,9 +509,9 @@ class NearDuplicates:
 
     def __init__(self, table: DataFrame, key: str, name: str, text, similarity: float = 0.5, width: int = 3, least: int = 20) -> None:
         base = records(table, key, name, text)
-        sketches = cut_lineage(_sketches(base, width, least))
-        self.members = cut_lineage(base.select("key", "rid").distinct().join(sketches.select("rid"), "rid", "left_semi"))
-        self.links = cut_lineage(class_pairs(base, sketches, similarity, width, least))
+        table = vectors(base, width, least)
+        self.members = written(base.select("key", "rid").distinct().join(table.select("rid"), "rid", "left_semi").select("key", "rid"))
+        self.links = written(class_pairs(table, similarity))
 
     def pairs(self, expand: int = 64) -> DataFrame:
         """(key_a, key_b) of records, smaller first.
@@ -332,13 +531,13 @@ class NearDuplicates:
         return inside.unionByName(star).unionByName(across).select(F.col("a").alias("key_a"), F.col("b").alias("key_b")).distinct()
 
     def groups(self) -> DataFrame:
-        """(key, group, class_size, links): group is the smallest class number it is connected to; links go to other classes."""
+        """(key, class_id, group, class_size, links): equal texts share a class; group is the smallest class it is connected to; links go to other classes."""
         labels = components(self.links.select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b")))
         ends = self.links.select(F.col("rid_a").alias("rid")).unionByName(self.links.select(F.col("rid_b").alias("rid")))
         degree = ends.groupBy("rid").agg(F.count("*").alias("links"))
         sizes = self.members.groupBy("rid").agg(F.count("*").alias("class_size"))
         out = self.members.join(sizes, "rid").join(degree, "rid", "left").join(labels.withColumnRenamed("node", "rid"), "rid", "left")
-        return out.select("key", F.coalesce("label", "rid").alias("group"), "class_size", F.coalesce("links", F.lit(0)).alias("links"))
+        return out.select("key", F.col("rid").alias("class_id"), F.coalesce("label", "rid").alias("group"), "class_size", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -50,6 +50,7 @@ def test_equals_brute_force(spark, similarity):
 
 def test_hot_bits_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(nd, "HOT", 2)
+    monkeypatch.setattr(nd, "SAMPLE", 30)
     monkeypatch.setattr(nd, "STEP", 16)
     rows = _records(seed=6)
     assert _pairs(spark, rows) == _brute(rows)
@@ -82,7 +83,43 @@ def test_empty(spark):
     assert _pairs(spark, []) == set()
 
 
-def test_allocation_covers_the_difference():
-    bits = np.arange(1, 101, dtype=np.uint64)
-    ordered, cost, probe, index = nd.allocate(bits, bits[::-1].astype(np.uint32), 0.5)
-    assert probe == 34 and index == 51 and (np.diff(cost.astype(int)) >= 0).all()
+def _allocated(need, single, groups):
+    """Of one record: single bits' candidates, and the candidates of each group's bits."""
+    code = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    _, credit, cost, ratio = nd._options(code, np.concatenate(groups).astype(float))
+    single = np.sort(np.array(single, float))
+    return *nd.allocate(np.array([need]), np.zeros(len(single), np.int64), single, np.zeros(len(groups), np.int64), credit, cost, ratio), credit, cost
+
+
+def test_thresholds_differ_between_partitions():
+    # One single bit and three groups: the dear group is left out, the cheap ones give all their bits, the last as many as are needed.
+    got, singles, _, _ = _allocated(7, [0], [[5, 5, 5, 5], [900, 900, 900, 900], [3, 3, 40, 40]])
+    assert singles[0] == 1 and got.tolist() == [4, 0, 2]
+
+
+def test_allocation_is_the_cheapest_of_all():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        groups = [rng.integers(1, 60, rng.integers(1, 6)) for _ in range(3)]
+        single = np.sort(rng.integers(0, 40, 4))
+        need = int(rng.integers(1, 1 + 4 + sum(map(len, groups))))
+        got, singles, credit, cost = _allocated(need, single, groups)
+        price = {g: dict(zip([0, *credit[g]], [0.0, *cost[g]])) for g in range(3)}
+        assert singles[0] + got.sum() >= need
+        paid = single[: singles[0]].sum() + sum(price[g][c] for g, c in enumerate(got))
+        best = min(single[:k].sum() + sum(price[g][c] for g, c in enumerate(cs)) for cs in itertools.product(*price.values()) for k in range(5) if k + sum(cs) >= need)
+        assert abs(paid - best) < 1e-9
+
+
+def test_correlated_bits_share_a_partition():
+    together, others = np.arange(100, 110, dtype=np.uint64), np.arange(500, 503, dtype=np.uint64)
+    p = nd.Partitions.fit([np.concatenate([together, others]), together, np.concatenate([others, [np.uint64(900)]])])
+    part, place = p.find(np.concatenate([together, others, [np.uint64(900)]]))
+    assert len(set(part[:10])) == 1 and len(set(part[10:13])) == 1 and part[0] != part[10] and part[13] == -1
+    assert sorted(place[:10]) == list(range(10))
+
+
+def test_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(nd, "LONGEST", 20)
+    rows = _records(seed=9)
+    assert _pairs(spark, rows) == _brute(rows)
