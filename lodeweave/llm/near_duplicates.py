@@ -54,8 +54,8 @@ SAMPLE, SAMPLE_BITS, WIDEST = 4096, 1 << 21, 16
 SKETCH_WORDS = 8
 #: Entries of a partition that meet in one block, and pairs looked at in one step.
 HOT, STEP = 16384, 1 << 22
-#: Credits above which thresholds are given by their price instead of by the dynamic program.
-LONGEST = 1024
+#: Credits on either side of the price at which a record's need is met that the dynamic program settles.
+CORE = 24
 _WORD = re.compile(r"[^\W_]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -274,59 +274,62 @@ def allocate(need: np.ndarray, single_row: np.ndarray, single_cost: np.ndarray,
     """Credits of each group, and how many of each record's single bits are probed (cheapest first), at the least sum of estimated candidates.
 
     ``single_*`` are sorted by record and cost; ``group_*`` by record. The credits of
-    a record sum to what it needs at least. Records whose single bits suffice, at a price
-    that no group beats, need no program; very long records are given their groups by price.
+    a record sum to what it needs at least. The program settles what lies within
+    ``CORE`` credits of the price at which the need is met; what is cheaper still is taken.
     """
     n = len(need)
     have = np.bincount(single_row, minlength=n)
-    first = np.cumsum(have) - have
+    scarce = (have + np.bincount(group_row, credit[:, 0], minlength=n) < need + CORE)[group_row]
+    step = np.where(scarce, credit[:, 2], credit[:, 0])  # where little can be left out, groups count with all their bits
+    rows = np.concatenate([single_row, group_row])
+    gives = np.concatenate([np.ones(len(single_row), np.int64), step])
+    order = np.lexsort((np.concatenate([single_cost, np.where(scarce, cost[:, 2] / np.maximum(1, step), ratio)]), rows))
+    rows, upto = rows[order], np.cumsum(gives[order])
+    upto -= (np.concatenate([[0], upto])[np.searchsorted(rows, np.arange(n))])[rows]
+    sure = np.zeros(len(order), bool)
+    sure[order] = upto <= need[rows] - CORE
+    core = np.zeros(len(order), bool)
+    core[order] = upto - gives[order] < need[rows] + CORE
+    taken, core = sure[len(single_row) :], (core & ~sure)[len(single_row) :]
+    got = np.where(taken, step, 0)
+    paid = np.bincount(single_row[sure[: len(single_row)]], minlength=n)
+    left = need - paid - np.bincount(group_row, got, minlength=n).astype(np.int64)
+    first = np.cumsum(have) - have + paid
+    have = have - paid
     total = np.concatenate([[0.0], np.cumsum(single_cost)])
-    got, singles = np.zeros(len(group_row), np.int64), np.minimum(need, have)
-    cheapest = np.full(n, np.inf)
-    np.minimum.at(cheapest, group_row, ratio)
-    last = single_cost[np.minimum(first + need - 1, max(0, len(single_cost) - 1))] if len(single_cost) else np.zeros(n)
-    hard = ~((have >= need) & (last <= cheapest))
-    for r in np.flatnonzero(hard & (need > LONGEST)):
-        own = np.flatnonzero(group_row == r)
-        got[own] = credit[own, 2]  # all bits of every group, dearest given back while there are enough
-        for g in own[np.argsort(-cost[own, 2] / credit[own, 2])]:
-            if have[r] + got[own].sum() - got[g] >= need[r]:
-                got[g] = 0
-        singles[r] = max(0, need[r] - got[own].sum())
-    todo = np.flatnonzero(hard & (need <= LONGEST))
-    todo = todo[np.argsort(need[todo], kind="stable")]
-    begin = np.searchsorted(group_row, np.arange(n))
-    groups = np.bincount(group_row, minlength=n)
-    a = 0
-    while a < len(todo):
-        b = a + max(1, int((1 << 18) // (need[todo[min(a + 255, len(todo) - 1)]] + 1)))
-        rows = todo[a:b]
-        a = b
-        top, many = int(need[rows].max()), int(groups[rows].max())
+    singles = paid.copy()
+    index = np.flatnonzero(core)
+    begin = np.searchsorted(group_row[index], np.arange(n))
+    groups = np.bincount(group_row[index], minlength=n)
+    todo = np.argsort(groups, kind="stable")
+    for a in range(0, n, 512):
+        rows = todo[a : a + 512]
+        top, many = int(left[rows].max()), int(groups[rows].max())
         reach = np.arange(top + 1)
         least = np.where(reach == 0, 0.0, np.inf) * np.ones((len(rows), 1))
-        chosen = np.zeros((many, len(rows), top + 1), np.uint8)
+        chosen = np.zeros((many, len(rows), top + 1), np.int8)
         for g in range(many):
             live = np.flatnonzero(groups[rows] > g)
-            at = begin[rows[live]] + g
+            at = index[begin[rows[live]] + g]
             before = least[live]
-            now, pick = before.copy(), np.zeros(before.shape, np.uint8)
+            now, pick, line = before.copy(), np.zeros(before.shape, np.int8), np.arange(len(live))[:, None]
             for o in range(credit.shape[1]):
                 c = credit[at, o][:, None]
-                price = np.take_along_axis(before, np.maximum(reach - c, 0), 1) + cost[at, o][:, None]
+                price = before[line, np.maximum(reach - c, 0)] + cost[at, o][:, None]
                 better = price < now
-                now, pick = np.where(better, price, now), np.where(better, c, pick).astype(np.uint8)
+                np.copyto(now, price, where=better)
+                np.copyto(pick, c.astype(np.int8), where=better)
             least[live], chosen[g][live] = now, pick
-        rest = need[rows][:, None] - reach
+        rest = left[rows][:, None] - reach
         fits = (rest >= 0) & (rest <= have[rows][:, None])
-        index = first[rows][:, None] + np.clip(rest, 0, None)
-        price = np.where(fits, least + total[np.minimum(index, len(total) - 1)] - total[first[rows]][:, None], np.inf)
+        upto = first[rows][:, None] + np.clip(rest, 0, None)
+        price = np.where(fits, least + total[np.minimum(upto, len(total) - 1)] - total[first[rows]][:, None], np.inf)
         k = np.argmin(price, axis=1)
-        singles[rows] = need[rows] - k
+        singles[rows] += left[rows] - k
         for g in range(many - 1, -1, -1):
             live = np.flatnonzero(groups[rows] > g)
             c = chosen[g, live, k[live]].astype(np.int64)
-            got[begin[rows[live]] + g] = c
+            got[index[begin[rows[live]] + g]] = c
             k[live] = np.maximum(0, k[live] - c)
     return got, singles
 

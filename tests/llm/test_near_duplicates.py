@@ -119,7 +119,7 @@ def test_correlated_bits_share_a_partition():
     assert sorted(place[:10]) == list(range(10))
 
 
-def test_very_long_texts(spark, monkeypatch):
-    monkeypatch.setattr(nd, "LONGEST", 20)
+def test_no_pair_is_lost_outside_the_core(spark, monkeypatch):
+    monkeypatch.setattr(nd, "CORE", 2)
     rows = _records(seed=9)
     assert _pairs(spark, rows) == _brute(rows)
