@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.llm.splitting import plain_text
-from lodeweave.runtime import cut_lineage, written
+from lodeweave.runtime import cut_lineage, forget, written
 
 #: Buckets of the histogram of bit counts, and of a block in which it travels: 16 MB whatever the data.
 BUCKETS, BLOCK = 1 << 22, 1 << 15
@@ -134,9 +134,9 @@ _VECTORS = "rid long, n int, high binary, low binary, " + ", ".join(f"{c} long"
 
 
 def vectors(base: DataFrame, width: int, least: int) -> DataFrame:
-    """(rid, n, high, low, s0..): size, bits (upper and lower halves) and parity sketch of each distinct record; written out once.
+    """(rid, n, high, low, s0..): size, bits (upper halves, in ascending order, and lower halves) and parity sketch of each distinct record; written out once.
 
-    The lower halves alone verify pairs: two different shingles of a pair agree there once in 4 billion.
+    The upper halves alone verify pairs: two different shingles of a pair agree there once in 4 billion.
     """
 
     def shingle(batches):
@@ -487,20 +487,24 @@ def class_pairs(table: DataFrame, similarity: float) -> DataFrame:
     differ = sum(F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in _SKETCH)
     near = candidates.join(a, "x_rid").join(b, "y_rid").where(differ <= F.lit((1 - similarity) / (1 + similarity) + 1e-9) * (F.col("x_n") + F.col("y_n"))).select("x_rid", "y_rid")
     near = written(near)
-    both = near.join(table.select(F.col("rid").alias("x_rid"), F.col("low").alias("x_low")), "x_rid")
-    both = both.join(table.select(F.col("rid").alias("y_rid"), F.col("low").alias("y_low")), "y_rid")
+    forget(candidates)
+    both = near.join(table.select(F.col("rid").alias("x_rid"), F.col("high").alias("x_bits")), "x_rid")
+    both = both.join(table.select(F.col("rid").alias("y_rid"), F.col("high").alias("y_bits")), "y_rid")
 
     @F.arrow_udf("double")
     def jaccard(x: pa.Array, y: pa.Array) -> pa.Array:
         (p, p_sizes), (q, q_sizes) = _flat(x, np.uint32), _flat(y, np.uint32)
-        # Number of the pair and bit in one number: what both sides hold stands next to its like.
-        code = lambda v, sizes: np.unique(np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) << np.uint64(32) | v)
-        p, q = code(p, p_sizes), code(q, q_sizes)
-        common = np.bincount((np.intersect1d(p, q, assume_unique=True) >> np.uint64(32)).astype(np.int64), minlength=len(p_sizes))
+        # Number of the pair and bit in one number: two ascending runs, which a stable sort merges.
+        code = lambda v, sizes: np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) << np.uint64(32) | v
+        merged = np.sort(np.concatenate([code(p, p_sizes), code(q, q_sizes)]), kind="stable")
+        twice = merged[1:][merged[1:] == merged[:-1]]
+        common = np.bincount((twice >> np.uint64(32)).astype(np.int64), minlength=len(p_sizes))
         return pa.array(common / np.maximum(1, p_sizes + q_sizes - common))
 
-    scored = both.select("x_rid", "y_rid", jaccard("x_low", "y_low").alias("similarity")).where(F.col("similarity") >= similarity)
-    return scored.select(F.least("x_rid", "y_rid").alias("rid_a"), F.greatest("x_rid", "y_rid").alias("rid_b"), "similarity")
+    scored = both.select("x_rid", "y_rid", jaccard("x_bits", "y_bits").alias("similarity")).where(F.col("similarity") >= similarity)
+    links = written(scored.select(F.least("x_rid", "y_rid").alias("rid_a"), F.greatest("x_rid", "y_rid").alias("rid_b"), "similarity"))
+    forget(near)
+    return links
 
 
 class NearDuplicates:
@@ -514,7 +518,8 @@ class NearDuplicates:
         base = records(table, key, name, text)
         table = vectors(base, width, least)
         self.members = written(base.select("key", "rid").distinct().join(table.select("rid"), "rid", "left_semi").select("key", "rid"))
-        self.links = written(class_pairs(table, similarity))
+        self.links = class_pairs(table, similarity)
+        forget(table)
 
     def pairs(self, expand: int = 64) -> DataFrame:
         """(key_a, key_b) of records, smaller first.
