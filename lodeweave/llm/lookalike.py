@@ -2,14 +2,21 @@
 
 White space and characters without visible form are settled by two expressions
 over the whole text. What remains is done by code point: words with a
-character outside ASCII are exploded to positioned code points, a broadcast
-table of decompositions and look-alikes replaces each, combining marks are
-ordered by class within their base's segment, segments are recomposed from a
-second broadcast table, and words are rebuilt. Only distinct words are worked
+character outside ASCII are exploded to positioned code points, broadcast
+tables of decompositions (look-alikes among them) and of combining classes are joined,
+combining marks are ordered by class behind their base, words are rebuilt and
+recomposed by Unicode's canonical algorithm. Only distinct words are worked
 on, so a word that a third of all documents use costs as much as any other.
 
-Both tables follow from Unicode's character data and the look-alikes below, so
-their size is bounded by Unicode and does not grow with the data.
+Look-alikes are those listed below, and letters and signs of other scripts that the
+public confusables data of Unicode give the same skeleton as an ASCII character
+of the same kind and case; that data comes with the ICU library among
+Spark's own. Left out is what a reader can tell apart (``DISTINCT``), Latin letters
+of their own (dotless i, phonetic letters), quotation marks and dashes. Where the driver has no
+JVM at hand only the list holds.
+
+All tables follow from Unicode's character data, so their size is bounded by
+Unicode and does not grow with the data.
 
 Null texts give a null form; texts that show nothing give an empty form.
 """
@@ -19,13 +26,15 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodeweave.llm.pairs import group_pairs
-from lodeweave.runtime import cut_lineage
+from lodeweave.runtime import cut_lineage, written
 
-#: Letters and signs of other scripts that look like the letter they are listed under.
+#: Letters and signs that look like the letter they are listed under; they go before the public data.
 LOOKALIKES = {
     "A": "ΑА", "B": "ΒВ", "C": "СϹ", "E": "ΕЕ", "H": "ΗН", "I": "ΙІӀ", "J": "ЈͿ", "K": "ΚК", "M": "ΜМ", "N": "Ν",
     "O": "ΟО", "P": "ΡР", "S": "Ѕ", "T": "ΤТ", "X": "ΧХ", "Y": "ΥҮ", "Z": "Ζ", "G": "Ԍ", "Q": "Ԛ", "W": "Ԝ",
@@ -33,13 +42,15 @@ LOOKALIKES = {
     "q": "ԛ", "s": "ѕ", "u": "υ", "v": "νѵ", "w": "ԝ", "x": "хχ", "y": "уү", "k": "κ",
     "-": "‐‑﹣",
 }
+#: What the public data hold to be confusable, but a reader tells apart; and the signs that they are asked about.
+DISTINCT, SIGNS = "αγσгҽѡᴦⲅ", "/\\:~|*"
 #: Compatibility forms of these kinds look like what they stand for.
 SAME_LOOK = ("<wide>", "<narrow>", "<compat>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
 #: Compatibility characters that look different from their decomposition.
 DIFFERENT = "ſϐϑϕϖϰϱϵϒ"
 #: What has no visible form: format and control characters, variation selectors, fillers, tags.
 INVISIBLE = r"[\p{Cf}\x{34F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}\x{E0100}-\x{E01EF}\x00-\x08\x0E-\x1B\x7F-\x84\x86-\x9F]"
-SPACE = r"[\s\x1C-\x1F\x85\p{Z}\x{2800}]+"
+SPACE = r"[\s\x1C-\x1F\x85\p{Z}\x{2800}]"
 
 
 def _expand(char: str, folds: dict[str, str]) -> str:
@@ -58,62 +69,96 @@ def _expand(char: str, folds: dict[str, str]) -> str:
     return char
 
 
-@lru_cache(maxsize=1)
-def tables() -> tuple[list[tuple[str, int, str, int]], list[tuple[str, str]]]:
-    """(character, part number, part, combining class) of every character that is not simply itself, and (decomposed, composed)."""
-    folds = {other: base for base, others in LOOKALIKES.items() for other in others}
-    expansion, composition = [], {}
-    for code in (*range(0x80, 0xD800), *range(0xE000, 0x30000)):
-        char = chr(code)
-        parts = _expand(char, folds)
-        if parts != char or unicodedata.combining(char):
-            expansion += [(char, k, part, unicodedata.combining(part)) for k, part in enumerate(parts)]
-        whole = unicodedata.normalize("NFD", char)
-        if len(whole) > 1 and unicodedata.normalize("NFC", whole) == char:
-            composition[whole] = char
-    return expansion, list(composition.items())
+def _kind(char: str) -> str | None:
+    """Capital, small letter or sign; other characters are compared with nothing."""
+    category = unicodedata.category(char)
+    return category if category in ("Lu", "Ll") else "S" if category[0] in "PS" else None
+
+
+@lru_cache(maxsize=4)
+def confusables(spark: SparkSession) -> dict[str, str]:
+    """Character to the ASCII character it looks like: the public data, then the list above."""
+    out: dict[str, str] = {}
+    try:
+        checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    except Exception:  # no JVM at hand, or none with that library
+        checker = None
+    if checker is not None:
+        chars = [c for c in map(chr, (*range(0x21, 0xD800), *range(0xE000, 0x20000))) if _kind(c)]
+        ascii_of: dict[tuple[str, str], str] = {}
+        for char, skeleton in zip(chars, checker.getSkeleton("\n".join(chars)).split("\n")):
+            kind = _kind(char)
+            if char.isascii():
+                if kind != "S" or char in SIGNS:
+                    ascii_of.setdefault((skeleton, kind), char)
+            elif (skeleton, kind) in ascii_of and char not in DISTINCT and not unicodedata.decomposition(char) and not unicodedata.name(char, "").startswith("LATIN"):
+                out[char] = ascii_of[skeleton, kind]
+    return out | {other: base for base, others in LOOKALIKES.items() for other in others}
+
+
+@lru_cache(maxsize=4)
+def tables(spark: SparkSession) -> tuple[list[tuple[str, str]], list[tuple[str, int]]]:
+    """(character, what it is made of) of every character that is not simply itself, and (mark, combining class)."""
+    folds = confusables(spark)
+    every = [chr(code) for code in (*range(0x80, 0xD800), *range(0xE000, 0x30000))]
+    made = [(char, parts) for char in every if (parts := _expand(char, folds)) != char]
+    return made, [(char, unicodedata.combining(char)) for char in every if unicodedata.combining(char)]
 
 
 def visible(text: Column) -> Column:
-    """The text without invisible characters, each run of white space one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), SPACE, " "))
+    """The text without invisible characters, each run of white space one space, none at the ends.
+
+    Printable ASCII without runs of spaces is left as it is; elsewhere each character is first
+    asked whether it is printable ASCII, which is much cheaper than the classes.
+    """
+    shown = F.regexp_replace(text, r"(?![\x20-\x7E])" + INVISIBLE, "")
+    clean = F.trim(F.regexp_replace(shown, r"(?:(?![\x21-\x7E])" + SPACE + ")+", " "))
+    return F.when(F.rlike(text, F.lit(r"[^\x20-\x7E]|  |^ | $")), clean).otherwise(text)
+
+
+def _foreign(word: Column) -> Column:
+    """Whether a word has a character outside ASCII."""
+    return F.octet_length(word) != F.length(word)
+
+
+@F.arrow_udf(T.StringType())
+def _recomposed(words: pa.Array) -> pa.Array:
+    return pa.array([None if w is None else unicodedata.normalize("NFC", w) for w in words.to_pylist()], pa.string())
 
 
 def _canonical_words(spark: SparkSession, words: DataFrame) -> DataFrame:
     """(word, form) of distinct words."""
-    expansion, composition = tables()
-    parts = spark.createDataFrame(expansion, "char string, k int, part string, ccc int").groupBy("char").agg(F.sort_array(F.collect_list(F.struct("k", "part", "ccc"))).alias("parts"))
-    wholes = spark.createDataFrame(composition, "decomposed string, composed string")
-    chars = words.select("word", F.posexplode(F.regexp_extract_all("word", F.lit("(?s).|\\n"), 0)).alias("pos", "char"))
-    itself = F.array(F.struct(F.lit(0).alias("k"), F.col("char").alias("part"), F.lit(0).alias("ccc")))
-    points = chars.join(F.broadcast(parts), "char", "left").select("word", "pos", F.explode(F.coalesce("parts", itself)).alias("p")).select("word", F.struct("pos", F.col("p.k").alias("k"), F.col("p.part").alias("part"), F.col("p.ccc").alias("ccc")).alias("c"))
-    # Number the segments: a segment begins at each character of class 0.
-    listed = points.groupBy("word").agg(F.sort_array(F.collect_list("c")).alias("cs"))
-    starts = F.filter(F.transform("cs", lambda c, i: F.when(c["ccc"] == 0, i)), lambda i: i.isNotNull())
-    edges = F.array_distinct(F.concat(F.array(F.lit(0)), starts, F.array(F.size("cs"))))
-    spans = listed.withColumn("edges", edges)
-    segments = spans.select("word", F.posexplode(F.transform(F.slice("edges", 1, F.greatest(F.size("edges") - 1, F.lit(0))), lambda a, i: F.slice("cs", a + 1, F.get("edges", i + 1) - a))).alias("no", "seg"))
-    ordered = F.sort_array(F.transform("seg", lambda c: F.struct(c["ccc"].alias("ccc"), c["pos"].alias("pos"), c["k"].alias("k"), c["part"].alias("part"))))
-    segments = segments.select("word", "no", F.transform(ordered, lambda c: c["part"]).alias("o"))
-    segments = segments.select("word", "no", F.array_join("o", "").alias("whole"), F.array_join(F.slice("o", 1, 2), "").alias("head"), F.array_join(F.slice("o", 3, 1 << 30), "").alias("tail"))
-    segments = segments.join(F.broadcast(wholes.withColumnRenamed("decomposed", "whole")), "whole", "left").withColumnRenamed("composed", "all")
-    segments = segments.join(F.broadcast(wholes.withColumnRenamed("decomposed", "head")), "head", "left")
-    form = F.coalesce("all", F.concat("composed", "tail"), "whole")
-    return segments.groupBy("word").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", form.alias("s")))), lambda x: x["s"]), "").alias("form"))
+    made, marks = tables(spark)
+    made = F.broadcast(spark.createDataFrame(made, "char string, made string"))
+    marks = F.broadcast(spark.createDataFrame(marks, "part string, class int"))
+    points = lambda text: F.regexp_extract_all(text, F.lit("(?s)."), 0)
+    chars = words.select("word", F.posexplode(points(F.col("word"))).alias("pos", "char")).join(made, "char", "left")
+    whole = F.coalesce("made", "char")
+    parts = chars.select("word", "pos", F.posexplode(F.when(F.length(whole) == 1, F.array(whole)).otherwise(points(whole))).alias("k", "part"))
+    classed = parts.join(marks, "part", "left").select("word", "pos", "k", "part", F.coalesce("class", F.lit(0)).alias("class"))
+    # A base and the marks behind it are one segment.
+    upto = Window.partitionBy("word").orderBy("pos", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = classed.withColumn("segment", F.count(F.when(F.col("class") == 0, 1)).over(upto))
+    rebuilt = placed.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("segment", "class", "pos", "k", "part"))).alias("ordered"))
+    return rebuilt.select("word", _recomposed(F.array_join(F.transform("ordered", lambda x: x["part"]), "")).alias("form"))
+
+
+def _placed(words: Column) -> Column:
+    """Words outside ASCII with their places."""
+    return F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("word"))), lambda x: _foreign(x["word"]))
 
 
 def canonical_text(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text, form): every row with its one form; rows without ASCII-foreign words never leave their task's fast path."""
+    """(key, text, form): every row with its one form; texts in ASCII never leave their task."""
     spark = documents.sparkSession
     base = documents.select(F.col(key), F.col(text), visible(F.col(text)).alias("_v"))
-    foreign = F.rlike("_v", F.lit(r"[^\x00-\x7F]"))
-    plain = base.where(~F.coalesce(foreign, F.lit(False))).select(key, text, F.col("_v").alias("form"))
-    mixed = base.where(foreign)
+    foreign = F.coalesce(_foreign(F.col("_v")), F.lit(False))
+    plain = base.where(~foreign).select(key, text, F.col("_v").alias("form"))
     # The form depends on the text alone: equal texts share one row below, under a hash of 96 bits.
-    split = mixed.select(key, text, F.xxhash64(text).alias("_h"), F.hash(text).alias("_g"), F.split("_v", " ").alias("_w"))
+    split = base.where(foreign).select(key, text, F.xxhash64(text).alias("_h"), F.hash(text).alias("_g"), F.split("_v", " ").alias("_w"))
     # Words outside ASCII with their places; the rest of a text is never exploded.
-    placed = split.select("_h", "_g", F.explode(F.filter(F.transform("_w", lambda w, i: F.struct(i.alias("i"), w.alias("word"))), lambda x: F.rlike(x["word"], F.lit(r"[^\x00-\x7F]")))).alias("_x")).select("_h", "_g", "_x.i", "_x.word").distinct()
-    placed = cut_lineage(placed)  # read twice, and much smaller than the texts
+    placed = split.select("_h", "_g", F.explode(_placed(F.col("_w"))).alias("_x")).select("_h", "_g", "_x.i", "_x.word").distinct()
+    placed = written(placed)  # read twice, and much smaller than the texts
     forms = _canonical_words(spark, placed.select("word").distinct())
     patches = placed.join(forms, "word").groupBy("_h", "_g").agg(F.map_from_entries(F.collect_list(F.struct("i", "form"))).alias("_patch"))
     # No form is empty or has blanks at its ends, so the words joined are clean.
@@ -121,10 +166,28 @@ def canonical_text(documents: DataFrame, key: str = "doc_id", text: str = "text"
     return plain.unionByName(rebuilt)
 
 
+def form_keys(documents: DataFrame) -> DataFrame:
+    """(doc_id, group, variant) of the documents that show something: equal forms share a group, equal texts a variant.
+
+    Forms are not built: a form is known by the number of its words and a hash of 96 bits of
+    each with its place, added up without carry. So each text is read once,
+    and only its words outside ASCII travel.
+    """
+    spark = documents.sparkSession
+    docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text", visible(F.col("text")).alias("_v")).where("_v <> ''")
+    split = docs.select("doc_id", F.xxhash64("text").alias("h"), F.hash("text").alias("g"), F.split("_v", " ").alias("_w"))
+    added = lambda of, zero: F.aggregate(F.transform("_w", lambda w, i: F.when(_foreign(w), zero).otherwise(of(i, w))), zero, lambda a, x: a.bitwiseXOR(x))
+    read = split.select("doc_id", "h", "g", F.size("_w").alias("words"), added(F.xxhash64, F.lit(0).cast("long")).alias("x"), added(F.hash, F.lit(0)).alias("y"), _placed(F.col("_w")).alias("placed"))
+    read = written(read)
+    placed = written(read.select("h", "g", F.explode("placed").alias("p")).select("h", "g", "p.i", "p.word").distinct())
+    forms = _canonical_words(spark, placed.select("word").distinct())
+    rest = placed.join(forms, "word").groupBy("h", "g").agg(F.bit_xor(F.xxhash64("i", "form")).alias("p"), F.bit_xor(F.hash("i", "form")).alias("q"))
+    rows = read.select("doc_id", "h", "g", "words", "x", "y").distinct().join(rest, ["h", "g"], "left")
+    both = [F.col(a).bitwiseXOR(F.coalesce(b, F.lit(0))) for a, b in (("x", "p"), ("y", "q"))]
+    return rows.select("doc_id", F.concat_ws(" ", "words", *both).alias("group"), F.concat_ws(" ", "h", "g").alias("variant"))
+
+
 def lookalike_pairs(documents: DataFrame, expand: int | None = None) -> DataFrame:
     """(doc_id_a, doc_id_b): all documents of one form whose texts differ in code points; see ``group_pairs`` for ``expand``."""
-    docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    forms = canonical_text(docs).where(F.length("form") > 0)
-    keyed = forms.select("doc_id", F.md5(F.col("form").cast("binary")).alias("group"), F.md5(F.col("text").cast("binary")).alias("variant")).distinct()
-    keyed = cut_lineage(keyed)  # narrow, and read by each of the steps that follow
+    keyed = cut_lineage(form_keys(documents))  # narrow, and read by each of the steps that follow
     return group_pairs(keyed, "doc_id", expand)

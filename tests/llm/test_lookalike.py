@@ -64,7 +64,40 @@ def test_compact_form_links_all_variants(spark):
 
 
 @pytest.mark.parametrize("base", list("AEOaeocpxy"))
-def test_tables_fold_listed_letters(base):
-    expansion, _ = lk.tables()
-    to = {c: p for c, k, p, _ in expansion if k == 0}
+def test_tables_fold_listed_letters(spark, base):
+    to = dict(lk.tables(spark)[0])
     assert all(to[other] == base for other in lk.LOOKALIKES[base])
+
+
+def test_every_composite_comes_out_composed(spark):
+    import unicodedata as u
+
+    folds = lk.confusables(spark)
+    every = [c for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x30000))) if u.decomposition(c)[:1] not in ("", "<") or 0xAC00 <= ord(c) <= 0xD7A3]
+    words = [w for c in every for w in (c, u.normalize("NFD", c))]
+    forms = {r["word"]: r["form"] for r in lk._canonical_words(spark, spark.createDataFrame([(w,) for w in set(words)], "word string")).collect()}
+    assert len(every) > 12_000
+    for c in every:
+        form = forms[c]
+        assert form == forms[u.normalize("NFD", c)] and u.is_normalized("NFC", form), hex(ord(c))
+        if not set(u.normalize("NFD", c)) & folds.keys() and c not in folds:
+            assert form == u.normalize("NFC", c), hex(ord(c))
+
+
+def test_look_alikes_of_other_scripts(spark):
+    same = [("A", "Ꭺ"), ("o", "օ"), ("u", "ս"), ("o", "ⲟ"), (":", "꞉"), ("a/b", "a⁄b"), ("a/b", "a∕b"), ("한국어", "한국어"), ("কো", "কো")]
+    other = [("a", "α"), ("i", "ı"), ("0", "O"), ("l", "1"), ("-", "–"), ("'", "’"), ("2", "²")]
+    forms = _forms(spark, [t for pair in same + other for t in pair])
+    for k, (a, b) in enumerate(same + other):
+        assert (forms[2 * k] == forms[2 * k + 1]) == (k < len(same)), (a, b)
+
+
+def test_keys_agree_with_forms(spark):
+    texts = [t for pair in SAME + DIFFERENT for t in pair] + ["", None, "​"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    forms = {r["doc_id"]: r["form"] for r in lk.canonical_text(df).collect()}
+    keys = {r["doc_id"]: r["group"] for r in lk.form_keys(df).collect()}
+    assert set(keys) == {i for i, f in forms.items() if f}
+    for i in keys:
+        for j in keys:
+            assert (keys[i] == keys[j]) == (forms[i] == forms[j]), (texts[i], texts[j])
