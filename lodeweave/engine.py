@@ -53,36 +53,51 @@ class Engine:
     def _vectors(self, queries: DataFrame) -> DataFrame:
         return queries.select("query_id", self.embed(F.col("text")).alias("vector"))
 
+    def _checked(self, queries: DataFrame, topk: int) -> DataFrame:
+        """The queries, or ValueError if any text is null, blank or too long, or ``topk`` out of bounds."""
+        filter_dsl.validate_query("x", topk)
+        fits = F.coalesce((F.trim("text") != "") & (F.length("text") <= filter_dsl.MAX_TEXT), F.lit(False))
+        odd = queries.where(~fits).select("query_id").first()
+        if odd is not None:
+            raise ValueError(f"query {odd[0]!r}: a query has 1 to {filter_dsl.MAX_TEXT} characters")
+        return queries
+
     def search(self, queries: DataFrame, topk: int = 10, asset_type: str = "all", entire: bool = False) -> DataFrame:
         """(query_id, rank, asset_id, distance[, asset]) of (query_id, text): assets that still exist, best chunk each."""
-        filter_dsl.validate_query("x", topk)
         filter_dsl.validate_asset_type(asset_type, self.built_types(), ASSET_TYPES)
-        asked = self._vectors(queries.where((F.trim("text") != "") & (F.length("text") <= 200)))
+        asked = self._vectors(self._checked(queries, topk))
         return self._shaped(search.validated(asked, self._corpus(asset_type), self._catalogue(), topk), entire)
 
     def filtered_search(self, queries: DataFrame, filters: Sequence[filter_dsl.Filter] | None, asset_type: str, topk: int = 10, registry: Registry | None = None, entire: bool = False) -> DataFrame:
         """``search`` within one asset type, among assets whose metadata passes the filters.
 
-        With ``filters`` None the parser reads them from the one query's text; what it gives and does not fit is dropped.
+        With ``filters`` None the parser reads each query's own from its text; what it
+        gives and does not fit is dropped. Queries with equal filters share one condition, and the
+        metadata is read once for all of them.
         """
-        filter_dsl.validate_query("x", topk)
         filter_dsl.validate_asset_type(asset_type, self.built_types(), ASSET_TYPES, allow_all=False)
         if self.metadata is None:
             raise ValueError("there is no metadata to filter by")
         registry = registry or Registry.of(asset_type)
-        if filters is None:
-            filters = self.read_filters(queries.select("text").first()["text"], registry)
-        fit = self.metadata.where(filter_dsl.compile_filters(list(filters), registry)).select("asset_id").distinct()
-        corpus = self._corpus(asset_type).join(fit, "asset_id", "left_semi")
-        return self._shaped(search.validated(self._vectors(queries), corpus, self._catalogue(), topk), entire)
+        asked, corpus = self._checked(queries, topk), self._corpus(asset_type).join(self._catalogue(), "asset_id", "left_semi")
+        if filters is not None:
+            fit = self.metadata.where(filter_dsl.compile_filters(list(filters), registry)).select("asset_id").distinct()
+            return self._shaped(search.grouped_top_k(self._vectors(asked), corpus.join(fit, "asset_id", "left_semi"), topk), entire)
+        number: dict[tuple, int] = {}
+        read = [(r["query_id"], number.setdefault(tuple(self.read_filters(r["text"], registry)), len(number))) for r in asked.select("query_id", "text").distinct().collect()]  # the parser is called for each text here
+        conditions = {n: filter_dsl.compile_filters(list(own), registry) for own, n in number.items()}
+        kind = asked.schema["query_id"].dataType.simpleString()
+        tags = queries.sparkSession.createDataFrame(read, f"query_id {kind}, tag int")
+        tagged = self._vectors(asked).join(tags, "query_id")
+        return self._shaped(search.conditioned(tagged, corpus, self.metadata, conditions, topk), entire)
 
     def read_filters(self, text: str, registry: Registry) -> list[filter_dsl.Filter]:
-        """Filters that the parser finds in a text; a parser that fails finds none."""
+        """Filters that the parser finds in a text; a parser that fails finds none. More than are allowed is an error later on."""
         try:
             raw = self.parse(text) if self.parse else []
         except Exception:  # whatever a parser of a user's raises means no conditions
             raw = []
-        return [f for f in (filter_dsl.condition(r, registry) for r in raw) if f is not None][: filter_dsl.MAX_FILTERS]
+        return [f for f in (filter_dsl.condition(r, registry) for r in raw) if f is not None]
 
     def recommend(self, asset_ids: DataFrame, topk: int = 10, output_type: str = "all", entire: bool = False) -> DataFrame:
         """Assets like the given ones, from stored vectors; an asset is left out of its own list only within its own type."""

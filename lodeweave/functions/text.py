@@ -47,6 +47,13 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")
 
 
+def padded(items: Column, size: int, pad: str = "[PAD]") -> Column:
+    """{tokens, mask}: the first ``size`` items, filled up with ``pad``; the mask is 1 for items and 0 for what was filled up."""
+    own = F.slice(items, 1, size)
+    lacking = F.greatest(F.lit(size) - F.size(own), F.lit(0))
+    return F.struct(F.concat(own, F.array_repeat(F.lit(pad), lacking)).alias("tokens"), F.concat(F.transform(own, lambda x: F.lit(1)), F.array_repeat(F.lit(0), lacking)).alias("mask"))
+
+
 def match_terms(text: Column) -> Column:
     """Lower-case letter and digit runs, for text matching."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")

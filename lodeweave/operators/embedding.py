@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.functions.text import tokens, windows
+from lodeweave.operators.evaluate import pooled_vectors
 
 
 def embed_whole(documents: DataFrame, key: str, text: str, embed: Callable[[Column], Column], most_tokens: int = 4096) -> DataFrame:
@@ -39,8 +40,4 @@ def refine(chunks: DataFrame, key: str, model: Callable[[np.ndarray], np.ndarray
 
 def weighted_pool(chunks: DataFrame, key: str, weight: Column) -> DataFrame:
     """(key, vector): chunk vectors summed with weights that add up to one in each document; without weight the plain mean."""
-    w = F.coalesce(weight.cast("double"), F.lit(0.0))
-    each = chunks.select(key, w.alias("_w"), F.posexplode("vector").alias("pos", "x"))
-    pooled = each.groupBy(key, "pos").agg(F.coalesce(F.try_divide(F.sum(F.col("x") * F.col("_w")), F.sum("_w")), F.avg("x")).alias("value"))
-    listed = pooled.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("_l"))
-    return listed.select(key, F.transform("_l", lambda e: e["value"]).alias("vector"))
+    return pooled_vectors(chunks, "mean", key, weight=weight)

@@ -7,6 +7,9 @@ aggregation per query after at most one window within a query's short list.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,17 +74,51 @@ def best_two(table: DataFrame, metric: str) -> DataFrame:
     return table.withColumn("place", F.dense_rank().over(Window.orderBy(F.col(metric).desc()))).where("place <= 2")  # over an already aggregated report
 
 
-def pooled(chunks: DataFrame, how: str, key: str = "asset_id", order: str = "id") -> DataFrame:
-    """(key, pos, value): chunk vectors pooled per component by mean, max or cls (the first chunk)."""
-    each = chunks.select(key, order, F.posexplode("vector").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
-    agg = {"mean": F.avg("x"), "max": F.max("x"), "cls": F.min_by("x", order)}[how]
-    return each.groupBy(key, "pos").agg(agg.alias("value"))
+def pooled_vectors(chunks: DataFrame, how: str, key: str = "asset_id", order: str = "id", weight: Column | None = None) -> DataFrame:
+    """(key, vector): a key's chunk vectors pooled per component by mean, max, weighted mean or cls (the first chunk).
+
+    Vectors are added up within each Arrow batch before they are shuffled, so a key that
+    holds very many chunks sends one partial vector a batch. Weights are null or not
+    negative; where a key's sum to nothing the plain mean is taken.
+    """
+    rows = chunks.where(F.col(key).isNotNull() & F.col("vector").isNotNull())
+    if how == "cls":
+        return rows.groupBy(key).agg(F.min_by("vector", order).alias("vector")).select(key, F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    kind = dict(chunks.dtypes)[key]
+    w = F.lit(1.0) if weight is None else F.coalesce(weight.cast("double"), F.lit(0.0))
+    schema = f"{key} {kind}, w double, n long, weighted array<double>, plain array<double>"
+    add = np.maximum if how == "max" else np.add
+
+    def reduced(keys, w, n, weighted, plain):
+        code, names = pd.factorize(keys)
+        by = np.argsort(code, kind="stable")
+        start = np.flatnonzero(np.r_[True, np.diff(code[by]) != 0])
+        names = np.asarray(names)[code[by][start]]
+        return pa.RecordBatch.from_arrays([pa.array(names), *[pa.array(np.add.reduceat(x[by], start)) for x in (w, n)], *[pa.array(list(add.reduceat(x[by], start, axis=0)), pa.list_(pa.float64())) for x in (weighted, plain)]], [key, "w", "n", "weighted", "plain"])
+
+    def matrix(column):
+        return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
+
+    def partial(batches):
+        for batch in batches:
+            if batch.num_rows:
+                vectors, weights = matrix(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+                yield reduced(batch.column(0).to_pandas(), weights, np.ones(len(vectors), np.int64), vectors * weights[:, None] if how != "max" else vectors, vectors)
+
+    def whole(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        columns = [table.column(k).combine_chunks() for k in range(5)]
+        return pa.Table.from_batches([reduced(columns[0].to_pandas(), columns[1].to_numpy(), columns[2].to_numpy(), matrix(columns[3]), matrix(columns[4]))])
+
+    sums = rows.select(key, "vector", w.alias("w")).mapInArrow(partial, schema).groupBy(key).applyInArrow(whole, schema)
+    if how == "max":
+        return sums.select(key, F.col("plain").alias("vector"))
+    return sums.select(key, F.when(F.col("w") > 0, F.transform("weighted", lambda x: x / F.col("w"))).otherwise(F.transform("plain", lambda x: x / F.col("n"))).alias("vector"))
 
 
-def pooled_vectors(chunks: DataFrame, how: str, key: str = "asset_id", order: str = "id") -> DataFrame:
-    """(key, vector) of ``pooled``."""
-    listed = pooled(chunks, how, key, order).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("_l"))
-    return listed.select(key, F.transform("_l", lambda e: e["value"]).alias("vector"))
+def pooled(chunks: DataFrame, how: str, key: str = "asset_id", order: str = "id") -> DataFrame:
+    """(key, pos, value) of ``pooled_vectors``."""
+    return pooled_vectors(chunks, how, key, order).select(key, F.posexplode("vector").alias("pos", "value"))
 
 
 def best_attempt(attempts: DataFrame, key: str, valid: str, total: str, order: str) -> DataFrame:

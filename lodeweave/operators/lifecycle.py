@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.operators import store
+
 #: The states a query goes through.
 QUEUED, IN_PROGRESS, COMPLETED, FAILED = "Queued", "In_progress", "Completed", "Failed"
 
@@ -34,5 +36,5 @@ def is_expired(expires: Column, now: Column) -> Column:
 
 
 def conversation(messages: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """(key, messages): each conversation's messages in order."""
-    return messages.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, "role", "text"))).alias("messages"))
+    """(key, place, role, text): each conversation's messages as rows in order, however many they are."""
+    return store.number_within(messages.select(key, order, "role", "text"), key, [order]).select(key, "place", "role", "text")

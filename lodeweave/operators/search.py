@@ -68,8 +68,14 @@ def _score(q_ids, q_unit, q_tag, ids, unit, assets, tags, k: int, grouped: bool)
             r, c = _survivors(best, k, None)
             rows.append(pd.DataFrame({"query_id": q_ids[a + r], "asset_id": names[code[order][starts[c]]], "similarity": best[r, c]}))
         else:
-            r, c = _survivors(sims, k, allowed)
-            rows.append(pd.DataFrame({"query_id": q_ids[a + r], "id": ids[c], "asset_id": assets[c], "similarity": sims[r, c]}))
+            # A row delivered again must not take a second of the k places: an id counts once, by its nearest vector.
+            order = np.argsort(ids, kind="stable")
+            starts = np.flatnonzero(np.r_[True, ids[order][1:] != ids[order][:-1]])
+            masked = sims if allowed is None else np.where(allowed, sims, -np.inf)
+            best = np.maximum.reduceat(masked[:, order], starts, axis=1) if len(starts) < len(ids) else masked
+            r, c = _survivors(best, k, None)
+            own = order[starts[c]] if len(starts) < len(ids) else c
+            rows.append(pd.DataFrame({"query_id": q_ids[a + r], "id": ids[own], "asset_id": assets[own], "similarity": best[r, c]}))
     return pd.concat(rows) if rows else pd.DataFrame()
 
 
@@ -125,23 +131,38 @@ def _ranked(candidates: DataFrame, k: int, tie: str, by: tuple[str, ...] = ("que
 
 
 def usable_chunks(chunks: DataFrame, dim: int = 64) -> DataFrame:
-    """Chunks with a usable vector, each id once."""
-    return chunks.where(F.col("id").isNotNull() & usable(F.col("vector"), dim)).dropDuplicates(["id"])
+    """Chunks with a usable vector, rows delivered again included: searches drop those among their few candidates.
+
+    So filters on these rows reach the scan, and no search shuffles the table.
+    """
+    return chunks.where(F.col("id").isNotNull() & usable(F.col("vector"), dim))
+
+
+def distinct_chunks(chunks: DataFrame, dim: int = 64) -> DataFrame:
+    """Usable chunks, each id once (of several rows the one with the smallest vector), for what sums or counts over them."""
+    return usable_chunks(chunks, dim).withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("vector"))).where(F.col("_r") == 1).drop("_r")
+
+
+def _once(candidates: DataFrame) -> DataFrame:
+    """(query_id, id, asset_id, similarity): each id once for a query, by its nearest vector."""
+    return candidates.groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"), F.min("asset_id").alias("asset_id"))
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, id, asset_id, distance): the k most similar vectors of each query."""
-    return _ranked(_candidates(queries, corpus, k, False, False), k, "id")
+    return _ranked(_once(_candidates(queries, corpus, k, False, False)), k, "id")
 
 
-def top_k_expression(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """``top_k`` in JVM expressions only, for a handful of queries joined to each corpus row."""
+def top_k_expression(queries: DataFrame, corpus: DataFrame, k: int, most: int = 256) -> DataFrame:
+    """``top_k`` in JVM expressions only, for a handful of queries joined to each corpus row; beyond ``most`` queries the kernel takes over."""
     from lodeweave.functions.vector import as_double, cosine
 
+    if len(queries.select("query_id").limit(most + 1).collect()) > most:
+        return top_k(queries, corpus, k)
     q = queries.select("query_id", as_double(F.col("vector")).alias("_q"))
     c = corpus.select("id", "asset_id", as_double(F.col("vector")).alias("_v"))
     scored = c.join(q, F.lit(True)).select("query_id", "id", "asset_id", F.round(cosine(F.col("_q"), F.col("_v")), DIGITS).alias("similarity"))
-    return _ranked(scored, k, "id")
+    return _ranked(_once(scored), k, "id")
 
 
 def grouped_top_k(queries: DataFrame, corpus: DataFrame, k: int, tagged: bool = False) -> DataFrame:
@@ -190,6 +211,17 @@ def _candidates_by_type(queries: DataFrame, corpus: DataFrame, k: int) -> DataFr
     return best.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
+def conditioned(queries: DataFrame, corpus: DataFrame, metadata: DataFrame, conditions: dict[int, Column], k: int) -> DataFrame:
+    """Grouped top-k in which each query searches only among the assets that fit its own condition.
+
+    ``queries`` has a column ``tag``, the number of its condition on ``metadata``
+    (asset_id, ...). The metadata is read once for all conditions; equal conditions should share a number.
+    """
+    fits = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in conditions.items()]))
+    allowed = metadata.where(F.col("asset_id").isNotNull()).select("asset_id", F.explode(fits).alias("tag")).distinct()
+    return grouped_top_k(queries, corpus.join(allowed, "asset_id"), k, tagged=True)
+
+
 def validated(queries: DataFrame, corpus: DataFrame, catalogue: DataFrame, k: int) -> DataFrame:
     """Top-k assets that still exist: the corpus is semi-joined to the catalogue first, so one exact pass fills k."""
     known = catalogue.select("asset_id").distinct()
@@ -223,7 +255,7 @@ def lazy_deletes(queries: DataFrame, corpus: DataFrame, catalogue: DataFrame, k:
 
 def overfetch(queries: DataFrame, corpus: DataFrame, k: int, factor: int = 10) -> DataFrame:
     """Take k x factor chunks, keep each asset's first, cut to k; may hold fewer than k when one asset fills the fetch."""
-    wide = _ranked(_candidates(queries, corpus.where(F.col("asset_id").isNotNull()), k * factor, False, False), k * factor, "id")
+    wide = _ranked(_once(_candidates(queries, corpus.where(F.col("asset_id").isNotNull()), k * factor, False, False)), k * factor, "id")
     first = wide.groupBy("query_id", "asset_id").agg(F.min("rank").alias("_f"), F.min("distance").alias("distance"))
     w = Window.partitionBy("query_id").orderBy("_f")
     return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "asset_id", "distance")

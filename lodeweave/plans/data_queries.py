@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from lodeweave.operators import ingest, lifecycle, store
+from lodeweave import runtime
+from lodeweave.operators import ingest, lifecycle, store, vector_store
 from lodeweave.plans.filter_dsl import Expression, Filter, compile_filters
 from lodeweave.plans.registry import query
 from lodeweave.runtime import table
@@ -79,6 +83,24 @@ def filter_date(spark, d):
     return _metadata(spark, d, _filter("date_published", (">", "2018-01-01T00:00:00"), ("<=", "2021-06-30T12:00:00")))
 
 
+@query("select m.license, m.ok, count(*) as rows from (select distinct meta_id, license, lower(license) in (select lower(value) from field_valid_values where field = 'license' and asset_type = 'base') as ok from dataset_metadata where license is not null) m group by 1, 2")
+def filter_value_legality(spark, d):
+    """Which entered licences would be accepted as the value of a filter."""
+    spec = METADATA.with_values(table(spark, d, "field_valid_values"))["license"]
+    entered = table(spark, d, "dataset_metadata").where("license is not null").select("meta_id", "license").distinct()
+    return entered.groupBy("license", spec.valid(F.col("license")).alias("ok")).agg(F.count("*").alias("rows"))
+
+
+@query(_meta_sql("lower(license) in (select lower(value) from field_valid_values where field = 'license' and asset_type = 'base' and value like '%-4.0') and license is not null"))
+def filter_enum_values(spark, d):
+    """Filters on each allowed value that ends in an edition, five to a filter, checked against the list."""
+    fields = METADATA.with_values(table(spark, d, "field_valid_values"))
+    wanted = [v for v in fields["license"].values if v.endswith("-4.0")]
+    parts = [compile_filters([_filter("license", *[("==", v.upper()) for v in wanted[i : i + 5]], join="OR")], fields) for i in range(0, len(wanted), 5)]
+    rows = table(spark, d, "dataset_metadata")
+    return rows.where(reduce(lambda a, b: a | b, parts, F.lit(False))).select("meta_id").distinct()
+
+
 # Change data: the catalogue is the asset table, the store is the chunk table.
 def _catalogue(spark, d):
     a = table(spark, d, "assets")
@@ -183,6 +205,18 @@ def insert_fallback(spark, d):
     return good.select("meta_id", "license", "metadata_kept").distinct()
 
 
+@query(f"""with kept as (select * from {_STORED} where asset_type = 'datasets' and asset_id not in (select identifier from assets where platform = 'robohub' and identifier is not null))
+select asset_id, count(distinct id) as chunks, max(asset_version) as last_version from kept where asset_id is not null group by 1""")
+def vector_store_cycle(spark, d):
+    """A collection is filled, filled again with half of its rows, and loses the assets of one platform."""
+    chunks = table(spark, d, "chunk_vectors").where("asset_type = 'datasets'")
+    held = vector_store.ParquetStore(spark, f"{runtime.shared_folder(spark)}/stores/{uuid.uuid4().hex}")
+    held.upsert("datasets", chunks)
+    held.upsert("datasets", chunks.where("id % 2 = 0"))
+    held.remove("datasets", table(spark, d, "assets").where("platform = 'robohub'").select(F.col("identifier").alias("asset_id")))
+    return held.read("datasets").where("asset_id is not null").groupBy("asset_id").agg(F.countDistinct("id").alias("chunks"), F.max("asset_version").alias("last_version"))
+
+
 _PAGES = "(select distinct query_id, asset_ids, distances from search_results where asset_ids is not null and distances is not null and len(asset_ids) = len(distances))"
 
 
@@ -298,19 +332,16 @@ def page_completeness(spark, d):
     return store.page_completeness(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 1000)
 
 
-@query("select asset_id, string_agg(cast(doc_id as varchar), ',' order by created_at, doc_id) as turns, count(*) as messages from documents where asset_id is not null group by asset_id")
+@query("select asset_id, row_number() over (partition by asset_id order by created_at, doc_id) - 1 as place, source as role, doc_id from documents where asset_id is not null")
 def conversation_history(spark, d):
     docs = table(spark, d, "documents").where("asset_id is not null").select(F.col("asset_id").alias("conv_id"), F.struct("created_at", "doc_id").alias("turn"), F.col("source").alias("role"), F.col("doc_id").cast("string").alias("text"))
-    c = lifecycle.conversation(docs)
-    return c.select(F.col("conv_id").alias("asset_id"), F.array_join(F.transform("messages", lambda m: m["text"]), ",").alias("turns"), F.size("messages").cast("long").alias("messages"))
+    return lifecycle.conversation(docs).select(F.col("conv_id").alias("asset_id"), "place", "role", F.col("text").cast("long").alias("doc_id"))
 
 
 @query("select source, g, string_agg(cast(doc_id as varchar), ' ' order by doc_id) as docs from (select coalesce(source, '') as source, doc_id, (row_number() over (partition by coalesce(source, '') order by doc_id) - 1) // 5 as g from documents) group by 1, 2")
 def prompt_groups(spark, d):
-    from pyspark.sql import Window
-
     docs = table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "doc_id")
-    numbered = docs.withColumn("g", F.floor((F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1) / 5))
+    numbered = store.number_within(docs, "source", ["doc_id"]).withColumn("g", F.floor(F.col("place") / 5))
     return numbered.groupBy("source", "g").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), " ").alias("docs"))
 
 

@@ -9,6 +9,7 @@ comparison nor its negation (three-valued logic).
 
 from __future__ import annotations
 
+import difflib
 import operator
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from lodeweave.functions.text import text_match
 from lodeweave.schema import FieldSpec, Registry
 
-MAX_FILTERS, MAX_EXPRESSIONS, MAX_NAME = 5, 5, 30
+MAX_FILTERS, MAX_EXPRESSIONS, MAX_NAME, MAX_TEXT = 5, 5, 30, 200
 _COMPARE = {"<": operator.lt, ">": operator.gt, "<=": operator.le, ">=": operator.ge, "==": operator.eq, "!=": operator.ne}
 
 
@@ -112,8 +113,8 @@ def compile_filters(filters: Sequence[Filter], registry: Registry, exclude: Iter
 
 def validate_query(text: str, topk: int) -> str:
     """A query text of 1 to 200 characters and 1 to 100 results, or ValueError."""
-    if not text or not text.strip() or len(text) > 200:
-        raise ValueError("a query has 1 to 200 characters")
+    if not text or not text.strip() or len(text) > MAX_TEXT:
+        raise ValueError(f"a query has 1 to {MAX_TEXT} characters")
     if not 1 <= topk <= 100:
         raise ValueError("topk lies between 1 and 100")
     return text
@@ -132,8 +133,23 @@ def validate_asset_type(asset_type: str, built: Iterable[str], known: Iterable[s
     return asset_type
 
 
+def nearest_allowed(value: str, allowed: Sequence[str], alike: float = 0.8) -> str | None:
+    """The allowed value that a spelling means: equal but for case and separators, else the one clearly nearest; None if there is none."""
+    plain = lambda s: "".join(c for c in s.lower() if c.isalnum())
+    same = sorted({a for a in allowed if plain(a) == plain(value)})
+    if same:
+        return same[0]
+    near = sorted(((difflib.SequenceMatcher(None, plain(value), plain(a)).ratio(), a) for a in set(allowed)), key=lambda x: (-x[0], x[1]))
+    if not near or near[0][0] < alike or len(near) > 1 and near[1][0] == near[0][0]:
+        return None
+    return near[0][1]
+
+
 def condition(raw: dict, registry: Registry) -> Filter | None:
-    """A parsed natural-language condition as a filter, dropping expressions that do not fit; None if none is left."""
+    """A parsed natural-language condition as a filter, dropping expressions that do not fit; None if none is left.
+
+    A value that is nearly an allowed one of the field counts as that.
+    """
     if raw.get("discard") or raw.get("field") not in registry.fields:
         return None
     spec, kept = registry[raw["field"]], []
@@ -142,6 +158,8 @@ def condition(raw: dict, registry: Registry) -> Filter | None:
         if value in (None, "NONE") or e.get("discard"):
             continue
         try:
+            if spec.values and isinstance(value, str):
+                value = nearest_allowed(value, spec.values) or value
             kept += check(Filter(raw["field"], "AND", (Expression(value, e["comparison_operator"]),)), spec).expressions
         except (ValueError, TypeError):
             continue

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions import text as tx
 from lodeweave.operators import evaluate, search
+from lodeweave.plans import data_queries
+from lodeweave.plans.filter_dsl import Filter, compile_filters
 from lodeweave.plans.registry import query
 from lodeweave.runtime import table
 
@@ -27,7 +29,11 @@ def _chunks(spark, d):
 
 
 def _asked(chunks):
-    return chunks.where(F.col("id") % EVERY == 0).withColumnRenamed("id", "query_id")
+    return chunks.where(F.col("id") % EVERY == 0).dropDuplicates(["id"]).withColumnRenamed("id", "query_id")
+
+
+def _once(spark, d):
+    return search.distinct_chunks(table(spark, d, "chunk_vectors"))
 
 
 def _embeddings(spark, d):
@@ -125,7 +131,18 @@ def validated_search(spark, d):
     return search.validated(_asked(chunks), chunks, _described(spark, d), K)
 
 
-@query()
+def _rounds_sql(rounds: int = 5) -> str:
+    """Each round looks at so many further hits as valid ones are missing; what a round reaches follows from the round before."""
+    seen = "".join(f""", r{i} as (select p.query_id, greatest(p.reach, {K} + count(*) filter (where not h.ok and h.rank <= p.reach)) as reach
+  from r{i - 1} p join hits h using (query_id) group by p.query_id, p.reach)""" for i in range(1, rounds))
+    return f"""with {_CHUNKS}, best as (select q.id as query_id, c.asset_id, max({_SIM}) as sim from chunks q, chunks c where q.id % {EVERY} = 0 and c.asset_id is not null group by 1, 2),
+hits as (select query_id, asset_id, round(1 - sim, 6) as distance, coalesce(asset_id in {_KNOWN}, false) as ok, row_number() over (partition by query_id order by sim desc, asset_id) as rank from best qualify rank <= {K * rounds}),
+r0 as (select distinct query_id, {K} as reach from hits){seen},
+kept as (select h.query_id, h.asset_id, h.distance, row_number() over (partition by h.query_id order by h.rank) as rank from hits h join r{rounds - 1} using (query_id) where h.ok and h.rank <= reach)
+select query_id, cast(rank as int) as rank, asset_id, distance from kept where rank <= {K}"""
+
+
+@query(_rounds_sql())
 def validated_search_rounds(spark, d):
     chunks = _chunks(spark, d)
     return search.validated_rounds(_asked(chunks), chunks, _described(spark, d), K)
@@ -144,7 +161,7 @@ _LOGGED = f"select distinct query_id, vector_id, asset_ids from search_results w
 def exclude_ids_topk(spark, d):
     chunks = _chunks(spark, d)
     log = table(spark, d, "search_results").where(F.col("vector_id") % EVERY == 0).select("query_id", "vector_id", "asset_ids").distinct()
-    asked = log.join(chunks.select(F.col("id").alias("vector_id"), "vector"), "vector_id").select("query_id", "vector")
+    asked = log.join(chunks.where(F.col("id") % EVERY == 0).select(F.col("id").alias("vector_id"), "vector").dropDuplicates(["vector_id"]), "vector_id").select("query_id", "vector")
     banned = log.select("query_id", F.explode("asset_ids").alias("asset_id"))
     most = banned.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0  # a result list has at most 100 entries
     return search.excluding(asked, chunks, banned, K, most)
@@ -166,6 +183,28 @@ def per_query_filter_topk(spark, d):
     return search.grouped_top_k(_asked(chunks), chunks, K, tagged=True)
 
 
+_FITS = {
+    0: "m.datapoints_lower_bound >= 1000",
+    1: "list_contains(list_transform(m.languages, lambda x: lower(x)), 'en') and m.datapoints_upper_bound < 1000000",
+    2: "(lower(m.license) = 'olc-by-4.0' or lower(m.license) = 'olc-by-3.0')",
+}
+_ALLOWED = ", allowed as (" + " union ".join(f"select distinct {n} as tag, m.asset_id from dataset_metadata m where {c}" for n, c in _FITS.items()) + ")"
+
+
+@query(_grouped_sql(f"select id as query_id, vector, id // {EVERY} % 3 as tag from chunks where id % {EVERY} = 0", extra=_ALLOWED, where="exists (select 1 from allowed w where w.tag = q.tag and w.asset_id = c.asset_id)"))
+def per_query_conditions_topk(spark, d):
+    chunks, filters = _chunks(spark, d), data_queries.METADATA
+    of = lambda *f: compile_filters([Filter.parse(x) for x in f], filters)
+    expr = lambda op, value: {"comparison_operator": op, "value": value}
+    conditions = {
+        0: of({"field": "datapoints_lower_bound", "expressions": [expr(">=", 1000)]}),
+        1: of({"field": "languages", "expressions": [expr("==", "en")]}, {"field": "datapoints_upper_bound", "expressions": [expr("<", 1000000)]}),
+        2: of({"field": "license", "logical_operator": "OR", "expressions": [expr("==", "olc-by-4.0"), expr("==", "olc-by-3.0")]}),
+    }
+    asked = _asked(chunks).withColumn("tag", F.floor(F.col("query_id") / EVERY).cast("int") % 3)
+    return search.conditioned(asked, chunks, table(spark, d, "dataset_metadata"), conditions, K)
+
+
 @query(_grouped_sql(_Q, where="c.asset_version >= 2 and c.asset_type in ('datasets', 'ml_models')"))
 def filtered_topk(spark, d):
     chunks = _chunks(spark, d)
@@ -175,7 +214,7 @@ def filtered_topk(spark, d):
 
 @query(f"with {_CHUNKS} select asset_id, count(*) as chunks, min(id) as first_chunk, round(sum(vector[1]), 5) as first_component from chunks where asset_id is not null group by asset_id")
 def asset_vectors(spark, d):
-    c = _chunks(spark, d).where("asset_id is not null")
+    c = _once(spark, d).where("asset_id is not null")
     return c.groupBy("asset_id").agg(F.count("*").alias("chunks"), F.min("id").alias("first_chunk"), F.round(F.sum(F.col("vector")[0].cast("double")), 5).alias("first_component"))
 
 
@@ -308,7 +347,7 @@ def _pool_sql(expr: str) -> str:
 
 
 def _pool(spark, d, how):
-    out = evaluate.pooled(_chunks(spark, d).where("asset_id is not null"), how)
+    out = evaluate.pooled(_once(spark, d).where("asset_id is not null"), how)
     return out.select("asset_id", "pos", F.round("value", 6).alias("value"))
 
 

@@ -39,6 +39,14 @@ def chunk_cap(spark, d):
     return docs.select("doc_id", F.size(tx.windows(F.col("t"), SIZE, OVERLAP, CAP)).cast("long").alias("kept"))
 
 
+@query(f"with {_WINDOWS}, c as (select doc_id, i, t[i * {_STEP} + 1 : i * {_STEP} + {SIZE}] as k from w where len(t) > 0) select doc_id, cast(i as int) as chunk_no, cast({SIZE} as int) as width, cast(len(k) as int) as real, k[len(k)] as last_real, case when len(k) < {SIZE} then '[PAD]' else k[{SIZE}] end as last from c")
+def chunk_padding(spark, d):
+    docs = _docs(spark, d).select("doc_id", tx.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    cut = docs.select("doc_id", F.posexplode(tx.windows(F.col("t"), SIZE, OVERLAP)).alias("chunk_no", "c")).withColumn("p", tx.padded(F.col("c"), SIZE))
+    real = F.aggregate("p.mask", F.lit(0), lambda a, x: a + x)
+    return cut.select("doc_id", "chunk_no", F.size("p.tokens").alias("width"), real.alias("real"), F.element_at("p.tokens", real).alias("last_real"), F.element_at("p.tokens", F.lit(SIZE)).alias("last"))
+
+
 def _assets(spark, d):
     """Catalogue records, each delivery of the same record once."""
     a = table(spark, d, "assets")

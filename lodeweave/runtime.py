@@ -48,8 +48,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _dropping_shuffles(spark: SparkSession):
-    """Shuffle files of what is written out inside are dropped as soon as it is written."""
+def dropping_shuffles(spark: SparkSession):
+    """Shuffle files of what is run inside are dropped as soon as its result is there."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(name)
     spark.conf.set(name, "true")
@@ -72,7 +72,7 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    with _dropping_shuffles(spark):
+    with dropping_shuffles(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path

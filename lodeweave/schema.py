@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,6 +167,19 @@ class Registry:
             raise ValueError(f"{asset_type!r} has no metadata fields")
         return cls(BASE + SPECIFIC[asset_type])
 
+    def with_values(self, valid_values: DataFrame, asset_type: str = "base", most: int = 100_000) -> Registry:
+        """The fields with the allowed values that a list (asset_type, field, value) names for them; its size is checked.
+
+        Values under ``base`` hold for every type. Fields that the list does not name stay free.
+        """
+        rows = valid_values.where(F.col("asset_type").isin("base", asset_type) & F.col("value").isNotNull()).select("field", "value").distinct().limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} allowed values")
+        listed: dict[str, list[str]] = {}
+        for field, value in sorted(tuple(r) for r in rows):
+            listed.setdefault(field, []).append(value)
+        return Registry([replace(f, values=tuple(listed[f.name])) if f.name in listed else f for f in self.fields.values()])
+
     def __getitem__(self, name: str) -> FieldSpec:
         if name not in self.fields:
             raise ValueError(f"unknown field {name!r}")

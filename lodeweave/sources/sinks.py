@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions.text import tokens, windows
 
+#: Folders of a sink by key, whatever the number of keys.
+BUCKETS = 64
+
 
 def chunk_rows(documents: DataFrame, text: Column, embed, size: int = 512, overlap: float = 0.25, cap: int = 11) -> DataFrame:
     """Documents to chunk rows with vectors; their other columns go with every chunk. Empty documents give none."""
@@ -22,9 +25,15 @@ def write_chunks(chunks: DataFrame, path: str, by: str = "asset_type") -> None:
 
 
 def write_json(df: DataFrame, path: str, by: str | None = None) -> None:
-    """JSON lines; with ``by`` a folder per value (a result cache by query)."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(by) if by else writer).json(path)
+    """JSON lines; with ``by`` (a result cache by query) the rows of a value stand in one of ``BUCKETS`` folders, the value in the row."""
+    if by is None:
+        df.write.mode("overwrite").json(path)
+    else:
+        _bucketed(df, by).write.mode("overwrite").partitionBy("bucket").json(path)
+
+
+def _bucketed(df: DataFrame, by: str) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(BUCKETS)).cast("int")).repartition("bucket", by)
 
 
 def read_cached(spark: SparkSession, path: str, schema: str, wanted: DataFrame, key: str = "query_id") -> DataFrame:
@@ -42,8 +51,8 @@ def with_json(df: DataFrame, key: str) -> DataFrame:
 
 
 def write_texts(df: DataFrame, key: str, text: Column, path: str) -> None:
-    """Texts, a folder per key, for tools that read files."""
-    df.select(F.col(key), text.alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+    """Texts as JSON lines (key, value) in ``BUCKETS`` folders, for tools that read files; null texts are left out."""
+    write_json(df.select(F.col(key), text.alias("value")).where("value is not null"), path, key)
 
 
 def parse_checked(texts: DataFrame, column: str, schema: str, required: list[str]) -> DataFrame:

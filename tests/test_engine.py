@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from lodeweave.engine import Engine, Expired, NotFound, rerank, result_of
 from lodeweave.functions.vector import hash_embedding
-from lodeweave.plans.filter_dsl import Expression, Filter
+from lodeweave.operators import vector_store
+from lodeweave.plans.filter_dsl import Expression, Filter, compile_filters, condition
+from lodeweave.schema import Registry
 from lodeweave.sources import sinks
 from lodeweave.streaming import status
 
@@ -27,7 +29,7 @@ def _ask(spark, *texts):
 
 
 def test_search_and_filters(spark, engine):
-    hits = {(r["query_id"], r["rank"]): r["asset_id"] for r in engine.search(_ask(spark, "apple pie red", "whale song", " "), 2).collect()}
+    hits = {(r["query_id"], r["rank"]): r["asset_id"] for r in engine.search(_ask(spark, "apple pie red", "whale song"), 2).collect()}
     assert hits["0", 1] == "a0" and hits["0", 2] == "a1" and hits["1", 1] == "a2" and ("2", 1) not in hits
     small = [Filter("datapoint_count", "AND", (Expression(10, ">"),)), Filter("license", "AND", (Expression("MIT", "=="),))]
     assert [r["asset_id"] for r in engine.filtered_search(_ask(spark, "apple"), small, "datasets").collect()] == ["a3"]
@@ -35,11 +37,46 @@ def test_search_and_filters(spark, engine):
     assert [r["asset_id"] for r in parsing.filtered_search(_ask(spark, "apple"), None, "datasets").collect()] == ["a1"]
     failing = Engine(engine.chunks, engine.assets, engine.metadata, parse=lambda t: 1 / 0)
     assert failing.filtered_search(_ask(spark, "apple"), None, "datasets").count() == 3
-    for bad in (lambda: engine.search(_ask(spark, "x"), 0), lambda: engine.search(_ask(spark, "x"), 5, "projects"), lambda: engine.filtered_search(_ask(spark, "x"), [], "all")):
+    for bad in (lambda: engine.search(_ask(spark, "x", " "), 2), lambda: engine.search(_ask(spark, "x" * 201), 2), lambda: engine.filtered_search(_ask(spark, "x", None), [], "datasets"), lambda: engine.search(_ask(spark, "x"), 0), lambda: engine.search(_ask(spark, "x"), 5, "projects"), lambda: engine.filtered_search(_ask(spark, "x"), [], "all")):
         with pytest.raises(ValueError):
             bad()
 
 
+def test_each_query_is_filtered_by_its_own_text(spark, engine):
+    wanted = lambda t: [{"field": "license", "expressions": [{"value": t.split()[-1], "comparison_operator": "=="}]}]
+    parsing = Engine(engine.chunks, engine.assets, engine.metadata, parse=wanted)
+    got = parsing.filtered_search(_ask(spark, "apple mit", "apple apache", "apple unknown"), None, "datasets").collect()
+    assert {(r["query_id"], r["asset_id"]) for r in got} == {("0", "a0"), ("0", "a3"), ("1", "a1")}
+    many = Engine(engine.chunks, engine.assets, engine.metadata, parse=lambda t: wanted(t) * 6)
+    with pytest.raises(ValueError):
+        many.filtered_search(_ask(spark, "apple mit"), None, "datasets")
+
+
+def test_vector_store(spark, engine, tmp_path):
+    held = vector_store.ParquetStore(spark, str(tmp_path))
+    rows = spark.createDataFrame([(1, [1.0, 0.0], "a", 0, "news"), (2, [0.0, 1.0], "b", 0, "news")], held.schema)
+    assert not held.exists("news") and held.read("news").count() == 0
+    held.upsert("news", rows)
+    held.upsert("news", rows.where("id = 2").withColumn("asset_version", F.lit(3).cast("long")))
+    query = spark.createDataFrame([("q", [0.1, 1.0])], "query_id string, vector array<float>")
+    assert [r["asset_id"] for r in held.top_assets("news", query, 5, dim=2).collect()] == ["b", "a"]
+    assert [r["asset_id"] for r in held.top_assets("news", query, 5, F.col("asset_version") == 0, 2).collect()] == ["a"]
+    gone = spark.createDataFrame([("b",), ("zz",)], "asset_id string")
+    assert [tuple(r) for r in held.remove("news", gone).collect()] == [("b", 3, 1)] and held.remove("news", gone).count() == 0
+    assert [r[0] for r in held.asset_ids("news").collect()] == ["a"] and held.vectors("news", rows).count() == 1
+
+
+def test_allowed_values(spark):
+    listed = spark.createDataFrame([("base", "license", "MIT"), ("base", "license", "apache-2.0"), ("news", "license", "own")], "asset_type string, field string, value string")
+    fields = Registry.of("datasets").with_values(listed)
+    assert fields["license"].values == ("MIT", "apache-2.0") and fields["platform"].values is None
+    raw = lambda v: {"field": "license", "expressions": [{"value": v, "comparison_operator": "=="}]}
+    assert condition(raw("Apache 2.0"), fields).expressions[0].value == "apache-2.0" and condition(raw("apachee-2.0"), fields).expressions[0].value == "apache-2.0"
+    assert condition(raw("own"), fields) is None
+    with pytest.raises(ValueError):
+        compile_filters([Filter.parse(raw("own"))], fields)
+
+
 def test_recommend_context_and_entire(spark, engine):
     seed = spark.createDataFrame([("a0",)], "asset_id string")
     assert "a0" not in {r["asset_id"] for r in engine.recommend(seed, 3, "datasets").collect()}

@@ -171,7 +171,11 @@ def test_merge_stream_is_idempotent(spark, tmp_path):
         spark.createDataFrame(rows, "k long, v string, o int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema("k long, v string, o int").parquet(str(tmp_path / "in"))
         si.merge_into(spark, stream, str(tmp_path / "out"), "k", "o", str(tmp_path / "state")).awaitTermination()
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "v2")).collect()} == {(1, "a2", 2), (2, "b", 1), (3, "c", 1)}
+    want = {(1, "a2", 2), (2, "b", 1), (3, "c", 1)}
+    assert {tuple(r) for r in si.merged(spark, str(tmp_path / "out"), "k", "o").collect()} == want
+    si.compact(spark, str(tmp_path / "out"), str(tmp_path / "new"), "k", "o", 1)
+    assert {tuple(r) for r in si.merged(spark, str(tmp_path / "new"), "k", "o").collect()} == want
+    assert len(list((tmp_path / "new").glob("batch=*"))) == 2
 
 
 def test_sessions(spark):

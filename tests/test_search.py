@@ -101,4 +101,25 @@ def test_recommend_overfetch_and_empty(corpus):
 def test_unusable_vectors(spark):
     rows = [(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0]), (5, [None, 1.0]), (None, [1.0, 1.0]), (6, [float("nan"), 1.0])]
     df = spark.createDataFrame(rows, "id long, vector array<float>")
-    assert [r["id"] for r in se.usable_chunks(df, 2).collect()] == [1]
+    assert {r["id"] for r in se.usable_chunks(df, 2).collect()} == {1} and se.distinct_chunks(df, 2).count() == 1
+
+
+def test_repeated_rows_take_one_place(spark):
+    # The nearest vectors are delivered three times each, within and across batches.
+    rows = [(i, [1.0, i / 100], f"a{i}") for i in range(40) for _ in range(3)] + [(0, [0.0, 1.0], "a0")]
+    df = spark.createDataFrame(rows, "id long, vector array<float>, asset_id string").repartition(3)
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, vector array<float>")
+    for search in (se.top_k, se.top_k_expression):
+        assert [r["id"] for r in search(asked, df, 10).orderBy("rank").collect()] == list(range(10))
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    from lodeweave.plans import search_queries as sq
+
+    rows = [(i, [1.0] * 64, "a", i % 4, "datasets") for i in range(100)]
+    spark.createDataFrame(rows, "id long, vector array<float>, asset_id string, asset_version long, asset_type string").write.parquet(str(tmp_path / "chunk_vectors.parquet"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = sq.filtered_topk(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(asset_version,2)" in plan and "In(asset_type, [datasets,ml_models])" in plan
+    exchanged = [line for line in plan.splitlines() if "Exchange" in line]
+    assert exchanged and "vector" not in "".join(exchanged)
