@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.llm.splitting import plain_text
-from lodeweave.runtime import cut_lineage, forget, written
+from lodeweave.runtime import cut_lineage, dropping_shuffles, forget, written
 
 #: Buckets of the histogram of bit counts, and of a block in which it travels: 16 MB whatever the data.
 BUCKETS, BLOCK = 1 << 22, 1 << 15
@@ -211,8 +211,9 @@ def histogram(table: DataFrame) -> np.ndarray:
 
     rows = table.select("low").mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary")
     out = np.zeros((BUCKETS // BLOCK, BLOCK), np.uint32)
-    for r in rows.collect():  # at most 128 rows, 16 MB
-        out[r["block"]] = np.frombuffer(r["counts"], np.uint32)
+    with dropping_shuffles(table.sparkSession):
+        for r in rows.collect():  # at most 128 rows, 16 MB
+            out[r["block"]] = np.frombuffer(r["counts"], np.uint32)
     return out.reshape(-1)
 
 
@@ -394,7 +395,7 @@ def _blocked(key, rid, n, mask, threshold, often):
 
 
 def _index(table: DataFrame, counts: np.ndarray, partitions: Partitions, similarity: float) -> DataFrame:
-    """(key, rid, n, mask, threshold, role): each record under its partitions."""
+    """(key, rid, what): each record under its partitions; ``what`` packs size, mask, threshold and role (see ``_packed``)."""
     shared = table.sparkSession.sparkContext.broadcast((counts, partitions))
 
     def emit(batches):
@@ -403,11 +404,21 @@ def _index(table: DataFrame, counts: np.ndarray, partitions: Partitions, similar
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
                 bits, sizes = _bits(part)
-                made = _blocked(*_entries(bits, sizes, part.column(0).to_numpy(), counts, partitions, similarity))
-                for b in range(0, len(made[0]), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array((c.view(np.int64) if c.dtype == np.uint64 else c)[b : b + (1 << 16)]) for c in made], ["key", "rid", "n", "mask", "threshold", "role"])
+                key, rid, *rest = _blocked(*_entries(bits, sizes, part.column(0).to_numpy(), counts, partitions, similarity))
+                made = key.view(np.int64), rid, _packed(*rest)
+                for b in range(0, len(key), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[b : b + (1 << 16)]) for c in made], ["key", "rid", "what"])
 
-    return table.select("rid", "high", "low").mapInArrow(emit, "key long, rid long, n int, mask int, threshold byte, role byte")
+    return table.select("rid", "high", "low").mapInArrow(emit, "key long, rid long, what long")
+
+
+def _packed(n, mask, threshold, role) -> np.ndarray:
+    """Size (31 bits), mask (16), threshold + 1 (6) and role (2) in one number."""
+    return n.astype(np.int64) << 24 | mask.astype(np.int64) << 8 | (threshold.astype(np.int64) + 1) << 2 | role
+
+
+def _unpacked(what: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return (what >> 24).astype(np.int32), (what >> 8 & 0xFFFF).astype(np.int32), (what >> 2 & 0x3F).astype(np.int8) - np.int8(1), (what & 3).astype(np.int8)
 
 
 def _probe(entries: DataFrame, similarity: float) -> DataFrame:
@@ -418,7 +429,8 @@ def _probe(entries: DataFrame, similarity: float) -> DataFrame:
 
     def probe(batches):
         for table in whole_keys(batches):
-            key, rid, n, mask, threshold, role = (table[c].to_numpy() for c in ("key", "rid", "n", "mask", "threshold", "role"))
+            key, rid, what = (table[c].to_numpy() for c in ("key", "rid", "what"))
+            n, mask, threshold, role = _unpacked(what)
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[start, len(key)])
             first, members = np.repeat(start, size), np.repeat(size, size)

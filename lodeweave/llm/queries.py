@@ -76,6 +76,7 @@ def p6_ids(spark, d):
 
 
 def _sized(spark, d):
+    """Documents with their tokens; the chance to be sampled beyond the certain copies goes by their size."""
     docs, weights = table(spark, d, "documents"), table(spark, d, "source_weights")
     return mixing.sized(docs, weights, tokenize.token_count(spark, F.col("text"))), weights
 
