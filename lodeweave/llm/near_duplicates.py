@@ -1,7 +1,7 @@
 """Near-duplicate records by generalised pigeonhole.
 
 A record is a bit vector: one bit per word shingle of the whole collection
-(64-bit hashes; nothing is cut off). If the larger of two records y is similar to
+(48-bit hashes; no shingle is left out). If the larger of two records y is similar to
 the smaller one x by J or more, at most t = n - ceil(2J / (1 + J) n) of the n bits
 of x are missing in y. The dimensions are grouped into partitions of correlated
 bits. For each x a dynamic program gives every partition its own threshold, -1 or
@@ -61,7 +61,7 @@ _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np
 
 
 class Shingler:
-    """Sorted distinct shingle hashes of texts."""
+    """Sorted distinct 48-bit shingle hashes of texts."""
 
     def __init__(self, width: int, least_words: int) -> None:
         self.width, self.least = width, least_words
@@ -95,6 +95,7 @@ class Shingler:
             out ^= out >> np.uint64(29)
         out *= _M2
         out ^= out >> np.uint64(32)
+        out >>= np.uint64(16)
         bits, at = [], 0
         for size in sizes:  # what reaches over the end of a record is left out
             own = np.sort(out[at : at + max(0, size - self.width + 1)])
@@ -134,9 +135,9 @@ _VECTORS = "rid long, n int, high binary, low binary, " + ", ".join(f"{c} long"
 
 
 def vectors(base: DataFrame, width: int, least: int) -> DataFrame:
-    """(rid, n, high, low, s0..): size, bits (upper halves, in ascending order, and lower halves) and parity sketch of each distinct record; written out once.
+    """(rid, n, high, low, s0..): size, bits (upper 32 binary digits, in ascending order, and lower 16) and parity sketch of each distinct record; written out once.
 
-    The upper halves alone verify pairs: two different shingles of a pair agree there once in 4 billion.
+    The upper digits alone verify pairs: two different shingles of a pair agree there once in 4 billion.
     """
 
     def shingle(batches):
@@ -151,7 +152,7 @@ def vectors(base: DataFrame, width: int, least: int) -> DataFrame:
             at = ((flat * _M3) >> np.uint64(55)).astype(np.int64) + np.repeat(np.arange(len(bits)) * 64 * SKETCH_WORDS, sizes)
             parity = (np.bincount(at, minlength=len(bits) * 64 * SKETCH_WORDS) & 1).astype(np.uint8)
             sketch = np.packbits(parity.reshape(len(bits), -1), axis=1).view(np.int64)
-            halves = [_rows([(b >> np.uint64(32)).astype(np.uint32) for b in bits]), _rows([b.astype(np.uint32) for b in bits])]
+            halves = [_rows([(b >> np.uint64(16)).astype(np.uint32) for b in bits]), _rows([b.astype(np.uint16) for b in bits])]
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in every], pa.int64()), pa.array(sizes, pa.int32()), *halves, *[pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(SKETCH_WORDS)]], ["rid", "n", "high", "low", *_SKETCH])
 
         for batch in batches:
@@ -186,8 +187,8 @@ def vectors(base: DataFrame, width: int, least: int) -> DataFrame:
 def _bits(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """All bits of a batch (columns high, low last), and how many each record has."""
     high, sizes = _flat(batch.column("high"), np.uint32)
-    low, _ = _flat(batch.column("low"), np.uint32)
-    return high.astype(np.uint64) << np.uint64(32) | low, sizes
+    low, _ = _flat(batch.column("low"), np.uint16)
+    return high.astype(np.uint64) << np.uint64(16) | low, sizes
 
 
 def histogram(table: DataFrame) -> np.ndarray:
@@ -209,7 +210,7 @@ def histogram(table: DataFrame) -> np.ndarray:
             total += np.frombuffer(zlib.decompress(blob), np.uint32)
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
-    rows = table.select("low").mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary")
+    rows = table.select("high").mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary")
     out = np.zeros((BUCKETS // BLOCK, BLOCK), np.uint32)
     with dropping_shuffles(table.sparkSession):
         for r in rows.collect():  # at most 128 rows, 16 MB
@@ -339,7 +340,7 @@ def _entries(bits: np.ndarray, sizes: np.ndarray, rids: np.ndarray, counts: np.n
     """(key, rid, n, mask, threshold, estimate) of the partitions of a batch of records; threshold -1: not probed."""
     n = len(sizes)
     row = np.repeat(np.arange(n), sizes)
-    freq = counts[(bits & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.float64)
+    freq = counts[(bits >> np.uint64(16) & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.float64)
     part, place = partitions.find(bits)
     alone = np.flatnonzero(part < 0)
     alone = alone[np.lexsort((bits[alone], freq[alone], row[alone]))]
@@ -362,7 +363,7 @@ def _entries(bits: np.ndarray, sizes: np.ndarray, rids: np.ndarray, counts: np.n
     probed = rank < singles[row[alone]]
     shared = freq[alone] > 1  # a bit that one record holds finds nobody
     alone, probed = alone[shared], probed[shared]
-    key = np.concatenate([bits[alone], (group_part.astype(np.uint64) + np.uint64(1)) * _M2 ^ _M3])
+    key = np.concatenate([bits[alone] * _M1, (group_part.astype(np.uint64) + np.uint64(1)) * _M2 ^ _M3])
     at = np.concatenate([row[alone], group_row])
     mask = np.concatenate([np.ones(len(alone), np.int64), mask])
     threshold = np.concatenate([probed.astype(np.int64) - 1, got - 1])
