@@ -20,8 +20,10 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,15 +31,36 @@ from pyspark.sql import functions as F
 MAX_ENTRIES = 200_000
 #: Typed words above this length are compared with the listed words of about their length; making their deletions would cost more.
 LONG = 24
-#: Words around a value that do not belong to it.
-LABELS = r"(?:licen[cs]es?|lizenz|licence type|spdx|tasks?|task[_ ]ids?|task[_ ]categor(?:y|ies)|aufgabe|tarea|t[aâ]che|ml|category|released under|available under|published under|under|see|type)"
-TAILS = r"(?:full text|only|unmodified|international|unported|supervised|unsupervised|licen[cs]e|problem|task|tasks|model|models|or later|deed|legalcode|text)"
-#: The remarks long enough to be known when misspelled.
-LONG_TAILS = ("unmodified", "international", "supervised", "licence", "problem")
-EDITION = r"(?:version|ver|v|edition|ed|release|rev)"
-#: Words that may be left out of a licence's name.
-OPTIONAL = {"licence", "license", "general", "use", "the", "agreement", "sharing"}
-FILLERS = {"for", "of", "on", "in", "the", "a"}
+
+
+@dataclass(frozen=True)
+class Wording:
+    """What people write around a value; every part is a parameter, the defaults are fixed values.
+
+    ``labels`` stand before a value and do not belong to it, ``tails`` behind it;
+    ``long_tails`` are those long enough to be known when misspelled. ``edition`` are words for an
+    edition, ``optional`` words that may be left out of a licence's name, ``fillers`` words that turn a name around.
+    """
+
+    labels: str = r"licen[cs]es?|lizenz|licence type|spdx|tasks?|task[_ ]ids?|task[_ ]categor(?:y|ies)|aufgabe|tarea|t[aâ]che|ml|category|released under|available under|published under|under|see|type"
+    lead_ins: str = r"the|released under|available under|published under|lizenz|licence|license|aufgabe"
+    tails: str = r"full text|only|unmodified|international|unported|supervised|unsupervised|licen[cs]e|problem|task|tasks|model|models|or later|deed|legalcode|text"
+    long_tails: tuple[str, ...] = ("unmodified", "international", "supervised", "licence", "problem")
+    edition: str = r"version|ver|v|edition|ed|release|rev"
+    optional: frozenset[str] = frozenset({"licence", "license", "general", "use", "the", "agreement", "sharing"})
+    fillers: frozenset[str] = frozenset({"for", "of", "on", "in", "the", "a"})
+
+
+WORDING = Wording()
+
+
+@lru_cache(maxsize=16)
+def _patterns(w: Wording) -> tuple[re.Pattern, re.Pattern, re.Pattern, re.Pattern]:
+    """Label, tail, tail alone, and edition word."""
+    return (
+        re.compile(rf"^\W*(?:{w.labels})\s*[:=/|]\s*|^\W*(?:{w.lead_ins})\s+(?:the\s+)?", re.I),
+        re.compile(rf"[\s,;(\[\-]+(?:{w.tails})\W*$", re.I), re.compile(rf"\W*(?:{w.tails})\W*", re.I), re.compile(rf"(?:{w.edition})"),
+    )
 
 
 def fold(text: str) -> str:
@@ -55,42 +78,87 @@ def words(text: str, camel: bool = True) -> list[str]:
 
 
 def distance(a: str, b: str, limit: float) -> float:
-    """Weighted Damerau-Levenshtein distance: doubling a letter or dropping one of a pair 0.6, a transposition 0.7, other edits 1.
+    """Weighted Damerau-Levenshtein distance: doubling a letter or dropping one of a pair 0.6, a transposition 0.85, other edits 1.
 
-    ``limit`` + 1 stands for anything beyond the limit.
+    ``limit`` + 1 stands for anything beyond the limit. Each letter that one string is ahead costs
+    0.6 at least, so only a band of the table can matter.
     """
     if a == b:
         return 0.0
-    if abs(len(a) - len(b)) * 0.6 > limit:
-        return limit + 1
+    m, n, beyond = len(a), len(b), limit + 1
+    band = int(limit / 0.6 + 1e-9)
+    if abs(m - n) > band:
+        return beyond
+    adds = [1.0] + [0.6 if j and b[j] == b[j - 1] else 1.0 for j in range(n)]
     before: list[float] = []
-    row = [0.0] * (len(b) + 1)
-    for j in range(1, len(b) + 1):
-        row[j] = row[j - 1] + 1
-    for i in range(1, len(a) + 1):
-        now = [row[0] + 1] + [0.0] * len(b)
-        drop = 0.6 if i > 1 and a[i - 1] == a[i - 2] else 1.0
-        low = now[0]
-        for j in range(1, len(b) + 1):
-            add = 0.6 if j > 1 and b[j - 1] == b[j - 2] else 1.0
-            cost = min(row[j] + drop, now[j - 1] + add, row[j - 1] + (a[i - 1] != b[j - 1]))
-            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                cost = min(cost, before[j - 2] + 0.7)
-            now[j] = cost
-            low = min(low, cost)
-        if low > limit + 1:
-            return limit + 1
+    row = [float(j) if j <= band else beyond for j in range(n + 1)]
+    for i in range(1, m + 1):
+        x, low, high = a[i - 1], i - band, i + band
+        y = a[i - 2] if i > 1 else ""
+        drop = 0.6 if x == y else 1.0
+        now = [beyond] * (n + 1)
+        best = beyond
+        if low <= 0:
+            low = 0
+            best = now[0] = row[0] + 1.0
+        last = now[0] if low == 0 else beyond
+        for j in range(max(1, low), min(n, high) + 1):
+            c = b[j - 1]
+            cost = row[j - 1] if x == c else row[j - 1] + 1.0
+            other = row[j] + drop
+            if other < cost:
+                cost = other
+            other = last + adds[j]
+            if other < cost:
+                cost = other
+            if j > 1 and y == c and x == b[j - 2] and i > 1:
+                other = before[j - 2] + 0.85
+                if other < cost:
+                    cost = other
+            now[j] = last = cost
+            if cost < best:
+                best = cost
+        if best > beyond:
+            return beyond
         before, row = row, now
-    return row[-1]
+    return min(row[n], beyond)
+
+
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = np.array([pow(_BASE, k, 1 << 64) for k in range(LONG + 1)], np.uint64)
+_INVERSE = np.array([pow(pow(_BASE, -1, 1 << 64), k, 1 << 64) for k in range(LONG + 1)], np.uint64)
 
 
-def deletions(word: str, most: int) -> set[str]:
-    """The word and all forms with up to ``most`` letters deleted."""
-    out, edge = {word}, {word}
-    for _ in range(most):
-        edge = {w[:i] + w[i + 1 :] for w in edge for i in range(len(w))}
-        out |= edge
-    return out
+@lru_cache(maxsize=64)
+def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
+def deletions(word: str, most: int) -> np.ndarray:
+    """Hashes of the word and of all its forms with up to ``most`` (at most two) letters deleted; longer words than ``LONG`` give none.
+
+    A form's hash is put together from the hashes of the parts left of, between and right of what is deleted.
+    """
+    n = len(word)
+    if n > LONG:
+        return np.empty(0, np.uint64)
+    c = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    ahead = np.zeros(n + 1, np.uint64)  # of the first letters
+    ahead[1:] = np.cumsum(c * _INVERSE[:n], dtype=np.uint64) * _POWERS[:n]
+    part = lambda a, b: ahead[b] - ahead[a] * _POWERS[b - a]
+    out = [ahead[n:]]
+    if most > 0 and n > 0:
+        i = np.arange(n)
+        out.append(ahead[i] * _POWERS[n - 1 - i] + part(i + 1, np.full(n, n)))
+    if most > 1 and n > 1:
+        i, j = _pairs(n)
+        out.append(ahead[i] * _POWERS[n - 2 - i] + part(i + 1, j) * _POWERS[n - 1 - j] + part(j + 1, np.full(len(j), n)))
+    return np.concatenate(out)
+
+
+def collapsed(word: str) -> str:
+    """The word with each run of one letter as one letter."""
+    return re.sub(r"(.)\1+", r"\1", word)
 
 
 def _allowed(word: str) -> float:
@@ -99,44 +167,57 @@ def _allowed(word: str) -> float:
 
 
 class Lexicon:
-    """Symmetric-delete index over the words of the reference list."""
+    """Symmetric-delete index over the words of the reference list, in compact form: sorted hashes of the forms with the words' numbers.
+
+    Two edits need no more than two deletions on either side. Three edits within the bound of 2 can only be
+    three doubled or dropped letters of pairs (a transposition among them would cost more); such words
+    are equal once each run of one letter is one letter, and that form is indexed, too.
+    """
 
     def __init__(self, vocabulary) -> None:
-        self.vocabulary = set(vocabulary)
-        self.index: dict[str, list[str]] = defaultdict(list)
-        for word in self.vocabulary:
-            for form in deletions(word, 2 if len(word) >= 6 else 1 if len(word) >= 4 else 0):
-                self.index[form].append(word)
+        self.words = sorted(set(vocabulary))
+        forms, owners = [], []
+        for number, word in enumerate(self.words):
+            own = np.unique(self._forms(word, 2 if len(word) >= 6 else 1 if len(word) >= 4 else 0, len(word) >= 6))
+            forms.append(own)
+            owners.append(np.full(len(own), number, np.int32))
+        hashes = np.concatenate(forms) if forms else np.empty(0, np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owners = hashes[order], (np.concatenate(owners) if owners else np.empty(0, np.int32))[order]
         self.by_length: dict[int, list[tuple[str, Counter]]] = defaultdict(list)
-        for word in self.vocabulary:
+        for word in self.words:
             self.by_length[len(word)].append((word, Counter(word)))
         self.memo: dict[str, list[tuple[str, float]]] = {}
 
-    def _candidates(self, word: str):
+    @staticmethod
+    def _forms(word: str, most: int, runs: bool) -> np.ndarray:
+        forms = deletions(word, most)
+        return np.append(forms, ~deletions(collapsed(word), 0)) if runs and len(word) <= LONG else forms
+
+    def _candidates(self, word: str) -> list[str]:
         """Listed words that may lie within their bound of a typed word."""
         if len(word) <= LONG:
-            for form in deletions(word, 2 if len(word) >= 5 else 1 if len(word) >= 3 else 0):
-                yield from self.index.get(form, ())
-            return
-        letters = Counter(word)
+            forms = self._forms(word, 2 if len(word) >= 5 else 1 if len(word) >= 3 else 0, len(word) >= 3)
+            low, high = np.searchsorted(self.hashes, forms, "left"), np.searchsorted(self.hashes, forms, "right")
+            return [self.words[k] for k in sorted({k for a, b in zip(low, high) if a < b for k in self.owners[a:b].tolist()})]
+        letters, out = Counter(word), []
         # The cheapest edit costs 0.6, so three are the most within a bound of 2; each adds or takes one letter at most.
         for n in range(len(word) - 3, len(word) + 4):
             for candidate, own in self.by_length.get(n, ()):
-                if (letters - own).total() <= 3 and (own - letters).total() <= 3:
-                    yield candidate
+                if sum(abs(letters[c] - k) for c, k in own.items()) <= 6 and (letters - own).total() <= 3 and (own - letters).total() <= 3:
+                    out.append(candidate)
+        return out
 
     def near(self, word: str) -> list[tuple[str, float]]:
         """(word of the list, distance) of every word within its bound."""
         known = self.memo.get(word)
         if known is None:
-            found = {}
+            known = []
             for candidate in self._candidates(word):
-                if candidate not in found:
-                    limit = _allowed(candidate)
-                    d = distance(word, candidate, limit)
-                    if d <= limit:
-                        found[candidate] = d
-            known = list(found.items())
+                limit = _allowed(candidate)
+                d = distance(word, candidate, limit)
+                if d <= limit:
+                    known.append((candidate, d))
             if len(self.memo) < 200_000:
                 self.memo[word] = known
         return known
@@ -159,17 +240,18 @@ class Matcher:
     ``entries``: (valid_id, value, title or None, frequency of the literal value).
     """
 
-    def __init__(self, entries: list[tuple[int, str, str | None, int]]) -> None:
+    def __init__(self, entries: list[tuple[int, str, str | None, int]], wording: Wording = WORDING) -> None:
+        self.wording = wording
         self.frequency = {v: n for v, _, _, n in entries}
         self.literal = {value for _, value, _, _ in entries}
         #: name words (sorted forms too) -> edition -> valid_id
-        self.names: dict[tuple[str, ...], dict[str, set[int]]] = defaultdict(lambda: defaultdict(set))
+        self.names: dict[tuple[str, ...], dict[str, set[int]]] = {}
         same: dict[str, str] = {}
         for valid_id, value, title, _ in entries:
             for spelling in filter(None, (value, title)):
                 forms, edition = self._split(fold(spelling), title is not None)
                 for form in forms:
-                    self.names[form][edition].add(valid_id)
+                    self.names.setdefault(form, {}).setdefault(edition, set()).add(valid_id)
                     for w in form:
                         for v in _variants(w):
                             same.setdefault(v, w)
@@ -185,21 +267,19 @@ class Matcher:
         self.joined_lexicon = Lexicon(self.joined)
         self.beginnings = {form[:n] for form in self.names for n in range(len(form) + 1)}
 
-    @classmethod
-    def _split(cls, text: str, licence: bool) -> tuple[set[tuple[str, ...]], str]:
+    def _split(self, text: str, licence: bool) -> tuple[set[tuple[str, ...]], str]:
         """Forms of the name and edition ("" if none) of a listed spelling."""
         m = re.search(r"(?:^|[\s\-_])(\d+(?:\.\d+)*)$", text)
         name = text[: m.start()] if m else text
-        forms = cls._forms(tuple(words(name)), licence) | cls._forms(tuple(words(name, camel=False)), licence)
+        forms = self._forms(tuple(words(name)), licence) | self._forms(tuple(words(name, camel=False)), licence)
         return forms, m[1] if m else ""
 
-    @staticmethod
-    def _forms(name: tuple[str, ...], licence: bool) -> set[tuple[str, ...]]:
+    def _forms(self, name: tuple[str, ...], licence: bool) -> set[tuple[str, ...]]:
         """The name, without its optional words, and with head and tail turned."""
         forms = {name}
         if licence:
             core = tuple(w for w in name if w not in {"licence", "license"})
-            forms |= {core, tuple(w for w in name if w not in OPTIONAL)}
+            forms |= {core, tuple(w for w in name if w not in self.wording.optional)}
         return {f for f in forms if f}
 
     def _edition(self, editions: dict[str, set[int]], edition: str) -> set[int]:
@@ -227,9 +307,9 @@ class Matcher:
         """The typed words as they stand, and with their parts turned: X of Y, X (Y), X on Y."""
         yield typed
         for i, w in enumerate(typed):
-            if w in FILLERS and 0 < i < len(typed) - 1:
+            if w in self.wording.fillers and 0 < i < len(typed) - 1:
                 yield typed[i + 1 :] + typed[:i]
-        yield [w for w in typed if w not in FILLERS]
+        yield [w for w in typed if w not in self.wording.fillers]
 
     def _names(self, typed: list[str]) -> dict[tuple[str, ...], float]:
         """Listed names that the typed words mean, with their distance."""
@@ -267,8 +347,8 @@ class Matcher:
         if typed is None:
             return None
         best: dict[int, float] = {}
-        for text in _readings_of(fold(typed)):
-            for name_words, edition in _editions(text):
+        for text in _readings_of(fold(typed), self.wording):
+            for name_words, edition in _editions(text, self.wording):
                 for name, d in self._names(name_words).items():
                     for valid_id in self._edition(self.names[name], edition):
                         best[valid_id] = min(d, best.get(valid_id, 99.0))
@@ -296,13 +376,11 @@ def _products(readings: list[list[tuple[str, float]]], beginnings: set[tuple[str
 
 
 _URL = re.compile(r"^\W*(?:https?://)?(?:www\.)?[\w-]+(?:\.[a-z]+)+/(?P<path>\S+?)\W*$", re.I)
-_LABEL = re.compile(rf"^\W*(?:{LABELS})\s*[:=/|]\s*|^\W*(?:the|released under|available under|published under|lizenz|licence|license|aufgabe)\s+(?:the\s+)?", re.I)
-_TAIL = re.compile(rf"[\s,;(\[\-]+(?:{TAILS})\W*$", re.I)
 _LAST = re.compile(r"[\s,;(\[\-]+([^\W\d_]{5,})\W*$")
 _TURNED = re.compile(r"^(?P<a>[^()]+)\((?P<b>[^()]+)\)(?P<rest>.*)$")
 
 
-def _readings_of(text: str):
+def _readings_of(text: str, wording: Wording = WORDING):
     """The value cleaned of labels, quotes and remarks, in the order of how much is taken away."""
     text = " ".join(text.split())
     url = _URL.match(text)
@@ -311,19 +389,20 @@ def _readings_of(text: str):
         path = re.sub(r"/(?:legalcode|deed|index)(?:\.\w+)?$", "", path)
         yield re.sub(r"/", " ", path)
         return
+    label, tail, alone, _ = _patterns(wording)
     seen = set()
     while True:  # each layer taken away makes the text shorter
         if text and text not in seen:
             seen.add(text)
             yield text
             turned = _TURNED.match(text)
-            if turned and not re.fullmatch(rf"\W*(?:{TAILS})\W*", turned["b"], re.I):
+            if turned and not alone.fullmatch(turned["b"]):
                 yield f"{turned['b']} {turned['a']} {turned['rest']}"
-        shorter = _LABEL.sub("", text, count=1)
-        cut = _TAIL.sub("", shorter, count=1)
+        shorter = label.sub("", text, count=1)
+        cut = tail.sub("", shorter, count=1)
         if cut == shorter:
             last = _LAST.search(shorter)
-            if last and any(distance(last[1].lower(), t, 2.0) <= 2.0 for t in LONG_TAILS):
+            if last and any(distance(last[1].lower(), t, 2.0) <= 2.0 for t in wording.long_tails):
                 cut = shorter[: last.start()]
         shorter = cut.strip(" \t\"'.,;:*!?")
         if shorter == text:
@@ -331,7 +410,7 @@ def _readings_of(text: str):
         text = shorter
 
 
-def _editions(text: str):
+def _editions(text: str, wording: Wording = WORDING):
     """(name words, edition) of a cleaned value; an edition stands at the end, perhaps behind a word for it."""
     text = text.strip(" \t\"'.,;:*!?()[]{}")
     m = text[-1:].isdigit() and re.search(r"(?P<name>.*?)(?P<cue>[^\W\d_]*)[\s.,_\-]*(?<![\d.])(?P<edition>\d+(?:\.\d+)*)$", text)
@@ -340,7 +419,7 @@ def _editions(text: str):
         return
     name, cue = m["name"], m["cue"].lower()
     edition = m["edition"]
-    if cue and _is_cue(cue):
+    if cue and _is_cue(cue, wording):
         yield from ((w, edition) for w in _cuts(name))
     yield from ((w, edition) for w in _cuts(name + m["cue"]))
 
@@ -352,9 +431,9 @@ def _cuts(text: str) -> list[list[str]]:
 
 
 @lru_cache(maxsize=4096)
-def _is_cue(word: str) -> bool:
+def _is_cue(word: str, wording: Wording = WORDING) -> bool:
     """A word for edition, or a misspelling of "version"."""
-    return re.fullmatch(EDITION, word) is not None or (len(word) >= 5 and distance(word, "version", 2.0) <= 2.0)
+    return _patterns(wording)[3].fullmatch(word) is not None or (len(word) >= 5 and distance(word, "version", 2.0) <= 2.0)
 
 
 def reference(valid_values: DataFrame, field: str | None = None, asset_type: str = "base") -> list[tuple]:
@@ -368,28 +447,29 @@ def reference(valid_values: DataFrame, field: str | None = None, asset_type: str
     return [tuple(r) for r in rows]
 
 
-@lru_cache(maxsize=4)
-def _matchers(entries: tuple) -> dict[str, Matcher]:
+def matchers(entries: list[tuple], wording: Wording = WORDING) -> dict[str, Matcher]:
+    """A matcher for each field of (field, valid_id, value, title, frequency) rows."""
     by_field = defaultdict(list)
     for field, *rest in entries:
         by_field[field].append(tuple(rest))
-    return {field: Matcher(rest) for field, rest in by_field.items()}
+    return {field: Matcher(rest, wording) for field, rest in by_field.items()}
 
 
-def map_values(values: DataFrame, valid_values: DataFrame, asset_type: str = "base") -> DataFrame:
+def map_values(values: DataFrame, valid_values: DataFrame, asset_type: str = "base", wording: Wording = WORDING) -> DataFrame:
     """(field, original_value, literal, valid_id) of every distinct typed value; valid_id is null where none is meant."""
     spark = values.sparkSession
     listed = reference(valid_values, asset_type=asset_type)
     typed = values.select("field", "original_value").groupBy("field", "original_value").agg(F.count("*").alias("n"))
     pool = spark.createDataFrame([(f, v, i) for f, i, v, _ in listed], "field string, original_value string, _valid long")
     counts = {(r["field"], r["original_value"]): r["n"] for r in typed.join(pool.select("field", "original_value").distinct(), ["field", "original_value"]).collect()} if listed else {}  # at most one row per entry
-    entries = tuple(sorted((f, i, v, t, counts.get((f, v), 0)) for f, i, v, t in ((f, i, v, t or "") for f, i, v, t in listed)))
-    shared = spark.sparkContext.broadcast(tuple((f, i, v, t or None, n) for f, i, v, t, n in entries))
+    entries = sorted((f, i, v, t or "", counts.get((f, v), 0)) for f, i, v, t in listed)
+    # The dictionary is made once, here, and sent as it is.
+    shared = spark.sparkContext.broadcast(matchers([(f, i, v, t or None, n) for f, i, v, t, n in entries], wording))
 
     @F.pandas_udf("long")
     def find(field: pd.Series, value: pd.Series) -> pd.Series:
-        matchers = _matchers(shared.value)
-        return pd.Series([matchers[f].match(v) if f in matchers and isinstance(v, str) else None for f, v in zip(field, value)], dtype="Int64")
+        known = shared.value
+        return pd.Series([known[f].match(v) if f in known and isinstance(v, str) else None for f, v in zip(field, value)], dtype="Int64")
 
     # Distinct values are few bytes but much work each, so they are spread evenly before they are matched.
     spread = typed.select("field", "original_value").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -418,4 +498,4 @@ def misses(values: DataFrame, valid_values: DataFrame) -> DataFrame:
     rows = values.select("value_id", "field", "original_value").distinct()
     counted = rows.groupBy("field", "original_value").agg(F.count("*").alias("rows"))
     mapped = map_values(rows, valid_values).where("valid_id is null").select(F.col("field").alias("_f"), F.col("original_value").alias("_o"))
-    return counted.join(mapped, F.col("field").eqNullSafe(F.col("_f")) & F.col("original_value").eqNullSafe(F.col("_o")), "left_semi")
+    return counted.join(mapped, F.col("field").eqNullSafe(F.col("_f")) & F.col("original_value").eqNullSafe(F.col("_o")), "left_semi").orderBy("field", F.desc("rows"), "original_value")

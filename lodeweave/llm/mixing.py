@@ -122,9 +122,13 @@ def pareto_rank(seed: int, p: Column) -> Column:
 
 def mix(docs: DataFrame, weights: DataFrame, seed: int = 7) -> DataFrame:
     """(doc_id, source, tokens, copies) of the mix; documents that are not used give no row."""
-    per_source = plan(docs, weights).select("source", "whole", "part", "rest")
+    return _mixed(docs, cut_lineage(plan(docs, weights)), seed)
+
+
+def _mixed(docs: DataFrame, planned: DataFrame, seed: int) -> DataFrame:
+    per_source = planned.select("source", "whole", "part", "rest")
     rows = docs.join(per_source, "source")
-    ranked = rows.where("part > 0 and tokens > 0").join(scales(docs, per_source), "source", "left")
+    ranked = rows.where("part > 0 and tokens > 0").join(cut_lineage(scales(docs, per_source)), "source", "left")
     ranked = ranked.withColumn("_rank", pareto_rank(seed, F.coalesce(F.col("scale") * F.col("weight"), F.lit(0.0)))).withColumn("_zero", F.lit(0).cast("long"))
     sure, edge = _cut(ranked, F.floor(F.col("_rank") * BUCKETS).cast("long"), "_zero")
     surer, edge = _cut(edge, F.floor(F.col("_rank") * BUCKETS * BUCKETS).cast("long"), "_done")
@@ -137,8 +141,9 @@ def mix(docs: DataFrame, weights: DataFrame, seed: int = 7) -> DataFrame:
 
 def shares(docs: DataFrame, weights: DataFrame, seed: int = 7) -> DataFrame:
     """Report of each listed source: target share, tokens available and used, share reached, largest use, and whether it falls short though all is used."""
-    used = mix(docs, weights, seed).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies"))
-    out = plan(docs, weights).join(used, "source", "left").na.fill(0, ["mixed_tokens", "most_copies"])
+    planned = cut_lineage(plan(docs, weights))  # as many rows as sources, and read at every step
+    used = _mixed(docs, planned, seed).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies"))
+    out = planned.join(used, "source", "left").na.fill(0, ["mixed_tokens", "most_copies"])
     used_up = (F.col("mixed_tokens") >= F.col("available") * F.col("max_repeats")) & (F.col("mixed_tokens") < F.col("wanted"))
     everything = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1)))  # as many rows as sources
     share = F.when(everything > 0, F.col("mixed_tokens") / everything).otherwise(0.0)

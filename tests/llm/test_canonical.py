@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from lodeweave.llm import canonical as cn
@@ -19,7 +21,7 @@ NONE = [("license", x) for x in ("olc-by-5.0", "olc", "olc-by", "unknown", "", "
 
 @pytest.fixture(scope="module")
 def matchers():
-    return cn._matchers(tuple((f, i, v, t, 1) for i, _, f, v, t in LIST))
+    return cn.matchers(list((f, i, v, t, 1) for i, _, f, v, t in LIST))
 
 
 @pytest.mark.parametrize("field,value,want", MEANT)
@@ -44,7 +46,7 @@ def test_rows(spark):
 
 
 def test_distance():
-    assert cn.distance("abc", "acb", 3) == pytest.approx(0.7)
+    assert cn.distance("abc", "acb", 3) == pytest.approx(0.85)
     assert cn.distance("abc", "abbc", 3) == pytest.approx(0.6)
     assert cn.distance("abc", "xyz", 1) == 2
 
@@ -73,3 +75,34 @@ def test_digits_of_an_unlisted_edition_are_no_slips():
     m = cn.Matcher([(1, "thornbury-artistic-2.0", "Thornbury Artistic Licence 2.0", 0)])
     assert m.match("thornbury-artistic-0.9 licence") is None
     assert m.match("thornbury-artistic-2.0 licence") == 1 and m.match("thornburyartisticlicense 2.0") == 1
+
+
+def test_three_doubled_letters_are_found():
+    lexicon = cn.Lexicon(["misspelling", "committee", "aabbccdd"])
+    assert dict(lexicon.near("mmissspellingg"))["misspelling"] < 2
+
+
+def test_every_word_within_its_bound_is_found():
+    rng = random.Random(4)
+    lexicon = cn.Lexicon(["misspelling", "abbba", "aabbccdd", "transposition", "committee", "abcdef", "été"])
+    for word in lexicon.words:
+        for _ in range(400):
+            typed = list(word)
+            for _ in range(rng.randrange(1, 4)):
+                k, how = rng.randrange(len(typed)), rng.randrange(5)
+                if how < 3:
+                    typed.insert(k, typed[k])
+                elif how == 3 and k + 1 < len(typed):
+                    typed[k], typed[k + 1] = typed[k + 1], typed[k]
+                else:
+                    typed[k] = rng.choice("abcdefgté")
+            typed = "".join(typed)
+            want = {(w, d) for w in lexicon.words if (d := cn.distance(typed, w, cn._allowed(w))) <= cn._allowed(w)}
+            assert set(lexicon.near(typed)) == want, typed
+
+
+def test_wording_is_a_parameter():
+    entries = [(1, "olc-by-4.0", None, 0)]
+    assert cn.Matcher(entries).match("Rechte: OLC-BY-4.0") is None
+    wording = cn.Wording(labels=cn.WORDING.labels + "|rechte")
+    assert cn.Matcher(entries, wording).match("Rechte: OLC-BY-4.0") == 1
