@@ -58,6 +58,8 @@ ROOTS = {
 EXPONENTS = {"": 1, "1": 1, "2": 2, "3": 3, "²": 2, "³": 3, "^2": 2, "^3": 3}
 #: Log prior of each dimension for a field that holds sizes of files.
 SIZE_PRIORS = {"information": 0.0, "length": -8.0, "mass": -8.0, "time": -8.0, "frequency": -8.0}
+#: No dimension is likelier than another, as behind a stroke.
+NEUTRAL = tuple({d: 0.0 for d in SIZE_PRIORS}.items())
 #: In information every prefix is a power of 1,024; elsewhere of 1,000.
 BASES = {"information": 1024.0}
 
@@ -130,6 +132,19 @@ def parse_unit(spelling: str, priors: tuple[tuple[str, float], ...] = tuple(SIZE
     return best
 
 
+def parse_compound(spelling: str, priors: tuple[tuple[str, float], ...] = tuple(SIZE_PRIORS.items())) -> Unit | None:
+    """A product or quotient of units, such as ``MB/s``, ``kg·m²`` or ``GB per hour``; its dimension names the parts in order."""
+    parts = re.split(r"\s*(/|·|\*|\bper\b)\s*", spelling.strip(), flags=re.I)
+    whole = parse_unit(parts[0], priors)
+    for sign, part in zip(parts[1::2], parts[2::2]):
+        unit = parse_unit(part, NEUTRAL)
+        if whole is None or unit is None:
+            return None
+        over = sign in "/" or sign.lower() == "per"
+        whole = Unit(f"{whole.dimension}{'/' if over else '·'}{unit.dimension}", whole.factor / unit.factor if over else whole.factor * unit.factor, 1, whole.score + unit.score)
+    return whole
+
+
 _SPACES = "      　"
 _GROUP = f"[{_SPACES}'’]"
 _NUMBER = rf"\d{{1,3}}(?:{_GROUP}\d{{3}}(?!\d))+(?:[.,]\d+)?|\d[\d.,]*(?:[eE][+-]?\d+)?"
@@ -140,8 +155,10 @@ _BARE = re.compile(rf"(?:[~≈]|(?:about|approx|approximately|roughly|ca|circa|a
 _BOUND = re.compile(r"[<>≤≥]|\b(?:up to|at least|at most|less than|more than|over|under|below|above|max|min|maximum|minimum|bis zu|jusqu|hasta)\b", re.I)
 _RANGE = re.compile(rf"\d[{_SPACES}]*[\w]*[{_SPACES}]*(?:-|–|—|\.\.+|\bto\b|\band\b|\bbis\b)[{_SPACES}]*[~≈]?\d|\bbetween\b", re.I)
 _NEGATIVE = re.compile(rf"(?:^|[\s(~≈])[-−–][{_SPACES}]*\d")
-#: What a clause about something other than the size of the file speaks of.
-_OTHER = re.compile(r"\b(?:memory|ram|disk|card|gpu|vram|bandwidth|per second|rows|bundle|sampled|curator|folders|cache)\b|/s\b", re.I)
+#: What holds or carries data: an amount beside one of these is its capacity and not the size of an item.
+HOLDERS = r"memory|ram|vram|disks?|drives?|cards?|gpus?|cpus?|caches?|bandwidth"
+_HOLDERS = re.compile(rf"\b(?:{HOLDERS})\b", re.I)
+_PER = re.compile(rf"[{_SPACES}]*(?:/|\bper\b)[{_SPACES}]*({_UNIT})", re.I)
 _CLAUSES = re.compile(r";|\.(?=\s|$)")
 _WORD = re.compile(rf"(?<![\w.-]){_UNIT}(?![\w-])")
 #: Words and marks after which a letter or two mean a unit.
@@ -192,7 +209,7 @@ def _terms(clause: str) -> list[tuple[int, int, float]]:
 def stated_amount(text: str | None) -> float | None:
     """Bytes of the size that a free text states, or None.
 
-    Clauses about memory, disks, rates and the like are passed over; bounded,
+    Clauses about capacities, rates and other quantities are passed over; bounded,
     ranged, negative and zero sizes count as not stated. Terms joined by ``+``
     are added.
     """
@@ -214,7 +231,19 @@ def stated_amount(text: str | None) -> float | None:
 def _clauses(text: str | None) -> list[str]:
     if not text:
         return []
-    return [c for c in _CLAUSES.split(text) if c.strip() and not _OTHER.search(c)]
+    return [c for c in _CLAUSES.split(text) if c.strip() and not _of_another_quantity(c)]
+
+
+def _of_another_quantity(clause: str) -> bool:
+    """A clause speaks of something else than a size if it names a holder, or an amount in it has another dimension (a rate, a frequency)."""
+    if _HOLDERS.search(clause):
+        return True
+    for m in _TERM.finditer(clause):
+        per = _PER.match(clause, m.end())
+        unit = parse_compound(m["unit"] + (f"/{per[1]}" if per else "")) if m["unit"] else None
+        if unit is not None and unit.dimension != "information":
+            return True
+    return False
 
 
 def stated_unit(text: str | None) -> str | None:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from lodeweave.plans.registry import query
 from lodeweave.runtime import table
 from lodeweave.sources.catalogue import paged
 from lodeweave.streaming import ingest as si
+from lodeweave.streaming import resume
 
 
 @query("select event_type, count(distinct event_id) as n, round(sum(value), 4) as total from (select distinct event_id, event_type, value from events) group by 1")
@@ -36,3 +39,27 @@ def stream_versions(spark, d):
 def paged_scan(spark, d):
     total = table(spark, d, "assets").count()
     return paged(spark, f"lodeweave.sources.catalogue:asset_rows?{d}/assets.parquet", "id string, platform string, name string", total=total, limit=1000, overlap=0.1)
+
+
+@query("select identifier as asset_id, count(distinct harvested_at) as deliveries, strftime(max(harvested_at), '%Y-%m-%d %H:%M:%S') as last from assets where identifier is not null and harvested_at < timestamp '2030-01-01' group by 1")
+def resumable_ingest(spark, d):
+    """The catalogue in windows, in two spans; the first run breaks off within its second window, the next goes on there."""
+    folder = si.shared_folder(spark)
+    deliveries = table(spark, d, "assets").select(F.col("identifier").alias("asset_id"), "harvested_at").distinct()
+    middle = dt.datetime(2022, 1, 1)
+    runs = []
+
+    def apply(rows):
+        runs.append(1)
+        if len(runs) == 2:
+            raise ConnectionError
+        rows.write.mode("overwrite").parquet(f"{folder}/out/window={len(runs)}")
+
+    window = -(-deliveries.count() // 4)
+    for until in (middle, middle, dt.datetime(2030, 1, 1)):
+        try:
+            resume.ingest(deliveries, "asset_id", "harvested_at", resume.Progress(spark, f"{folder}/progress"), apply, window, until)
+        except ConnectionError:
+            continue
+    out = spark.read.schema(deliveries.schema).parquet(f"{folder}/out")
+    return out.groupBy("asset_id").agg(F.countDistinct("harvested_at").alias("deliveries"), F.date_format(F.max("harvested_at"), "yyyy-MM-dd HH:mm:ss").alias("last"))

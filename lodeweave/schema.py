@@ -77,80 +77,70 @@ class FieldSpec:
         return F.coalesce(ok, F.lit(True))
 
 
-def _specs(text: str, **common) -> list[FieldSpec]:
-    """Fields of lines ``name element kind [list] [len=N] [cap=N] [match]``."""
-    out = []
-    for line in text.strip().splitlines():
-        name, element, kind, *rest = line.split()
-        kept = dict(x.split("=") for x in rest if "=" in x)
-        out.append(FieldSpec(name, element, kind, "list" in rest, int(kept["len"]) if "len" in kept else None, int(kept["cap"]) if "cap" in kept else None, "match" in rest, **common))
-    return out
-
-
 #: The catalogue's metadata fields with their types and bounds.
-BASE = _specs("""
-platform string categorical len=32
-name string categorical len=256 match
-date_published string date len=22
-same_as string categorical len=256
-research_areas string categorical list len=128 cap=16
-ml_tasks string categorical list len=64 cap=64
-modalities string categorical list len=16 cap=16
-languages string categorical list len=4 cap=128
-industrial_sectors string categorical list len=128 cap=16
-application_areas string categorical list len=128 cap=16
-license string categorical len=32
-frameworks string categorical list len=128 cap=32
-""")
+BASE = [
+    FieldSpec("platform", max_length=32),
+    FieldSpec("name", max_length=256, text_match=True),
+    FieldSpec("date_published", kind="date", max_length=22),
+    FieldSpec("same_as", max_length=256),
+    FieldSpec("research_areas", is_list=True, max_length=128, max_items=16),
+    FieldSpec("ml_tasks", is_list=True, max_length=64, max_items=64),
+    FieldSpec("modalities", is_list=True, max_length=16, max_items=16),
+    FieldSpec("languages", is_list=True, max_length=4, max_items=128),
+    FieldSpec("industrial_sectors", is_list=True, max_length=128, max_items=16),
+    FieldSpec("application_areas", is_list=True, max_length=128, max_items=16),
+    FieldSpec("license", max_length=32),
+    FieldSpec("frameworks", is_list=True, max_length=128, max_items=32),
+]
 SPECIFIC = {
-    "datasets": _specs("""
-datapoint_count long numerical
-feature_count long numerical
-data_formats string categorical list len=16 cap=16
-label_types string categorical list len=32 cap=8
-collection_methods string categorical list len=32 cap=8
-source_type string categorical len=32
-update_frequency string categorical len=32
-dataset_size_gigabytes float numerical
-class_count long numerical
-geo_coverage string categorical list len=4 cap=64
-temporal_coverage_start string date len=16
-temporal_coverage_end string date len=16
-"""),
-    "ml_models": _specs("""
-parameter_count_millions float numerical
-model_size_gigabytes float numerical
-architecture_families string categorical list len=32 cap=16
-fine_tuned boolean categorical
-training_techniques string categorical list len=64 cap=16
-training_compute_gpu_hours float numerical
-llm_max_sequence_length long numerical
-vocab_size long numerical
-llm_training_data_volume_tokens long numerical
-"""),
-    "publications": _specs("""
-authors string categorical list len=128 cap=64
-affiliations string categorical list len=128 cap=32
-publication_types string categorical list len=128 cap=8
-publication_venues string categorical list len=128 cap=4
-news_categories string categorical list len=32 cap=4
-peer_reviewed boolean categorical
-open_access boolean categorical
-doi string categorical len=128
-citation_count long numerical
-"""),
-    "educational_resources": _specs("""
-resource_types string categorical list len=64 cap=8
-educational_levels string categorical list len=128 cap=8
-competency_levels string categorical list len=32 cap=4
-learning_modes string categorical list len=32 cap=4
-educational_paces string categorical list len=32 cap=4
-prerequisites string categorical list len=128 cap=16
-target_audiences string categorical list len=64 cap=16
-estimated_duration_hours float numerical
-provider string categorical len=128
-certification_available boolean categorical
-"""),
+    "datasets": [
+        FieldSpec("datapoint_count", "long", "numerical"),
+        FieldSpec("feature_count", "long", "numerical"),
+        FieldSpec("data_formats", is_list=True, max_length=16, max_items=16),
+        FieldSpec("label_types", is_list=True, max_length=32, max_items=8),
+        FieldSpec("collection_methods", is_list=True, max_length=32, max_items=8),
+        FieldSpec("source_type", max_length=32),
+        FieldSpec("update_frequency", max_length=32),
+        FieldSpec("dataset_size_gigabytes", "float", "numerical"),
+        FieldSpec("class_count", "long", "numerical"),
+        FieldSpec("geo_coverage", is_list=True, max_length=4, max_items=64),
+        FieldSpec("temporal_coverage_start", kind="date", max_length=16),
+        FieldSpec("temporal_coverage_end", kind="date", max_length=16),
+    ],
+    "ml_models": [
+        FieldSpec("parameter_count_millions", "float", "numerical"),
+        FieldSpec("model_size_gigabytes", "float", "numerical"),
+        FieldSpec("architecture_families", is_list=True, max_length=32, max_items=16),
+        FieldSpec("fine_tuned", "boolean"),
+        FieldSpec("training_techniques", is_list=True, max_length=64, max_items=16),
+        FieldSpec("training_compute_gpu_hours", "float", "numerical"),
+        FieldSpec("llm_max_sequence_length", "long", "numerical"),
+        FieldSpec("vocab_size", "long", "numerical"),
+        FieldSpec("llm_training_data_volume_tokens", "long", "numerical"),
+    ],
+    "publications": [
+        FieldSpec("authors", is_list=True, max_length=128, max_items=64),
+        FieldSpec("affiliations", is_list=True, max_length=128, max_items=32),
+        FieldSpec("publication_types", is_list=True, max_length=128, max_items=8),
+        FieldSpec("publication_venues", is_list=True, max_length=128, max_items=4),
+        FieldSpec("news_categories", is_list=True, max_length=32, max_items=4),
+        FieldSpec("peer_reviewed", "boolean"),
+        FieldSpec("open_access", "boolean"),
+        FieldSpec("doi", max_length=128),
+        FieldSpec("citation_count", "long", "numerical"),
+    ],
+    "educational_resources": [
+        FieldSpec("resource_types", is_list=True, max_length=64, max_items=8),
+        FieldSpec("educational_levels", is_list=True, max_length=128, max_items=8),
+        FieldSpec("competency_levels", is_list=True, max_length=32, max_items=4),
+        FieldSpec("learning_modes", is_list=True, max_length=32, max_items=4),
+        FieldSpec("educational_paces", is_list=True, max_length=32, max_items=4),
+        FieldSpec("prerequisites", is_list=True, max_length=128, max_items=16),
+        FieldSpec("target_audiences", is_list=True, max_length=64, max_items=16),
+        FieldSpec("estimated_duration_hours", "float", "numerical"),
+        FieldSpec("provider", max_length=128),
+        FieldSpec("certification_available", "boolean"),
+    ],
 }
 
 

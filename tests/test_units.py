@@ -40,6 +40,18 @@ def test_dimension_prior_decides_ambiguous_units():
     assert u.parse_unit("xyz") is None
 
 
+def test_compound_units():
+    rate = u.parse_compound("MB/s")
+    assert rate.dimension == "information/time" and rate.factor == KB**2
+    assert u.parse_compound("GB per hour").factor == pytest.approx(KB**3 / 3600) and u.parse_compound("MB/xyz") is None
+    assert u.parse_compound("kg·m", u.NEUTRAL).dimension == "mass·length"
+
+
+@pytest.mark.parametrize("clause", ["streams at 5 MB per second", "sampled at 44 kHz, 16 bit", "16 GB of RAM", "read at 3 MB/s", "a 4 TB drive"])
+def test_clauses_of_other_quantities(clause):
+    assert u.stated_amount(clause) is None and u.stated_unit(clause) is None
+
+
 SCHEMA = """identifier string, platform string, date_published string, extra int,
   distribution array<struct<name string, description string, content_size_kb bigint, encoding_format string>>"""
 
