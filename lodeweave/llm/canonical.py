@@ -223,6 +223,7 @@ class Lexicon:
         return known
 
 
+@lru_cache(maxsize=1 << 16)
 def _variants(word: str) -> set[str]:
     """Spellings that mean the same word: plural, British and American endings."""
     out = {word}
@@ -258,6 +259,7 @@ class Matcher:
                         same[w] = w
         self.same = same
         self.lexicon = Lexicon(same)
+        self.read: dict[str, list[tuple[str, float]]] = {}
         self.by_first: dict[tuple[str, ...], list[tuple[str, ...]]] = defaultdict(list)
         for form in self.names:
             self.by_first[form[:-1]].append(form)
@@ -296,11 +298,15 @@ class Matcher:
         """For each typed word the listed words it may stand for."""
         out = []
         for w in typed:
-            near = [(self.same[x], d) for x, d in self.lexicon.near(w)]
-            if not near:
+            own = self.read.get(w)
+            if own is None:
+                near = [(self.same[x], d) for x, d in self.lexicon.near(w)]
+                own = [x for x in near if x[1] == 0] or sorted(near, key=lambda x: x[1])
+                if len(self.read) < 200_000:
+                    self.read[w] = own
+            if not own:
                 return None
-            exact = [x for x in near if x[1] == 0]
-            out.append(exact or sorted(near, key=lambda x: x[1]))
+            out.append(own)
         return out
 
     def _spellings(self, typed: list[str]):
@@ -309,7 +315,9 @@ class Matcher:
         for i, w in enumerate(typed):
             if w in self.wording.fillers and 0 < i < len(typed) - 1:
                 yield typed[i + 1 :] + typed[:i]
-        yield [w for w in typed if w not in self.wording.fillers]
+        bare = [w for w in typed if w not in self.wording.fillers]
+        if len(bare) < len(typed):
+            yield bare
 
     def _names(self, typed: list[str]) -> dict[tuple[str, ...], float]:
         """Listed names that the typed words mean, with their distance."""
