@@ -13,9 +13,10 @@ from lodeweave.functions.text import tokens, windows
 from lodeweave.operators.evaluate import pooled_vectors
 
 
-def embed_whole(documents: DataFrame, key: str, text: str, embed: Callable[[Column], Column], most_tokens: int = 4096) -> DataFrame:
-    """(key, vector) of each document's first ``most_tokens`` tokens, the model's own bound; null and blank texts give no row."""
-    kept = documents.select(key, F.slice(tokens(F.col(text)), 1, most_tokens).alias("_t")).where(F.size("_t") > 0)
+def embed_whole(documents: DataFrame, key: str, text: str, embed: Callable[[Column], Column], most_tokens: int | None = 4096) -> DataFrame:
+    """(key, vector) of each document, or of its first ``most_tokens`` tokens where a model has such a bound; null and blank texts give no row."""
+    every = tokens(F.col(text))
+    kept = documents.select(key, (every if most_tokens is None else F.slice(every, 1, most_tokens)).alias("_t")).where(F.size("_t") > 0)
     return kept.select(key, embed(F.array_join("_t", " ")).alias("vector"))
 
 

@@ -145,11 +145,16 @@ def licence_simplify(spark, d):
     return own.union(more).distinct().select("licence", tx.simplify_licence(F.col("licence")).alias("family"))
 
 
-@query("""select * from (values ('n<1k', 0::bigint, 1000::bigint), ('1k<n<10k', 1000, 10000), ('10k<n<100k', 10000, 100000), ('1m<n<10m', 1000000, 10000000), ('100<n<1b', 100, 1000000000), ('n>1t', 1000000000000, 1000000000000000), ('x<n<10k', null, null), ('10k<n<1kk', null, null), ('many', null, null)) t(category, lower_bound, upper_bound)""")
+@query("select distinct meta_id, case when datapoints_upper_bound is not null then datapoints_lower_bound end as lower_bound, case when datapoints_lower_bound is not null then datapoints_upper_bound end as upper_bound from dataset_metadata")
 def size_categories(spark, d):
-    names = ("n<1k", "1k<n<10k", "10k<n<100k", "1m<n<10m", "100<n<1b", "n>1t", "x<n<10k", "10k<n<1kk", "many")
-    c = spark.createDataFrame([(x,) for x in names], "category string").withColumn("_b", tx.size_category(F.col("category")))
-    return c.select("category", F.col("_b.lower").alias("lower_bound"), F.col("_b.upper").alias("upper_bound"))
+    """The bounds of each record written as a category (``10k<n<1m``) and read again."""
+    def written(c):
+        n = F.col(c)
+        return F.when(n % 10**6 == 0, F.concat((n / 10**6).cast("long").cast("string"), F.lit("m"))).when(n % 10**3 == 0, F.concat((n / 10**3).cast("long").cast("string"), F.lit("k"))).otherwise(n.cast("string"))
+
+    bounds = tx.size_category(F.concat(written("datapoints_lower_bound"), F.lit("<n<"), written("datapoints_upper_bound")))
+    rows = table(spark, d, "dataset_metadata").select("meta_id", bounds.alias("_b"))
+    return rows.select("meta_id", F.col("_b.lower").alias("lower_bound"), F.col("_b.upper").alias("upper_bound")).distinct()
 
 
 @query(f"""select identifier, date_published || 'Z' as date_published, cast(trunc(coalesce(list_sum(list_transform(distribution, lambda e: coalesce(e.content_size_kb, 0) / 1024.0::double)), 0)) as bigint) as size_in_mb,
@@ -324,4 +329,4 @@ def value_normalisation(spark, d):
 
 @query()
 def embed_whole_documents(spark, d):
-    return embedding.embed_whole(_docs(spark, d), "doc_id", "text", hash_embedding(64))
+    return embedding.embed_whole(_docs(spark, d), "doc_id", "text", hash_embedding(64), most_tokens=None)

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lodeweave.runtime import written
+
 
 class PageError(Exception):
     """The catalogue could not give a page as a whole."""
@@ -144,7 +146,7 @@ def asset_rows(offset: int, limit: int, from_time=None, to_time=None, source: st
 
 def json_table(spark: SparkSession, paths: str | list[str], schema: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, rejected texts) of JSON files; a record that does not fit the schema is rejected, not fatal."""
-    rows = spark.read.schema(schema + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(paths, multiLine=multi_line).cache()
+    rows = written(spark.read.schema(schema + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(paths, multiLine=multi_line))  # parsed once for both results
     return rows.where("_corrupt is null").drop("_corrupt"), rows.where("_corrupt is not null").select("_corrupt")
 
 
