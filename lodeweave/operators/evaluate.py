@@ -121,6 +121,14 @@ def pooled(chunks: DataFrame, how: str, key: str = "asset_id", order: str = "id"
     return pooled_vectors(chunks, how, key, order).select(key, F.posexplode("vector").alias("pos", "value"))
 
 
+def annotated(results: DataFrame, annotations: DataFrame, keys: list[str]) -> DataFrame:
+    """Results with their annotations; LookupError if any result has none."""
+    missing = results.select(*keys).join(annotations.select(*keys), keys, "left_anti").first()
+    if missing is not None:
+        raise LookupError(f"no annotation for {tuple(missing)}")
+    return results.join(annotations, keys)
+
+
 def best_attempt(attempts: DataFrame, key: str, valid: str, total: str, order: str) -> DataFrame:
     """Per key the first wholly valid attempt, else the one with most valid parts, the earlier of equals."""
     w = Window.partitionBy(key).orderBy((F.col(valid) == F.col(total)).desc(), F.when(F.col(valid) == F.col(total), 0).otherwise(-F.col(valid)), order)

@@ -33,15 +33,32 @@ def crawl_delta(old: DataFrame, new: DataFrame, url: str = "url", version: str =
     return joined.select(url, change.alias("change"))
 
 
-def reach(links: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+def crawl_rule(domain: str | None = None, blocked: tuple[str, ...] = (), kinds: tuple[str, ...] = ("", "html", "htm", "php")) -> Column:
+    """Whether a page (column ``node``, a URL) may be visited: of the domain or below it, without a blocked beginning, and a page by its ending."""
+    node = F.col("node")
+    host = F.lower(F.regexp_extract(node, r"^(?:https?://)?+([^/:?#]+)", 1))
+    ending = F.lower(F.regexp_extract(node, r"^(?:https?://)?+[^/?#]*/?(?:[^?#]*/)?[^/?#]*?\.([A-Za-z0-9]{1,5})(?:[?#].*)?$", 1))
+    path = F.regexp_extract(node, r"^(?:https?://)?+[^/?#]+(/[^?#]*)", 1)
+    rule = F.when(path == "", F.lit(True)).otherwise(ending.isin(*kinds))
+    if domain:
+        rule = rule & ((host == domain.lower()) | F.endswith(host, F.lit("." + domain.lower())))
+    for beginning in blocked:
+        rule = rule & ~F.startswith(node, F.lit(beginning))
+    return F.coalesce(rule, F.lit(False))
+
+
+def reach(links: DataFrame, starts: DataFrame, depth: int, allowed: Column | None = None) -> DataFrame:
     """(node, depth): what is reached over ``links`` (src, dst) in at most ``depth`` steps, with the least number of steps.
 
+    With ``allowed`` (on column ``node``) other nodes are neither visited nor passed through; starts are.
+
     One join of the frontier a step; each step is materialised, so a lost executor costs no more than that.
     """
     seen = cut_lineage(starts.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for step in range(1, depth + 1):
-        found = links.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).where("node is not null").distinct()
+        found = links.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).where("node is not null")
+        found = (found if allowed is None else found.where(allowed)).distinct()
         frontier = cut_lineage(found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(step)))
         seen = seen.unionByName(frontier)
     return seen

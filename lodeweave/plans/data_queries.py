@@ -313,6 +313,19 @@ def crawl_bfs(spark, d):
     return ingest.reach(links, starts, 3)
 
 
+@query(f"""with recursive pages(src, dst) as (select distinct 'https://' || split_part(src, '_', 1) || '.example.org/' || src || '.html', 'https://' || split_part(dst, '_', 1) || '.example.org/' || dst || '.html' from {_LINKS}),
+walk(node, depth) as (select 'https://data.example.org/data_Qm4tZ81xWc0LrVb6NeYp7KdA.html', 0 union select p.dst, w.depth + 1 from walk w join pages p on p.src = w.node where w.depth < 2 and p.dst not like 'https://publ.example.org/%')
+select node, cast(min(depth) as int) as depth from walk group by node""")
+def crawl_rules(spark, d):
+    """The links as pages of a site, crawled without one of its blocked parts."""
+    chunks = table(spark, d, "chunk_vectors").where("asset_id is not null").select(F.col("id").alias("vector_id"), F.col("asset_id").alias("src")).distinct()
+    hits = table(spark, d, "search_results").where("vector_id is not null").select("vector_id", F.explode("asset_ids").alias("dst")).where("dst is not null")
+    page = lambda c: F.concat(F.lit("https://"), F.split(c, "_")[0], F.lit(".example.org/"), F.col(c), F.lit(".html")).alias(c)
+    links = hits.join(chunks, "vector_id").select(page("src"), page("dst")).distinct()
+    starts = spark.createDataFrame([("https://data.example.org/data_Qm4tZ81xWc0LrVb6NeYp7KdA.html",)], "node string")
+    return ingest.reach(links, starts, 2, ingest.crawl_rule("example.org", ("https://publ.example.org/",)))
+
+
 @query("""with r as (select o_orderkey, row_number() over (order by o_orderdate, o_orderkey) - 1 as n from orders),
 p as (select o_orderkey, unnest(range(cast(greatest(ceil((n - 999) / 900.0), 0) as bigint), n // 900 + 1)) as page from r)
 select page, count(*) as rows, min(o_orderkey) as low, max(o_orderkey) as high from p group by page""")

@@ -2,6 +2,7 @@ import datetime as dt
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodeweave.functions import text as tx
@@ -202,3 +203,18 @@ def test_row_numbers_of_many_rows_with_a_payload(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert tuple(got) == (6_000_000, 0, 5_999_999)
+
+
+def test_crawl_rule(spark):
+    pages = {"https://a.org/x": True, "https://www.a.org/y.html": True, "https://a.org": True, "https://b.org/x": False, "https://a.org/f.pdf?x=1": False, "https://a.org/no/x": False, "https://nota.org/": False, None: False}
+    df = spark.createDataFrame([(p,) for p in pages], "node string")
+    got = {r["node"]: r["ok"] for r in df.select("node", ig.crawl_rule("a.org", ("https://a.org/no",)).alias("ok")).collect()}
+    assert got == pages
+
+
+def test_missing_annotation_is_an_error(spark):
+    results = spark.createDataFrame([("q", "a"), ("q", "b")], "query_id string, doc_id string")
+    notes = spark.createDataFrame([("q", "a", 5), ("q", "b", 1)], "query_id string, doc_id string, score int")
+    assert ev.annotated(results, notes, ["query_id", "doc_id"]).count() == 2
+    with pytest.raises(LookupError):
+        ev.annotated(results, notes.where("score = 5"), ["query_id", "doc_id"])
