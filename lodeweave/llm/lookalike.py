@@ -169,22 +169,22 @@ def canonical_text(documents: DataFrame, key: str = "doc_id", text: str = "text"
 def form_keys(documents: DataFrame) -> DataFrame:
     """(doc_id, group, variant) of the documents that show something: equal forms share a group, equal texts a variant.
 
-    Forms are not built: a form is known by the number of its words and a hash of 96 bits of
-    each with its place, added up without carry. So each text is read once,
+    Forms are not built: a form is known by the number of its words, the number of its characters and a hash of
+    64 bits of each word with its place, added up without carry. So each text is read once,
     and only its words outside ASCII travel.
     """
     spark = documents.sparkSession
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text", visible(F.col("text")).alias("_v")).where("_v <> ''")
-    split = docs.select("doc_id", F.xxhash64("text").alias("h"), F.hash("text").alias("g"), F.split("_v", " ").alias("_w"))
-    added = lambda of, zero: F.aggregate(F.transform("_w", lambda w, i: F.when(_foreign(w), zero).otherwise(of(i, w))), zero, lambda a, x: a.bitwiseXOR(x))
-    read = split.select("doc_id", "h", "g", F.size("_w").alias("words"), added(F.xxhash64, F.lit(0).cast("long")).alias("x"), added(F.hash, F.lit(0)).alias("y"), _placed(F.col("_w")).alias("placed"))
-    read = written(read)
+    split = docs.select("doc_id", F.xxhash64("text").alias("h"), F.hash("text").alias("g"), F.length("_v").alias("chars"), F.split("_v", " ").alias("_w"))
+    none = F.lit(0).cast("long")
+    added = F.aggregate(F.transform("_w", lambda w, i: F.when(_foreign(w), none).otherwise(F.xxhash64(i, w))), none, lambda a, x: a.bitwiseXOR(x))
+    read = written(split.select("doc_id", "h", "g", F.size("_w").alias("words"), "chars", added.alias("x"), _placed(F.col("_w")).alias("placed")))
     placed = written(read.select("h", "g", F.explode("placed").alias("p")).select("h", "g", "p.i", "p.word").distinct())
     forms = _canonical_words(spark, placed.select("word").distinct())
-    rest = placed.join(forms, "word").groupBy("h", "g").agg(F.bit_xor(F.xxhash64("i", "form")).alias("p"), F.bit_xor(F.hash("i", "form")).alias("q"))
-    rows = read.select("doc_id", "h", "g", "words", "x", "y").distinct().join(rest, ["h", "g"], "left")
-    both = [F.col(a).bitwiseXOR(F.coalesce(b, F.lit(0))) for a, b in (("x", "p"), ("y", "q"))]
-    return rows.select("doc_id", F.concat_ws(" ", "words", *both).alias("group"), F.concat_ws(" ", "h", "g").alias("variant"))
+    rest = placed.join(forms, "word").groupBy("h", "g").agg(F.bit_xor(F.xxhash64("i", "form")).alias("p"), F.sum(F.length("form") - F.length("word")).alias("longer"))
+    rows = read.select("doc_id", "h", "g", "words", "chars", "x").distinct().join(rest, ["h", "g"], "left")
+    group = F.concat_ws(" ", "words", F.col("chars") + F.coalesce("longer", none), F.col("x").bitwiseXOR(F.coalesce("p", none)))
+    return rows.select("doc_id", group.alias("group"), F.concat_ws(" ", "h", "g").alias("variant"))
 
 
 def lookalike_pairs(documents: DataFrame, expand: int | None = None) -> DataFrame:
