@@ -540,7 +540,7 @@ def similar_pairs(table: DataFrame, at_least: float = 0.9, k: int = 5, key: str
     return found.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).where("id_a <> id_b").distinct()
 
 
-def greedy_search(links: DataFrame, points: DataFrame, queries: DataFrame, k: int = 5, beam: int = 24, dim: int = 64) -> DataFrame:
+def greedy_search(links: DataFrame, points: DataFrame, queries: DataFrame, k: int = 5, beam: int = 48, dim: int = 64) -> DataFrame:
     """(query, rank, neighbour, distance): walk the graph from each query's entries, best first.
 
     ``links`` is (id, neighbour), ``points`` (id, vec) and ``queries`` (query, vec,
@@ -587,7 +587,7 @@ def walkable(graph: Graph) -> DataFrame:
     return links.unionByName(back).distinct()
 
 
-def entered(graph: Graph, queries: DataFrame, dim: int = 64, doors: int = 16) -> DataFrame:
+def entered(graph: Graph, queries: DataFrame, dim: int = 64, doors: int = 48) -> DataFrame:
     """(query, vec, entry) of (query, vec): each query enters at ``doors`` vectors of each of its two nearest cells, spread over the cell by a hash."""
     pivots = graph.pivots
 
