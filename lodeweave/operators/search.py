@@ -2,13 +2,13 @@
 
 Queries are a DataFrame (query_id, vector, ...), the corpus a DataFrame
 (id, vector, asset_id, asset_type, ...). A batch of queries is one job. The
-kernel is one matrix product per Arrow batch of the corpus against the query
-matrix; each batch keeps only what can still be among the k best (with ties),
-so what is shuffled is a small multiple of queries x k.
+kernel (``functions/nearest.py``) is a matrix product of each block of the corpus
+with the query matrix; a task keeps the k best of each query over all of its
+rows, so what is shuffled is queries x k for each core.
 
 The query matrix is broadcast while its checked size stays below
-``MAX_BROADCAST``; beyond it queries are cut into blocks and each block meets
-each corpus block in one cogrouped task. Similarities are rounded to nine
+``MAX_BROADCAST``; beyond it the queries are cut into blocks of that size, and
+the corpus is scanned once for each, without shuffling it. Similarities are rounded to nine
 digits before they are ranked, so that order does not depend on summation order,
 and ties go to the smaller asset or vector id.
 """
@@ -16,112 +16,76 @@ and ties go to the smaller asset or vector id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeweave.functions.nearest import DIGITS, Nearest, Queries, matrix
 from lodeweave.functions.vector import usable
+from lodeweave.runtime import forget, written
 
 MAX_BROADCAST = 64 << 20
-QUERY_BLOCK, CORPUS_BLOCK = 2048, 200_000
-DIGITS = 9
-
-
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    n = len(column)
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(n, -1) if n else np.empty((0, 1))
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    size = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(size == 0, 1, size)
-
-
-def _survivors(sims: np.ndarray, keep: int, allowed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each row's ``keep`` largest with all ties of the last."""
-    if allowed is not None:
-        sims = np.where(allowed, sims, -np.inf)
-    if sims.shape[1] > keep:
-        floor = np.partition(sims, sims.shape[1] - keep, axis=1)[:, sims.shape[1] - keep]
-        return np.nonzero((sims >= floor[:, None]) & (sims > -np.inf))
-    return np.nonzero(sims > -np.inf)
-
-
-def _score(q_ids, q_unit, q_tag, ids, unit, assets, tags, k: int, grouped: bool) -> pd.DataFrame:
-    """Candidates of one corpus batch."""
-    rows = []
-    for a in range(0, len(q_ids), 512):
-        sims = np.round(q_unit[a : a + 512] @ unit.T, DIGITS)
-        allowed = None if q_tag is None else q_tag[a : a + 512, None] == tags[None, :]
-        if grouped:
-            # The best chunk of each asset within the batch, then the k best assets.
-            code, names = pd.factorize(assets)
-            order = np.argsort(code, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
-            masked = sims if allowed is None else np.where(allowed, sims, -np.inf)
-            best = np.maximum.reduceat(masked[:, order], starts, axis=1)
-            r, c = _survivors(best, k, None)
-            rows.append(pd.DataFrame({"query_id": q_ids[a + r], "asset_id": names[code[order][starts[c]]], "similarity": best[r, c]}))
-        else:
-            # A row delivered again must not take a second of the k places: an id counts once, by its nearest vector.
-            order = np.argsort(ids, kind="stable")
-            starts = np.flatnonzero(np.r_[True, ids[order][1:] != ids[order][:-1]])
-            masked = sims if allowed is None else np.where(allowed, sims, -np.inf)
-            best = np.maximum.reduceat(masked[:, order], starts, axis=1) if len(starts) < len(ids) else masked
-            r, c = _survivors(best, k, None)
-            own = order[starts[c]] if len(starts) < len(ids) else c
-            rows.append(pd.DataFrame({"query_id": q_ids[a + r], "id": ids[own], "asset_id": assets[own], "similarity": best[r, c]}))
-    return pd.concat(rows) if rows else pd.DataFrame()
+#: Query vectors of one product; corpus rows gathered before they meet the queries.
+QUERY_BLOCK, CORPUS_BLOCK = 512, 8192
 
 
 def _candidates(queries: DataFrame, corpus: DataFrame, k: int, grouped: bool, tagged: bool) -> DataFrame:
-    """(query_id, [id,] asset_id, similarity) candidates from both ways."""
+    """(query_id, [id,] asset_id, similarity): the k nearest of each query in each part of the corpus, all of a query in one partition."""
     kind = dict(queries.dtypes)["query_id"]
     schema = f"query_id {kind}, " + ("" if grouped else "id long, ") + "asset_id string, similarity double"
     q = queries.select("query_id", "vector", *(["tag"] if tagged else []))
     c = corpus.select("id", "vector", F.col("asset_id"), *(["tag"] if tagged else []))
+    # A part for each core: every part gives its own k of each query.
+    c = c.coalesce(c.sparkSession.sparkContext.defaultParallelism)
+    found = [_scan(block, c, k, grouped, tagged, schema) for block in _blocks(q)]
+    return reduce(DataFrame.union, found).repartition("query_id")
+
+
+def _blocks(q: DataFrame) -> Iterator[DataFrame]:
+    """The queries in blocks that can be held at once, all vectors of a query in one block unless they are a large part of it. Each is to be read before the next is asked for."""
     size = q.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
-    if (size["n"] or 0) * (size["d"] or 0) * 8 <= MAX_BROADCAST:
-        held = q.toArrow()
-        q_ids = held["query_id"].to_pandas().to_numpy()
-        shared = q.sparkSession.sparkContext.broadcast((q_ids, _unit(_matrix(held["vector"])), held["tag"].to_pandas().to_numpy() if tagged else None))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q_ids, q_unit, q_tag = shared.value
-            for batch in batches:
-                if not batch.num_rows or not len(q_ids):
-                    continue
-                tags = batch.column(3).to_pandas().to_numpy() if tagged else None
-                out = _score(q_ids, q_unit, q_tag, batch.column(0).to_numpy(), _unit(_matrix(batch.column(1))), batch.column(2).to_pandas().to_numpy(), tags, k, grouped)
-                yield pa.RecordBatch.from_pandas(out, preserve_index=False)
-
-        return c.mapInArrow(scan, schema)
-    return _blocked(q, c, k, grouped, tagged, schema, size["n"])
-
-
-def _blocked(q: DataFrame, c: DataFrame, k: int, grouped: bool, tagged: bool, schema: str, n: int) -> DataFrame:
-    """Every query block against every corpus block, one cogrouped task each."""
-    q_blocks = max(1, -(-n // QUERY_BLOCK))
-    c_blocks = max(1, -(-c.count() // CORPUS_BLOCK))
-    left = q.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))))
-    right = c.withColumn("_c", F.pmod(F.xxhash64("id"), F.lit(c_blocks))).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
-
-    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
-    shape = pa.schema([(f.split()[0], kinds.get(f.split()[1], pa.int64())) for f in schema.split(", ")])
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return shape.empty_table()
-        tag = lambda t: t["tag"].to_pandas().to_numpy() if tagged else None
-        out = _score(a["query_id"].to_pandas().to_numpy(), _unit(_matrix(a["vector"])), tag(a), b["id"].to_numpy(), _unit(_matrix(b["vector"])), b["asset_id"].to_pandas().to_numpy(), tag(b), k, grouped)
-        return pa.Table.from_pandas(out, schema=shape, preserve_index=False) if len(out) else shape.empty_table()
-
-    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(meet, schema)
+    wide = 8 if dict(q.dtypes)["vector"] == "array<double>" else 4
+    most = max(QUERY_BLOCK, MAX_BROADCAST // (wide * max(size["d"] or 0, 1)))
+    if size["n"] <= most:
+        yield q
+        return
+    blocks = -(-size["n"] // most)
+    many = [r[0] for r in q.groupBy("query_id").count().where(F.col("count") > most // 4).select("query_id").collect()]  # at most 4 a block
+    number = F.pmod(F.xxhash64("query_id", F.when(F.col("query_id").isin(many), F.xxhash64("vector")).otherwise(F.lit(0).cast("long"))), F.lit(blocks))
+    held = written(q.withColumn("_q", number))
+    for i in range(blocks):
+        yield held.where(F.col("_q") == i).drop("_q")
+    forget(held)
+
+
+def _scan(q: DataFrame, c: DataFrame, k: int, grouped: bool, tagged: bool, schema: str) -> DataFrame:
+    """The k nearest of each query in each partition of the corpus, with the queries broadcast."""
+    shared, rows, gathered = q.sparkSession.sparkContext.broadcast(Queries.of(q.toArrow(), tagged)), QUERY_BLOCK, CORPUS_BLOCK
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nearest = Nearest(shared.value, k, grouped, rows)
+        waiting: list[pa.RecordBatch] = []
+
+        def meet() -> None:
+            columns = pa.Table.from_batches(waiting).columns
+            waiting.clear()
+            for a in range(0, len(columns[0]), gathered):
+                ids, vectors, assets, *tags = (x.slice(a, gathered) for x in columns)
+                nearest.meet(ids.to_numpy(), matrix(vectors), assets.to_pandas().to_numpy(), tags[0].to_pandas().to_numpy() if tagged else None)
+
+        for batch in batches:
+            if batch.num_rows and len(shared.value.query):
+                waiting.append(batch)
+            if sum(b.num_rows for b in waiting) >= gathered:
+                meet()
+        if waiting:
+            meet()
+        for part in nearest.hits():
+            yield pa.RecordBatch.from_pandas(part, preserve_index=False)
+
+    return c.mapInArrow(scan, schema)
 
 
 def _ranked(candidates: DataFrame, k: int, tie: str, by: tuple[str, ...] = ("query_id",)) -> DataFrame:

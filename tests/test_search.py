@@ -123,3 +123,36 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(asset_version,2)" in plan and "In(asset_type, [datasets,ml_models])" in plan
     exchanged = [line for line in plan.splitlines() if "Exchange" in line]
     assert exchanged and "vector" not in "".join(exchanged)
+
+
+def test_candidates_do_not_grow_with_batches(spark, corpus):
+    """overfetch_dedup_topk filled the disk: every Arrow batch gave k candidates of each query."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        asked = _queries(corpus)
+        assert se._candidates(asked, corpus, 5, False, False).count() <= asked.count() * 5 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_query_of_many_vectors_in_blocks(spark, corpus, monkeypatch):
+    """multi_vector_topk failed: k candidates of each of a hot asset's vectors, and the corpus copied for each block of queries."""
+    monkeypatch.setattr(se, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(se, "QUERY_BLOCK", 100)
+    monkeypatch.setattr(se, "CORPUS_BLOCK", 64)
+    asked = corpus.where("id % 2 = 0").select(F.lit("hot").alias("query_id"), "vector").union(corpus.where("id % 40 = 3").select(F.col("id").cast("string"), "vector"))
+    found = se._candidates(asked, corpus.where("asset_id is not null"), 5, True, False)
+    assert found.count() <= 12 * 5 * spark.sparkContext.defaultParallelism * 3
+    assert "vector" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x)
+    _, sims = _brute(corpus, 5)
+    asset, best = {r["id"]: r["asset_id"] for r in corpus.collect()}, {}
+    for i in sims:
+        for j, s in sims[i].items():
+            for q in ["hot"] * int(i % 2 == 0) + [str(i)] * int(i % 40 == 3):
+                if asset[j] is not None:
+                    best.setdefault(q, {})[asset[j]] = max(s, best.get(q, {}).get(asset[j], -2))
+    got = {}
+    for r in se.grouped_top_k(asked, corpus, 5).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["asset_id"])
+    assert got == {q: sorted(b, key=lambda a: (-b[a], a))[:5] for q, b in best.items()}
