@@ -156,3 +156,10 @@ def test_query_of_many_vectors_in_blocks(spark, corpus, monkeypatch):
     for r in se.grouped_top_k(asked, corpus, 5).orderBy("rank").collect():
         got.setdefault(r["query_id"], []).append(r["asset_id"])
     assert got == {q: sorted(b, key=lambda a: (-b[a], a))[:5] for q, b in best.items()}
+
+
+def test_recommending_to_another_type_gives_k_candidates(spark, corpus):
+    """recommend_cross_type failed as multi_vector_topk did, against part of the corpus."""
+    asked, kept = corpus.select(F.lit("hot").alias("query_id"), "vector"), corpus.where("asset_type = 't1'")
+    assert se._candidates(asked, kept, 5, True, False).count() <= 5 * spark.sparkContext.defaultParallelism
+    assert {r["asset_id"] for r in se.grouped_top_k(asked, kept, 30).collect()} <= {r["asset_id"] for r in kept.collect()}
