@@ -163,3 +163,12 @@ def test_recommending_to_another_type_gives_k_candidates(spark, corpus):
     asked, kept = corpus.select(F.lit("hot").alias("query_id"), "vector"), corpus.where("asset_type = 't1'")
     assert se._candidates(asked, kept, 5, True, False).count() <= 5 * spark.sparkContext.defaultParallelism
     assert {r["asset_id"] for r in se.grouped_top_k(asked, kept, 30).collect()} <= {r["asset_id"] for r in kept.collect()}
+
+
+def test_recommending_within_a_type_gives_k_candidates(spark, corpus):
+    """recommend_same_type failed likewise, with the type as a tag of queries and corpus."""
+    kept = corpus.where("asset_type is not null").withColumn("tag", F.col("asset_type"))
+    asked = kept.select(F.concat(F.lit("hot "), "tag").alias("query_id"), "vector", "tag")
+    assert se._candidates(asked, kept, 5, True, True).count() <= 2 * 5 * spark.sparkContext.defaultParallelism
+    got = {(r["query_id"], r["asset_id"]) for r in se.grouped_top_k(asked, kept, 100, True).collect()}
+    assert got == {(f"hot {r['tag']}", r["asset_id"]) for r in kept.collect()}
