@@ -4,6 +4,11 @@ A block meets the queries in single precision, which only has to tell what may
 still be among the k nearest: each query has a floor that its k-th nearest
 reaches already, and pairs within the rounding error of it are computed again in
 double precision. State is k hits a query, however many rows go by.
+
+Where a query has many vectors its floor is high, and two things spare work: a
+first pass over vectors that share random hyperplanes tells floors beforehand
+(``guess``, any k hits give one; those below ``HIGH`` help little), and above ``HIGH`` the vectors meet in the order of
+one axis, in which near ones are near, by a few components.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ COLUMNS, PAIRS, MOST_HITS = 1024, 1 << 16, 1 << 21
 FIRST = 64
 #: Above this floor, as queries of very many vectors reach it, so many leading components and the length of the rest tell enough.
 HIGH, LEADING = 0.9, 16
+#: Sets of hyperplanes of the first pass, hyperplanes of one, and queries that a corpus row meets in one.
+TABLES, PLANES, MET = 8, 16, 16
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -60,6 +67,7 @@ class Queries(NamedTuple):
     tags: np.ndarray | None  # tag values
     tag: np.ndarray  # index into tags, a vector
     axes: np.ndarray  # orthonormal, those along which the vectors differ most first
+    floor: np.ndarray  # what the k-th nearest of a query reaches at least
 
     @classmethod
     def of(cls, held: pa.Table, tagged: bool) -> Queries:
@@ -71,7 +79,7 @@ class Queries(NamedTuple):
         size = lengths(vectors)
         some = _unit(vectors[:: max(1, len(vectors) >> 14)], size[:: max(1, len(vectors) >> 14)])
         axes = np.linalg.eigh(some.T @ some)[1][:, ::-1] if np.isfinite(some).all() else np.eye(vectors.shape[1])
-        return cls(names, query[order], vectors, size, tags, tag[order], axes)
+        return cls(names, query[order], vectors, size, tags, tag[order], axes, np.full(len(names), -np.inf))
 
 
 class Nearest:
@@ -79,40 +87,79 @@ class Nearest:
 
     def __init__(self, asked: Queries, k: int, grouped: bool, rows: int):
         self.asked, self.k, self.grouped, self.rows = asked, k, grouped, rows
-        self.floor = np.full(len(asked.names), -np.inf)
+        self.floor = asked.floor.copy()
         self.margin = 2 * (asked.vectors.shape[1] + 4) * 2.0**-24  # more than a product of unit vectors in single precision is off
         self.held: list[tuple[np.ndarray, ...]] = []
         self.fresh = self.kept = 0
+        n, dim = asked.vectors.shape
+        self.single, self.short = np.empty((n, dim), np.float32), np.empty((n, min(dim, LEADING) + 1), np.float32)
+        for p in range(0, n, PAIRS):
+            unit = _unit(asked.vectors[p : p + PAIRS], asked.size[p : p + PAIRS])
+            self.single[p : p + PAIRS], self.short[p : p + PAIRS] = unit, self._short(unit)
+        self.along = np.lexsort((self.short[:, 0], asked.tag))
+        self.buckets: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def meet(self, ids: np.ndarray, vectors: np.ndarray, assets: np.ndarray, tags: np.ndarray | None) -> None:
-        """Take in a block of the corpus."""
+    def _taken(self, ids: np.ndarray, vectors: np.ndarray, assets: np.ndarray, tags: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """Tags, unit vectors, keys, the keys' names and assets of a block, sorted by tag and key."""
         tag = np.zeros(len(ids), np.int64) if tags is None else pd.Index(self.asked.tags).get_indexer(tags)
         key, names = pd.factorize(assets if self.grouped else ids)
         size = lengths(vectors)
         order = np.lexsort((key, tag))
         order = order[(tag[order] >= 0) & np.isfinite(size[order])]
-        tag, key = tag[order], key[order]
-        unit = _unit(vectors[order], size[order])
-        single, short, payload = unit.astype(np.float32), self._short(unit), assets[order]
+        return tag[order], _unit(vectors[order], size[order]), key[order], names, assets[order]
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray, assets: np.ndarray, tags: np.ndarray | None) -> None:
+        """Take in a block of the corpus."""
+        tag, unit, key, names, payload = self._taken(ids, vectors, assets, tags)
+        single, short = unit.astype(np.float32), self._short(unit)
         for t in np.unique(tag):
             c = slice(*np.searchsorted(tag, (t, t + 1)))
             low, high = np.searchsorted(self.asked.tag, (t, t + 1))
-            for a in range(low, high, self.rows):
-                self._rows(slice(a, min(a + self.rows, high)), unit[c], single[c], short[c], key[c], names, payload[c])
+            far = np.arange(low, high)[self.floor[self.asked.query[low:high]] - self.margin <= HIGH]
+            for a in range(0, len(far), self.rows):
+                self._far(far[a : a + self.rows], unit[c], single[c], key[c], names, payload[c])
+            if len(far) < high - low:
+                self._near(self.along[low:high], unit[c], short[c], key[c], names, payload[c])
+        if self.fresh > max(self.kept // 2, 1 << 16):
+            self._cut()
+
+    def guess(self, ids: np.ndarray, vectors: np.ndarray, assets: np.ndarray, tags: np.ndarray | None) -> None:
+        """Take in of a block of the corpus some pairs that lie on the same sides of random hyperplanes: hits that tell a floor, not all there are."""
+        tag, unit, key, names, payload = self._taken(ids, vectors, assets, tags)
+        if not self.buckets:
+            codes = self._codes(self.single, self.asked.tag)
+            self.buckets = [(code[order], order) for code in codes for order in (np.argsort(code),)]
+        single = unit.astype(np.float32)
+        for code, (sorted_codes, order) in zip(self._codes(single, tag), self.buckets, strict=True):
+            start, end = (np.searchsorted(sorted_codes, code, side) for side in ("left", "right"))
+            count = np.minimum(end - start, MET)
+            j = np.repeat(np.arange(len(code)), count)
+            i = order[np.repeat(start - np.cumsum(count) + count, count) + np.arange(len(j))]
+            high = np.einsum("ij,ij->i", self.single[i], single[j]) >= np.maximum(self.floor[self.asked.query[i]], HIGH) - self.margin
+            self._exact([(i[high], j[high])], unit, key, names, payload)
         if self.fresh > max(self.kept // 2, 1 << 16):
             self._cut()
 
+    @staticmethod
+    def _codes(single: np.ndarray, tag: np.ndarray) -> list[np.ndarray]:
+        """Of each vector its tag and its sides of the hyperplanes, for each set of them."""
+        planes = np.random.default_rng(0).normal(size=(single.shape[1], TABLES * PLANES)).astype(np.float32)
+        out = np.empty((TABLES, len(single)), np.int64)
+        for p in range(0, len(single), PAIRS):
+            sides = ((single[p : p + PAIRS] @ planes) > 0).reshape(-1, TABLES, PLANES) @ (1 << np.arange(PLANES))
+            out[:, p : p + PAIRS] = sides.T + (tag[p : p + PAIRS] << PLANES)
+        return list(out)
+
     def _short(self, unit: np.ndarray) -> np.ndarray:
         """Vectors whose products are never below those of the whole ones (Cauchy-Schwarz for the components left out)."""
         lead = unit @ self.asked.axes[:, :LEADING]
         rest = np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", lead, lead)) + 1e-15)
         return np.column_stack((lead, rest)).astype(np.float32)
 
-    def _rows(self, r: slice, unit: np.ndarray, single: np.ndarray, short: np.ndarray, key: np.ndarray, names: np.ndarray, payload: np.ndarray) -> None:
-        query = self.asked.query[r]
-        q_unit = _unit(self.asked.vectors[r], self.asked.size[r])
-        q_single = q_unit.astype(np.float32)
-        # The rows are sorted by key: some from all over them, and all if those have too few keys.
+    def _far(self, r: np.ndarray, unit: np.ndarray, single: np.ndarray, key: np.ndarray, names: np.ndarray, payload: np.ndarray) -> None:
+        """Query vectors, those of a query together, against rows sorted by key."""
+        query, q_single = self.asked.query[r], self.single[r]
+        # Some rows from all over the keys, and all if those have too few keys.
         for step in (1 + len(key) // (FIRST * self.k), 1) if np.isneginf(self.floor[query]).any() else ():
             best = self._best(q_single @ single[::step].T, query, key[::step])
             if best.shape[1] >= self.k:
@@ -120,8 +167,6 @@ class Nearest:
                 self.floor[at] = np.maximum(self.floor[at], np.partition(best, best.shape[1] - self.k, axis=1)[:, best.shape[1] - self.k] - self.margin)
                 break
         low = self.floor[query] - self.margin
-        if low.min() > HIGH:
-            q_single, single = self._short(q_unit), short
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for s in range(0, len(key), COLUMNS):
             sims, keys = q_single @ single[s : s + COLUMNS].T, key[s : s + COLUMNS]
@@ -130,31 +175,57 @@ class Nearest:
                 continue
             sims = sims[near]
             i, j = np.nonzero(sims >= low[near, None])
-            if len(i) > self.k * len(near) and single is not short:
+            if len(i) > self.k * len(near):
                 # Of one query and one key only the nearest pairs count.
                 best = self._best(sims, query[near], keys)
                 of_query, of_key = (np.repeat(np.arange(len(x)), np.diff(np.r_[x, n])) for x, n in ((_starts(query[near]), len(near)), (_starts(keys), len(keys))))
                 own = sims[i, j] >= best[of_query[i], of_key[j]] - 2 * self.margin
                 i, j = i[own], j[own]
-            found.append((near[i], s + j))
+            found.append((r[near[i]], s + j))
             if sum(len(x) for x, _ in found) > PAIRS:
-                self._exact(found, query, q_unit, unit, key, names, payload)
+                self._exact(found, unit, key, names, payload)
                 low = self.floor[query] - self.margin
-        self._exact(found, query, q_unit, unit, key, names, payload)
+        self._exact(found, unit, key, names, payload)
+
+    def _near(self, rows: np.ndarray, unit: np.ndarray, short: np.ndarray, key: np.ndarray, names: np.ndarray, payload: np.ndarray) -> None:
+        """Of these query vectors, sorted along the first axis, those with a high floor: unit vectors of a similarity s are at most sqrt(2 - 2s) apart on it."""
+        low = self.floor[self.asked.query[rows]] - self.margin
+        high = (low > HIGH) & np.isfinite(self.asked.size[rows])
+        rows, low = rows[high], low[high]
+        # Floors of one kind together, still along the axis.
+        order = np.argsort(-np.log2(np.maximum(1 - low, 2.0**-30)).astype(np.int8), kind="stable")
+        rows, low = rows[order], low[order]
+        line = np.argsort(short[:, 0])
+        short, place = short[line], short[line, 0]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for a in range(0, len(rows), self.rows):
+            r, least = rows[a : a + self.rows], low[a : a + self.rows]
+            q_short, apart = self.short[r], np.sqrt(2 - 2 * min(1, least.min())) + 1e-6
+            start, end = np.searchsorted(place, (q_short[:, 0].min() - apart, q_short[:, 0].max() + apart))
+            for s in range(start, end, COLUMNS):
+                sims = q_short @ short[s : min(s + COLUMNS, end)].T
+                near = np.flatnonzero(sims.max(axis=1) >= least)
+                if len(near):
+                    i, j = np.nonzero(sims[near] >= least[near, None])
+                    found.append((r[near[i]], line[s + j]))
+            if sum(len(x) for x, _ in found) > PAIRS:
+                self._exact(found, unit, key, names, payload)
+        self._exact(found, unit, key, names, payload)
 
-    def _exact(self, found: list[tuple[np.ndarray, np.ndarray]], query: np.ndarray, q_unit: np.ndarray, unit: np.ndarray, key: np.ndarray, names: np.ndarray, payload: np.ndarray) -> None:
-        """Keep of the pairs found those that reach the floor."""
+    def _exact(self, found: list[tuple[np.ndarray, np.ndarray]], unit: np.ndarray, key: np.ndarray, names: np.ndarray, payload: np.ndarray) -> None:
+        """Keep of the pairs found (query vectors, corpus rows) those that reach the floor."""
         if not found:
             return
         i, j = (np.concatenate(x) for x in zip(*found, strict=True))
         found.clear()
         for p in range(0, len(i), PAIRS):
             x, y = i[p : p + PAIRS], j[p : p + PAIRS]
-            exact = np.rint(np.einsum("ij,ij->i", q_unit[x], unit[y]) * 10**DIGITS)
-            fits = exact / 10**DIGITS >= self.floor[query[x]]
-            x, y = x[fits], y[fits]
-            self.held.append((query[x], names[key[y]], payload[y], exact[fits].astype(np.int64)))
-            self.fresh += len(x)
+            exact = np.rint(np.einsum("ij,ij->i", _unit(self.asked.vectors[x], self.asked.size[x]), unit[y]) * 10**DIGITS)
+            query = self.asked.query[x]
+            fits = exact / 10**DIGITS >= self.floor[query]
+            query, y = query[fits], y[fits]
+            self.held.append((query, names[key[y]], payload[y], exact[fits].astype(np.int64)))
+            self.fresh += len(y)
         if self.fresh > max(self.kept, MOST_HITS):
             self._cut()
 

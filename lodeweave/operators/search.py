@@ -15,9 +15,10 @@ and ties go to the smaller asset or vector id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ from lodeweave.runtime import forget, written
 MAX_BROADCAST = 64 << 20
 #: Query vectors of one product; corpus rows gathered before they meet the queries.
 QUERY_BLOCK, CORPUS_BLOCK = 512, 8192
+#: From so many query vectors on, two a query at least, a first pass tells floors.
+MANY = 1 << 14
 
 
 def _candidates(queries: DataFrame, corpus: DataFrame, k: int, grouped: bool, tagged: bool) -> DataFrame:
@@ -62,7 +65,24 @@ def _blocks(q: DataFrame) -> Iterator[DataFrame]:
 
 def _scan(q: DataFrame, c: DataFrame, k: int, grouped: bool, tagged: bool, schema: str) -> DataFrame:
     """The k nearest of each query in each partition of the corpus, with the queries broadcast."""
-    shared, rows, gathered = q.sparkSession.sparkContext.broadcast(Queries.of(q.toArrow(), tagged)), QUERY_BLOCK, CORPUS_BLOCK
+    asked = Queries.of(q.toArrow(), tagged)
+    if grouped and len(asked.query) >= max(MANY, 2 * len(asked.names)):
+        asked = _with_floors(asked, c, k, tagged, schema)
+    return _each_part(asked, c, k, grouped, tagged, schema, Nearest.meet)
+
+
+def _with_floors(asked: Queries, c: DataFrame, k: int, tagged: bool, schema: str) -> Queries:
+    """The queries with what k assets of the whole corpus, though not the k nearest, reach already."""
+    some = _each_part(asked, c, k, True, tagged, schema, Nearest.guess).groupBy("query_id", "asset_id").agg(F.max("similarity").alias("s"))
+    kth = some.groupBy("query_id").agg(F.get(F.sort_array(F.collect_list("s"), False), F.lit(k - 1)).alias("s")).where("s is not null").toPandas()
+    floor = asked.floor.copy()
+    floor[pd.Index(asked.names).get_indexer(kth["query_id"])] = kth["s"]
+    return asked._replace(floor=floor)
+
+
+def _each_part(asked: Queries, c: DataFrame, k: int, grouped: bool, tagged: bool, schema: str, take: Callable[..., None]) -> DataFrame:
+    """The hits that ``take`` finds in each partition of the corpus, at most k a query."""
+    shared, rows, gathered = c.sparkSession.sparkContext.broadcast(asked), QUERY_BLOCK, CORPUS_BLOCK
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nearest = Nearest(shared.value, k, grouped, rows)
@@ -73,7 +93,7 @@ def _scan(q: DataFrame, c: DataFrame, k: int, grouped: bool, tagged: bool, schem
             waiting.clear()
             for a in range(0, len(columns[0]), gathered):
                 ids, vectors, assets, *tags = (x.slice(a, gathered) for x in columns)
-                nearest.meet(ids.to_numpy(), matrix(vectors), assets.to_pandas().to_numpy(), tags[0].to_pandas().to_numpy() if tagged else None)
+                take(nearest, ids.to_numpy(), matrix(vectors), assets.to_pandas().to_numpy(), tags[0].to_pandas().to_numpy() if tagged else None)
 
         for batch in batches:
             if batch.num_rows and len(shared.value.query):
@@ -232,9 +252,9 @@ def recommend(seeds: DataFrame, corpus: DataFrame, k: int, same_type: bool) -> D
     only when recommending within its own type.
     """
     q = corpus.join(seeds.distinct(), "asset_id", "left_semi").select(F.col("asset_id").alias("query_id"), "vector", F.col("asset_type").alias("tag"))
-    c = corpus.where("asset_id is not null and asset_type is not null").withColumn("tag", F.col("asset_type"))
     if not same_type:
-        return grouped_top_k(q.drop("tag"), c.drop("tag"), k)
+        return grouped_top_k(q.drop("tag"), corpus, k)
+    c = corpus.where("asset_id is not null and asset_type is not null").withColumn("tag", F.col("asset_type"))
     wide = grouped_top_k(q.where("tag is not null"), c, k + 1, tagged=True).where(F.col("query_id") != F.col("asset_id"))
     w = Window.partitionBy("query_id").orderBy("rank")
     return wide.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

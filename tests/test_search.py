@@ -172,3 +172,35 @@ def test_recommending_within_a_type_gives_k_candidates(spark, corpus):
     assert se._candidates(asked, kept, 5, True, True).count() <= 2 * 5 * spark.sparkContext.defaultParallelism
     got = {(r["query_id"], r["asset_id"]) for r in se.grouped_top_k(asked, kept, 100, True).collect()}
     assert got == {(f"hot {r['tag']}", r["asset_id"]) for r in kept.collect()}
+
+
+def _near_copies(spark):
+    """60 assets of 12 vectors, each vector near one of other assets; floors of most queries come out high."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(60, 8))
+    rows = [(i, (base[(i * 7 + i // 60) % 60] + rng.normal(scale=0.03, size=8)).astype(np.float32).tolist(), f"a{i // 12:02d}", None if i % 11 == 0 else f"t{i // 12 % 2}") for i in range(720)]
+    return spark.createDataFrame(rows, "id long, vector array<float>, asset_id string, asset_type string").repartition(3)
+
+
+def _best(rows, fits, seeds, k):
+    x = np.array([r["vector"] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sims, best = np.round(x @ x.T, 9), {}
+    for n, q in enumerate(rows):
+        for m, c in enumerate(rows if q["asset_id"] in seeds else []):
+            if fits(q, c):
+                of = best.setdefault(q["asset_id"], {})
+                of[c["asset_id"]] = max(of.get(c["asset_id"], -2), sims[n, m])
+    return {(q, a) for q, b in best.items() for a in sorted(b, key=lambda a: (-b[a], a))[:k]}
+
+
+def test_multi_vector_search_from_floors_told_beforehand(spark, monkeypatch):
+    """multi_vector_topk had not ended at 1.33 million rows; and chunks without a type must count in it."""
+    monkeypatch.setattr(se, "MANY", 1)
+    monkeypatch.setattr(se, "QUERY_BLOCK", 16)
+    df, seen, told = _near_copies(spark), [], se._with_floors
+    monkeypatch.setattr(se, "_with_floors", lambda *a: seen.append(told(*a)) or seen[-1])
+    rows, seeds = df.collect(), [f"a{i:02d}" for i in range(0, 60, 3)]
+    got = se.recommend(spark.createDataFrame([(s,) for s in seeds], "asset_id string"), df, 5, False).collect()
+    assert {(r["query_id"], r["asset_id"]) for r in got} == _best(rows, lambda q, c: True, seeds, 5)
+    assert (seen[0].floor > 0.9).mean() > 0.5
