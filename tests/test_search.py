@@ -204,3 +204,17 @@ def test_multi_vector_search_from_floors_told_beforehand(spark, monkeypatch):
     got = se.recommend(spark.createDataFrame([(s,) for s in seeds], "asset_id string"), df, 5, False).collect()
     assert {(r["query_id"], r["asset_id"]) for r in got} == _best(rows, lambda q, c: True, seeds, 5)
     assert (seen[0].floor > 0.9).mean() > 0.5
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_recommending_to_a_type_from_floors_of_that_type(spark, monkeypatch, blocks):
+    """recommend_cross_type gave each task only its own floors; those told must be reached within the part of the corpus that is searched."""
+    monkeypatch.setattr(se, "MANY", 1)
+    monkeypatch.setattr(se, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(se, "QUERY_BLOCK", 720 // blocks)
+    df, seen, told = _near_copies(spark), [], se._with_floors
+    monkeypatch.setattr(se, "_with_floors", lambda *a: seen.append(told(*a)) or seen[-1])
+    rows, assets = df.collect(), {f"a{i:02d}" for i in range(60)}
+    got = {(r["query_id"], r["asset_id"]) for r in se.grouped_top_k(df.select(F.col("asset_id").alias("query_id"), "vector"), df.where("asset_type = 't1'"), 5).collect()}
+    assert got == _best(rows, lambda q, c: c["asset_type"] == "t1", assets, 5)
+    assert len(seen) >= blocks and any((x.floor > 0.9).any() for x in seen)
