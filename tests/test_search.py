@@ -218,3 +218,14 @@ def test_recommending_to_a_type_from_floors_of_that_type(spark, monkeypatch, blo
     got = {(r["query_id"], r["asset_id"]) for r in se.grouped_top_k(df.select(F.col("asset_id").alias("query_id"), "vector"), df.where("asset_type = 't1'"), 5).collect()}
     assert got == _best(rows, lambda q, c: c["asset_type"] == "t1", assets, 5)
     assert len(seen) >= blocks and any((x.floor > 0.9).any() for x in seen)
+
+
+def test_recommending_within_a_type_from_floors_of_that_type(spark, monkeypatch):
+    """recommend_same_type likewise, in which pairs of the first pass must agree in their tag, too."""
+    monkeypatch.setattr(se, "MANY", 1)
+    df, seen, told = _near_copies(spark), [], se._with_floors
+    monkeypatch.setattr(se, "_with_floors", lambda *a: seen.append(told(*a)) or seen[-1])
+    rows, assets = df.collect(), {f"a{i:02d}" for i in range(60)}
+    got = {(r["query_id"], r["asset_id"]) for r in se.recommend(df.select("asset_id"), df, 5, True).collect()}
+    assert got == _best(rows, lambda q, c: q["asset_type"] is not None and q["asset_type"] == c["asset_type"] and q["asset_id"] != c["asset_id"], assets, 5)
+    assert (seen[0].floor > 0.9).mean() > 0.5
