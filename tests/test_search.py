@@ -229,3 +229,23 @@ def test_recommending_within_a_type_from_floors_of_that_type(spark, monkeypatch)
     got = {(r["query_id"], r["asset_id"]) for r in se.recommend(df.select("asset_id"), df, 5, True).collect()}
     assert got == _best(rows, lambda q, c: q["asset_type"] is not None and q["asset_type"] == c["asset_type"] and q["asset_id"] != c["asset_id"], assets, 5)
     assert (seen[0].floor > 0.9).mean() > 0.5
+
+
+def _stored(spark, path):
+    """A table of 50 assets of two types, six of which are asked for by 36 vectors; its rows."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=64).astype(np.float32).tolist(), f"a{i // 6:02d}", 1, ("publications", "datasets")[i // 6 % 2]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, vector array<float>, asset_id string, asset_version long, asset_type string")
+    df.write.parquet(str(path / "chunk_vectors.parquet"))
+    return df.collect()
+
+
+def test_query_by_type_searched_in_blocks(spark, tmp_path, monkeypatch):
+    """recommend_cross_type failed at 1 GB: beyond one block of queries, the table met itself by ambiguous columns (AnalysisException)."""
+    from lodeweave.plans import search_queries as sq
+
+    rows = _stored(spark, tmp_path)
+    monkeypatch.setattr(se, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(se, "QUERY_BLOCK", 16)
+    got = {(r["query_id"], r["asset_id"]) for r in sq.recommend_cross_type(spark, str(tmp_path)).collect()}
+    assert got == _best(rows, lambda q, c: c["asset_type"] == "publications", {r["asset_id"] for r in rows if r["id"] % 50 == 0}, 10)
