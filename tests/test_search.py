@@ -249,3 +249,14 @@ def test_query_by_type_searched_in_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(se, "QUERY_BLOCK", 16)
     got = {(r["query_id"], r["asset_id"]) for r in sq.recommend_cross_type(spark, str(tmp_path)).collect()}
     assert got == _best(rows, lambda q, c: c["asset_type"] == "publications", {r["asset_id"] for r in rows if r["id"] % 50 == 0}, 10)
+
+
+def test_query_within_its_type_searched_in_blocks(spark, tmp_path, monkeypatch):
+    """recommend_same_type failed at 1 GB by the same error."""
+    from lodeweave.plans import search_queries as sq
+
+    rows = _stored(spark, tmp_path)
+    monkeypatch.setattr(se, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(se, "QUERY_BLOCK", 16)
+    got = {(r["query_id"], r["asset_id"]) for r in sq.recommend_same_type(spark, str(tmp_path)).collect()}
+    assert got == _best(rows, lambda q, c: q["asset_type"] == c["asset_type"] and q["asset_id"] != c["asset_id"], {r["asset_id"] for r in rows if r["id"] % 50 == 0}, 10)
